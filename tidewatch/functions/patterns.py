@@ -68,13 +68,38 @@ SCRUB_PATTERN_RANGES = r"[\x00-\x26\x28-\x2C\x3A-\x40\x5B-\x5E\x60\x7B-\x{10FFFF
 
 
 def keyword_alternation(keywords) -> str:
-    """``\\b(?:k1|k2|...)\\b``, keywords regex-quoted, longest first.
+    """``(?i)\\b(?:k1|k2|...)\\b`` compiled as a prefix trie.
 
-    Longest-first ordering keeps the alternation from stopping at a shorter
-    keyword that is a prefix of a longer one at the same position.
+    Keywords sharing a first character share one branch, so the matcher
+    tries about one branch per word start instead of every keyword. Within
+    a branch longer completions come first, which keeps the longest-first
+    preference of a flat alternation sorted by length.
     """
-    alts = sorted({k for k in keywords if k}, key=lambda k: (-len(k), k))
-    return r"(?i)\b(?:" + "|".join(regex_quote(k) for k in alts) + r")\b"
+    words = sorted({k.lower() for k in keywords if k})
+    return r"(?i)\b(?:" + _trie_regex(words) + r")\b"
+
+
+def _trie_regex(words) -> str:
+    if not words:
+        return ""
+    ends = "" in words
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            groups.setdefault(w[0], []).append(w[1:])
+    alts = []
+    for ch in sorted(groups, key=lambda c: (-max(len(x) for x in groups[c]), c)):
+        rest = groups[ch]
+        sub = _trie_regex(rest)
+        if rest == [""]:
+            alts.append(regex_quote(ch))
+        elif len(rest) == 1:
+            alts.append(regex_quote(ch) + regex_quote(rest[0]))
+        else:
+            alts.append(regex_quote(ch) + "(?:" + sub + ")")
+    if ends:
+        alts.append("")
+    return "|".join(alts)
 
 
 def regex_quote(s: str) -> str:

@@ -31,6 +31,14 @@ def clean_text(col, keep_hashtag_word: bool = True) -> Column:
     return F.lower(F.trim(t))
 
 
+def keyword_hits(col, keywords=None) -> Column:
+    """All keyword occurrences (lower-cased) found by one alternation scan."""
+    kws = P.CYBER_KEYWORDS if keywords is None else list(keywords)
+    c = F.coalesce(_c(col), F.lit(""))
+    hits = F.regexp_extract_all(c, F.lit(P.keyword_alternation(kws)), F.lit(0))
+    return F.transform(hits, lambda x: F.lower(x))
+
+
 def weak_label(col, keywords=None) -> Column:
     """TXT1: 1 when any keyword occurs with word boundaries (case-insensitive)."""
     kws = P.CYBER_KEYWORDS if keywords is None else list(keywords)
@@ -54,8 +62,7 @@ def keyword_count(col, keywords=None) -> Column:
         return F.lit(0)
     c = F.coalesce(_c(col), F.lit(""))
     if keywords is None:
-        hits = F.regexp_extract_all(c, F.lit(P.keyword_alternation(kws)), F.lit(0))
-        return F.size(F.array_distinct(F.transform(hits, lambda x: F.lower(x))))
+        return F.size(F.array_distinct(keyword_hits(c)))
     terms = [c.rlike(r"(?i)\b" + P.regex_quote(k) + r"\b").cast("int") for k in kws]
     total = terms[0]
     for t in terms[1:]:

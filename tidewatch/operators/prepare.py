@@ -31,15 +31,24 @@ def drop_empty(df: DataFrame, col: str = "clean_text") -> DataFrame:
 
 
 def dedup_first_wins(df: DataFrame, key: str = "clean_text",
-                     order_cols=("doc_id",)) -> DataFrame:
-    """AGG6: one row per distinct ``key``; the row smallest in ``order_cols`` wins.
-
-    A hash aggregate with ``min_by`` over a struct of the remaining columns:
-    one exchange, map-side combine, no per-group window.
+                     order_cols=("doc_id",), drop_empty: bool = False) -> DataFrame:
+    """AGG6 (+FLT1): one row per distinct ``key``; the row smallest in ``order_cols`` wins.
+
+    A hash-partitioned aggregate with ``min_by`` over a struct of the
+    remaining columns: one exchange, map-side combine, no per-group window.
+    With ``drop_empty`` the empty key is removed through an aggregate output
+    (``max(length(key)) > 0``). Catalyst cannot push that below the
+    aggregate, so the (regex-heavy) key expression is evaluated once per row
+    instead of once in a pushed-down filter and again in the projection.
     """
     others = [c for c in df.columns if c != key]
     order = F.struct(*[F.col(c) for c in order_cols])
-    agg = df.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_r"))
+    aggs = [F.min_by(F.struct(*others), order).alias("_r")]
+    if drop_empty:
+        aggs.append(F.max(F.length(key)).alias("_klen"))
+    agg = df.groupBy(key).agg(*aggs)
+    if drop_empty:
+        agg = agg.filter(F.col("_klen") > 0)
     return agg.select(*[F.col(f"_r.{c}").alias(c) if c != key else F.col(key)
                         for c in df.columns])
 
@@ -93,6 +102,20 @@ def add_ioc_features(df: DataFrame, col: str = "clean_text", keywords=None) -> D
     return df.withColumns(cols)
 
 
+def add_label_and_features(df: DataFrame, col: str = "clean_text", with_iocs: bool = True,
+                           out_col: str = "label") -> DataFrame:
+    """TXT1 + TXT2 (+IOC6) from a single keyword scan: label = distinct count > 0.
+
+    Exact for the built-in lexicon (see ``keyword_count``).
+    """
+    hits = df.withColumn("_kw", T.keyword_hits(col))
+    cols = {out_col: (F.size("_kw") > 0).cast("int"),
+            "cyber_keyword_count": F.size(F.array_distinct("_kw"))}
+    if with_iocs:
+        cols.update(T.ioc_counts(col))
+    return hits.withColumns(cols).drop("_kw")
+
+
 def prepare_documents(df: DataFrame, cfg: Config = DEFAULT_CONFIG, text_col: str = "text",
                       id_col: str = "doc_id", order_cols=None,
                       technique_dict: DataFrame | None = None) -> DataFrame:
@@ -103,12 +126,14 @@ def prepare_documents(df: DataFrame, cfg: Config = DEFAULT_CONFIG, text_col: str
     """
     order_cols = tuple(order_cols or (id_col,))
     d = add_clean_text(df, text_col, keep_hashtag_word=cfg.keep_hashtag_word)
-    d = drop_empty(d)
-    d = dedup_first_wins(d, "clean_text", order_cols)
+    d = dedup_first_wins(d, "clean_text", order_cols, drop_empty=True)
     d = exact_sample(d, cfg.sample_n, cfg.random_seed, id_col)
-    if cfg.label_source == "weak" or "label" not in d.columns:
+    weak = cfg.label_source == "weak" or "label" not in d.columns
+    if weak and cfg.do_ioc_features:
+        d = add_label_and_features(d)
+    elif weak:
         d = add_weak_label(d)
-    if cfg.do_ioc_features:
+    elif cfg.do_ioc_features:
         d = add_ioc_features(d)
     if cfg.do_mitre_mapping and technique_dict is not None:
         from tidewatch.operators.techniques import tag_techniques

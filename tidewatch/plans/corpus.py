@@ -12,17 +12,17 @@ from tidewatch.operators.techniques import technique_dictionary
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """osint corpus with ``clean_text`` (all rows, before filtering)."""
-    return ensure_parallelism(osint_documents(spark, sf_dir)).transform(Pp.add_clean_text)
+    return osint_documents(spark, sf_dir).transform(Pp.add_clean_text)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, non-empty, deduplicated corpus."""
-    return cleaned(spark, sf_dir).transform(Pp.drop_empty).transform(Pp.dedup_first_wins)
+    return Pp.dedup_first_wins(cleaned(spark, sf_dir), "clean_text", ("doc_id",), drop_empty=True)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared corpus + weak label + IOC counts + keyword count."""
-    return prepared(spark, sf_dir).transform(Pp.add_weak_label).transform(Pp.add_ioc_features)
+    return prepared(spark, sf_dir).transform(Pp.add_label_and_features)
 
 
 def tech_dict(spark: SparkSession) -> DataFrame:

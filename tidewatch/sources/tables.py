@@ -37,7 +37,7 @@ def _s(c) -> F.Column:
 
 def osint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, source, text)``: documents plus deterministic indicator phrases."""
-    d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = ensure_parallelism(load_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     n = load_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     s = load_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     did = F.col("doc_id")
