@@ -159,3 +159,69 @@ def dic1_technique_tags(spark, sf_dir):
 def join1_technique_tags_vocabulary(spark, sf_dir):
     t = Tq.tag_techniques(C.features(spark, sf_dir), C.tech_dict(spark), strategy="vocabulary")
     return t.select("doc_id", F.array_join("mitre_matches", ",").alias("mitre_matches"))
+
+
+# --- ENT1 / FLT4 --------------------------------------------------------------------
+_GRAPH_BASE = f"WITH {O.prep_ctes()}{O.tags_ctes()}{O.entity_ctes()}"
+
+
+@register("ent1_entities", f"""{_GRAPH_BASE}
+SELECT doc_id, pos, ent_text, ent_label FROM ents""")
+def ent1_entities(spark, sf_dir):
+    return C.entities(spark, sf_dir)
+
+
+# --- KG1-KG11, SET2, SET3, JOIN4, JOIN5 ---------------------------------------------------
+@register("kg_nodes", f"""{_GRAPH_BASE}{O.graph_ctes()}
+SELECT id, type, entity_label FROM nodes""")
+def kg_nodes(spark, sf_dir):
+    return C.graph(spark, sf_dir)[3]
+
+
+@register("kg_edges", f"""{_GRAPH_BASE}{O.graph_ctes()}
+SELECT src, dst, relation FROM edges""")
+def kg_edges(spark, sf_dir):
+    return C.graph(spark, sf_dir)[4]
+
+
+# --- AGG7 ---------------------------------------------------------------------------
+@register("agg7_graph_size", f"""{_GRAPH_BASE}{O.graph_ctes()}
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges""")
+def agg7_graph_size(spark, sf_dir):
+    from tidewatch.operators.graph import graph_size
+    _, _, _, n, e = C.graph(spark, sf_dir)
+    return graph_size(n, e)
+
+
+# --- AGG8, KG12 -----------------------------------------------------------------------
+@register("kg12_degree_centrality", f"""{_GRAPH_BASE}{O.graph_ctes()}
+SELECT id, degree, centrality FROM cent""")
+def kg12_degree_centrality(spark, sf_dir):
+    from tidewatch.operators.graph import degree_centrality
+    _, _, _, n, e = C.graph(spark, sf_dir)
+    return degree_centrality(n, e)
+
+
+# --- JOIN6, AGG9, SCR2 ------------------------------------------------------------------
+@register("agg9_doc_centrality", f"""{_GRAPH_BASE}{O.graph_ctes()}
+SELECT f.doc_id, coalesce((SELECT max(c.centrality) FROM ents e JOIN cent c ON c.id = 'ENT::' || e.ent_text
+                           WHERE e.doc_id = f.doc_id), 0.0) * 0.2 AS centrality_score
+FROM feat f""")
+def agg9_doc_centrality(spark, sf_dir):
+    from tidewatch.operators.graph import degree_centrality, doc_centrality
+    t, e, _, n, ed = C.graph(spark, sf_dir)
+    return doc_centrality(t.select("doc_id"), e, degree_centrality(n, ed))
+
+
+# --- ADV12 ------------------------------------------------------------------------------
+@register("adv12_technique_entity_cve", f"""{_GRAPH_BASE}{O.graph_ctes()},
+te AS (SELECT CASE WHEN starts_with(src, 'ENT::') THEN src ELSE dst END AS entity,
+              CASE WHEN starts_with(src, 'ENT::') THEN dst ELSE src END AS technique
+       FROM edges WHERE relation = 'uses_technique'),
+ce AS (SELECT CASE WHEN starts_with(src, 'ENT::') THEN src ELSE dst END AS entity,
+              CASE WHEN starts_with(src, 'ENT::') THEN dst ELSE src END AS cve
+       FROM edges WHERE relation = 'mentions_cve')
+SELECT DISTINCT te.technique, te.entity, ce.cve FROM te JOIN ce ON te.entity = ce.entity""")
+def adv12_technique_entity_cve(spark, sf_dir):
+    from tidewatch.operators.graph import technique_entity_cve_chains
+    return technique_entity_cve_chains(C.graph(spark, sf_dir)[4])

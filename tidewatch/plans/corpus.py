@@ -27,3 +27,30 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tech_dict(spark: SparkSession) -> DataFrame:
     return technique_dictionary(technique_fixture(spark))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features + technique tags (fixture dictionary)."""
+    from tidewatch.operators.techniques import tag_techniques
+    return tag_techniques(features(spark, sf_dir), tech_dict(spark))
+
+
+def entities(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    from tidewatch.operators.entities import extract_entities
+    from tidewatch.sources.tables import gazetteer
+    return extract_entities(docs if docs is not None else prepared(spark, sf_dir),
+                            gazetteer(spark, sf_dir))
+
+
+def iocs(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    from tidewatch.operators.indicators import ioc_long
+    return ioc_long(docs if docs is not None else prepared(spark, sf_dir))
+
+
+def graph(spark: SparkSession, sf_dir: str):
+    """(tagged docs, entities, iocs, nodes, edges) sharing one prepared corpus."""
+    from tidewatch.operators import graph as G
+    t = tagged(spark, sf_dir)
+    e = entities(spark, sf_dir, t)
+    i = iocs(spark, sf_dir, t)
+    return t, e, i, G.build_nodes(e, i, t), G.build_edges(e, i, t)

@@ -110,3 +110,57 @@ doc_tech AS (SELECT f.doc_id, t.pos, t.technique_id FROM feat f JOIN tdict t
 tags AS (SELECT f.doc_id, coalesce((SELECT string_agg(technique_id, ',' ORDER BY pos) FROM doc_tech x
                                      WHERE x.doc_id = f.doc_id), '') AS mitre_matches
          FROM feat f)"""
+
+
+def entity_ctes() -> str:
+    """CTEs ``gaz``, ``ents(doc_id, pos, ent_text, ent_label)`` on top of ``feat``."""
+    labels = ", ".join(q(x) for x in P.ENTITY_LABELS)
+    return f""",
+gaz0 AS ({GAZETTEER_SQL}),
+gaz AS (SELECT phrase, min(label) AS label, len(string_split(phrase, ' ')) AS n
+        FROM (SELECT lower(trim(phrase)) AS phrase, label FROM gaz0) WHERE phrase <> '' GROUP BY phrase),
+toks AS (SELECT doc_id, string_split(clean_text, ' ') AS t FROM feat),
+idx AS (SELECT doc_id, t, unnest(range(0, len(t))) AS i FROM toks),
+grams AS (SELECT doc_id, i AS pos, g.n, array_to_string(list_slice(t, i + 1, i + g.n), ' ') AS gram
+          FROM idx, (SELECT DISTINCT n FROM gaz) g WHERE i + g.n <= len(t)),
+gm AS (SELECT grams.doc_id, grams.pos, grams.n, gaz.phrase AS ent_text, gaz.label AS ent_label
+       FROM grams JOIN gaz ON grams.gram = gaz.phrase),
+ents AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, ent_text, ent_label FROM gm a
+         WHERE NOT EXISTS (SELECT 1 FROM gm b WHERE b.doc_id = a.doc_id AND b.pos <= a.pos
+                           AND b.pos + b.n >= a.pos + a.n AND b.n > a.n)
+           AND ent_label IN ({labels}))"""
+
+
+def ioc_long_cte(src: str = "feat") -> str:
+    parts = []
+    for k in P.IOC_TYPES:
+        parts.append(f"""SELECT doc_id, '{k}' AS ioc_type, unnest({ioc_list_sql(k)}) AS ioc FROM {src}""")
+    return ",\niocl AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def graph_ctes() -> str:
+    """CTEs ``nodes(id, type, entity_label)``, ``edges(src, dst, relation)``."""
+    return f"""{ioc_long_cte()},
+gioc AS (SELECT DISTINCT doc_id, CASE ioc_type WHEN 'ips' THEN 'IP::' WHEN 'domains' THEN 'DOM::' ELSE 'CVE::' END || ioc AS o,
+                CASE ioc_type WHEN 'ips' THEN 'mentions_ip' WHEN 'domains' THEN 'mentions_domain' ELSE 'mentions_cve' END AS relation,
+                CASE ioc_type WHEN 'ips' THEN 'ip' WHEN 'domains' THEN 'domain' ELSE 'cve' END AS type
+         FROM iocl WHERE ioc_type IN ('ips', 'domains', 'cves')),
+nodes AS (
+  SELECT 'ENT::' || ent_text AS id, 'entity' AS type, first(ent_label ORDER BY doc_id, pos) AS entity_label
+  FROM ents GROUP BY ent_text
+  UNION ALL SELECT DISTINCT o, type, CAST(NULL AS VARCHAR) FROM gioc
+  UNION ALL SELECT DISTINCT 'MITRE::' || technique_id, 'mitre_technique', CAST(NULL AS VARCHAR) FROM doc_tech),
+raw_edges AS (
+  SELECT 'ENT::' || e.ent_text AS a, g.o AS b, g.relation FROM ents e JOIN gioc g ON e.doc_id = g.doc_id
+  UNION ALL
+  SELECT 'ENT::' || e.ent_text, 'MITRE::' || t.technique_id, 'uses_technique' FROM ents e JOIN doc_tech t ON e.doc_id = t.doc_id
+  UNION ALL
+  SELECT 'MITRE::' || x.technique_id, 'MITRE::' || y.technique_id, 'co_occurs'
+  FROM doc_tech x JOIN doc_tech y ON x.doc_id = y.doc_id AND x.pos < y.pos),
+edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, relation FROM raw_edges),
+ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges),
+cent AS (SELECT n.id, CAST(count(e.id) AS BIGINT) AS degree,
+                CASE WHEN (SELECT count(*) FROM nodes) > 1
+                     THEN CAST(count(e.id) AS DOUBLE) / CAST((SELECT count(*) FROM nodes) - 1 AS DOUBLE)
+                     ELSE 1.0 END AS centrality
+         FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY n.id)"""
