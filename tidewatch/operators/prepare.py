@@ -3,9 +3,7 @@
 Shuffles: deduplication is one hash aggregate keyed by the cleaned text.
 Partial aggregation runs map-side, so a text copied into a third of all
 rows collapses to one row per map task before the exchange; no window
-ever holds a whole copy group. Sampling uses a fixed-size bucket histogram
-(65,536 rows whatever the input size) to find the cut, then keeps rows
-below it with a plain filter.
+ever holds a whole copy group. Sampling is in ``sampling.py``.
 """
 
 from __future__ import annotations
@@ -16,7 +14,6 @@ from pyspark.sql import functions as F
 from tidewatch.config import Config, DEFAULT_CONFIG
 from tidewatch.functions import text as T
 
-SAMPLE_BUCKETS = 65536
 
 
 def add_clean_text(df: DataFrame, text_col: str = "text", out_col: str = "clean_text",
@@ -53,40 +50,10 @@ def dedup_first_wins(df: DataFrame, key: str = "clean_text",
                         for c in df.columns])
 
 
-def sample_key(seed: int, id_col: str = "doc_id") -> F.Column:
-    """md5 of ``'{seed}:{id}'`` — identical in Spark and DuckDB, partition-independent."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-
-
-def exact_sample(df: DataFrame, n: int | None, seed: int = 42,
-                 id_col: str = "doc_id") -> DataFrame:
-    """SMP1: exactly ``n`` rows without replacement when the input has more.
-
-    The rows kept are those with the ``n`` smallest ``(md5 key, id)``. The
-    cut is located on a 65,536-bucket histogram of the key prefix (a fixed
-    size aggregate), so no global sort or single-task top-n is needed; only
-    the one boundary bucket (~rows/65,536) is ordered.
-    """
-    if not n:
-        return df
-    k = sample_key(seed, id_col)
-    keyed = df.withColumn("_skey", k).withColumn(
-        "_sbucket", F.conv(F.substring("_skey", 1, 4), 16, 10).cast("int"))
-    hist = keyed.groupBy("_sbucket").count().orderBy("_sbucket").collect()
-    total = sum(r["count"] for r in hist)
-    if total <= n:
-        return df
-    below, cut = 0, None
-    for r in hist:
-        if below + r["count"] >= n:
-            cut = r["_sbucket"]
-            break
-        below += r["count"]
-    rest = n - below
-    head = keyed.filter(F.col("_sbucket") < cut)
-    edge = (keyed.filter(F.col("_sbucket") == cut)
-            .orderBy("_skey", id_col).limit(rest))
-    return head.unionByName(edge).drop("_skey", "_sbucket")
+def exact_sample(df: DataFrame, n: int | None, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """SMP1 (see ``tidewatch.operators.sampling.exact_sample``)."""
+    from tidewatch.operators.sampling import exact_sample as _s
+    return _s(df, n, seed, id_col)
 
 
 def add_weak_label(df: DataFrame, col: str = "clean_text", out_col: str = "label",

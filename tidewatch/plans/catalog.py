@@ -225,3 +225,97 @@ SELECT DISTINCT te.technique, te.entity, ce.cve FROM te JOIN ce ON te.entity = c
 def adv12_technique_entity_cve(spark, sf_dir):
     from tidewatch.operators.graph import technique_entity_cve_chains
     return technique_entity_cve_chains(C.graph(spark, sf_dir)[4])
+
+
+# --- AGG1, AGG2, AGG4 --------------------------------------------------------------
+_KEY = "md5('42:' || CAST(doc_id AS VARCHAR))"
+
+
+def _labeled(spark, sf_dir):
+    return C.features(spark, sf_dir).select("doc_id", F.col("label").cast("bigint").alias("label"))
+
+
+@register("agg1_class_counts", f"""WITH {O.prep_ctes()}
+SELECT CAST(label AS BIGINT) AS label, count(*) AS count FROM feat GROUP BY label""")
+def agg1_class_counts(spark, sf_dir):
+    from tidewatch.operators.sampling import class_counts
+    return class_counts(_labeled(spark, sf_dir))
+
+
+@register("agg2_class_count_range", f"""WITH {O.prep_ctes()},
+c AS (SELECT label, count(*) AS n FROM feat GROUP BY label)
+SELECT min(n) AS min_count, max(n) AS max_count FROM c""")
+def agg2_class_count_range(spark, sf_dir):
+    from tidewatch.operators.sampling import class_count_range
+    return class_count_range(_labeled(spark, sf_dir))
+
+
+@register("agg4_class_weight", f"""WITH {O.prep_ctes()}
+SELECT CAST(greatest(1, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)) AS DOUBLE)
+       / greatest(1, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)) AS pos_weight FROM feat""")
+def agg4_class_weight(spark, sf_dir):
+    from tidewatch.operators.sampling import class_weight
+    return class_weight(_labeled(spark, sf_dir))
+
+
+# --- SMP1-SMP6, ADV7 ------------------------------------------------------------------
+@register("smp1_exact_sample", f"""WITH {O.prep_ctes()}
+SELECT doc_id FROM feat QUALIFY row_number() OVER (ORDER BY {_KEY}, doc_id) <= 500""")
+def smp1_exact_sample(spark, sf_dir):
+    from tidewatch.operators.sampling import exact_sample
+    return exact_sample(_labeled(spark, sf_dir), 500, 42).select("doc_id")
+
+
+@register("smp2_undersample", f"""WITH {O.prep_ctes()},
+c AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM feat GROUP BY label))
+SELECT doc_id, CAST(label AS BIGINT) AS label FROM feat
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_KEY}, doc_id) <= (SELECT m FROM c)""")
+def smp2_undersample(spark, sf_dir):
+    from tidewatch.operators.sampling import undersample
+    return undersample(_labeled(spark, sf_dir))
+
+
+@register("smp3_oversample", f"""WITH {O.prep_ctes()},
+cls AS (SELECT label, count(*) AS n FROM feat GROUP BY label),
+mx AS (SELECT max(n) AS m FROM cls),
+ranked AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {_KEY}, doc_id) - 1 AS rk FROM feat),
+draws AS (SELECT c.label, ('0x' || substr(md5('42:' || CAST(c.label AS VARCHAR) || ':' || CAST(d.i AS VARCHAR)), 1, 8))::BIGINT % c.n AS rk
+          FROM cls c CROSS JOIN mx CROSS JOIN range(0, (SELECT m FROM mx)) d(i) WHERE c.n < mx.m),
+picked AS (SELECT r.doc_id, r.label FROM draws d JOIN ranked r ON r.label = d.label AND r.rk = d.rk
+           UNION ALL SELECT doc_id, label FROM feat WHERE label IN (SELECT label FROM cls, mx WHERE n = m))
+SELECT doc_id, CAST(label AS BIGINT) AS label, count(*) AS copies FROM picked GROUP BY doc_id, label""")
+def smp3_oversample(spark, sf_dir):
+    from tidewatch.operators.sampling import oversample
+    o = oversample(_labeled(spark, sf_dir))
+    return o.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@register("smp5_stratified_split", f"""WITH {O.prep_ctes()},
+cls AS (SELECT label, count(*) AS c FROM feat GROUP BY label),
+tot AS (SELECT sum(c) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(c)) AS BIGINT) AS nt FROM cls),
+q0 AS (SELECT label, (c * nt) // n AS base, (c * nt) % n AS rem FROM cls, tot),
+q1 AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, label)
+                                  <= (SELECT nt FROM tot) - (SELECT sum(base) FROM q0) THEN 1 ELSE 0 END AS quota FROM q0),
+ranked AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {_KEY}, doc_id) AS rn FROM feat)
+SELECT doc_id, CAST(label AS BIGINT) AS label, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
+FROM ranked JOIN q1 USING (label)""")
+def smp5_stratified_split(spark, sf_dir):
+    from tidewatch.operators.sampling import stratified_split
+    return stratified_split(_labeled(spark, sf_dir), test_size=0.2)
+
+
+@register("smp6_shuffle_order", f"""WITH {O.prep_ctes()}
+SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS position FROM feat""")
+def smp6_shuffle_order(spark, sf_dir):
+    from tidewatch.operators.sampling import rank_within_group
+    r = rank_within_group(_labeled(spark, sf_dir), [], 42, rank_col="position")
+    return r.select("doc_id", F.col("position").cast("bigint"))
+
+
+@register("adv7_cv_folds", f"""WITH {O.prep_ctes()}
+SELECT doc_id, CAST(label AS BIGINT) AS label,
+       CAST((row_number() OVER (PARTITION BY label ORDER BY {_KEY}, doc_id) - 1) % 5 AS INTEGER) AS fold
+FROM feat""")
+def adv7_cv_folds(spark, sf_dir):
+    from tidewatch.operators.sampling import cv_folds
+    return cv_folds(_labeled(spark, sf_dir), 5)
