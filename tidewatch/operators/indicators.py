@@ -21,3 +21,71 @@ def ioc_long(df: DataFrame, col: str = "clean_text", id_col: str = "doc_id") ->
                           F.array(*[ex[k] for k in IOC_TYPES]))
     per_type = df.select(F.col(id_col), F.explode(m).alias("ioc_type", "_l"))
     return per_type.select(id_col, "ioc_type", F.posexplode("_l").alias("pos", "ioc"))
+
+
+ENRICHABLE_TYPES = ["ips", "domains", "hashes"]   # other types are "not enriched" (score 0)
+
+
+def load_reputation(spark, path: str) -> DataFrame:
+    """SRC7: reputation table ``(ioc_type, ioc, malicious_score)`` from parquet."""
+    r = spark.read.parquet(path)
+    return r.select(F.col("ioc_type").cast("string"), F.col("ioc").cast("string"),
+                    F.col("malicious_score").cast("int"))
+
+
+def reputation_fixture(iocs: DataFrame) -> DataFrame:
+    """Test reputation derived from the corpus: score ``length(ioc) % 7``,
+    IOCs whose length is a multiple of 3 left out (to exercise the 0 default)."""
+    d = iocs.select("ioc_type", "ioc").distinct()
+    return (d.filter(F.col("ioc_type").isin(ENRICHABLE_TYPES) & (F.length("ioc") % 3 != 0))
+             .select("ioc_type", "ioc", (F.length("ioc") % 7).cast("int").alias("malicious_score")))
+
+
+def enrich_iocs(iocs: DataFrame, reputation: DataFrame, row_limit: int = 2_000_000) -> DataFrame:
+    """JOIN2: each IOC occurrence with ``malicious_score`` (0 when absent or not enrichable).
+
+    Distinct ``(ioc_type, ioc)`` are looked up once, then joined back.
+    """
+    from tidewatch.operators.util import broadcast_if_small
+
+    rep = reputation.filter(F.col("ioc_type").isin(ENRICHABLE_TYPES)) \
+                    .groupBy("ioc_type", "ioc").agg(F.max("malicious_score").alias("malicious_score"))
+    distinct = iocs.select("ioc_type", "ioc").distinct()
+    scored = distinct.join(broadcast_if_small(rep, row_limit), ["ioc_type", "ioc"], "left") \
+                     .withColumn("malicious_score", F.coalesce("malicious_score", F.lit(0)))
+    return iocs.join(scored, ["ioc_type", "ioc"], "left")
+
+
+def doc_reputation_long(enriched: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """IOC8 (long form): ``(doc_id, key='{type}_{ioc}', malicious_score)`` per document."""
+    return (enriched.select(id_col, F.concat_ws("_", "ioc_type", "ioc").alias("key"),
+                            F.col("malicious_score").cast("int").alias("malicious_score"))
+            .distinct())
+
+
+def doc_reputation_wide(long: DataFrame, keys: list[str], id_col: str = "doc_id",
+                        max_columns: int = 1000) -> DataFrame:
+    """IOC8 (wide form) for a caller-given, bounded key list; absent -> 0."""
+    if len(keys) > max_columns:
+        raise ValueError(f"{len(keys)} reputation columns requested; limit {max_columns}")
+    p = long.filter(F.col("key").isin(keys)).groupBy(id_col).pivot("key", keys) \
+            .agg(F.max("malicious_score"))
+    return p.na.fill(0, keys)
+
+
+def attach_reputation(docs: DataFrame, enriched: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """JOIN3: keyed (never positional) append of per-document reputation summaries."""
+    per = (doc_reputation_long(enriched, id_col).groupBy(id_col)
+           .agg(F.count(F.lit(1)).alias("enriched_iocs"),
+                F.max("malicious_score").cast("bigint").alias("max_malicious_score"),
+                F.sum("malicious_score").cast("bigint").alias("sum_malicious_score")))
+    out = docs.join(per, id_col, "left")
+    return out.fillna(0, ["enriched_iocs", "max_malicious_score", "sum_malicious_score"])
+
+
+def cross_source_iocs(iocs_a: DataFrame, iocs_b: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """ADV13: indicators seen in both source kinds — equi-join on (ioc_type, ioc)
+    of the per-source distinct indicator sets, with per-side document counts."""
+    a = iocs_a.groupBy("ioc_type", "ioc").agg(F.countDistinct(id_col).alias("docs_a"))
+    b = iocs_b.groupBy("ioc_type", "ioc").agg(F.countDistinct(id_col).alias("docs_b"))
+    return a.join(b, ["ioc_type", "ioc"])

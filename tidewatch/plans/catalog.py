@@ -319,3 +319,215 @@ FROM feat""")
 def adv7_cv_folds(spark, sf_dir):
     from tidewatch.operators.sampling import cv_folds
     return cv_folds(_labeled(spark, sf_dir), 5)
+
+
+# --- SRC7, JOIN2, IOC8, JOIN3 --------------------------------------------------------------
+_REP_CTES = f"""WITH {O.prep_ctes()}{O.ioc_long_cte()},
+rep AS (SELECT DISTINCT ioc_type, ioc, CAST(length(ioc) % 7 AS INTEGER) AS malicious_score FROM iocl
+        WHERE ioc_type IN ('ips', 'domains', 'hashes') AND length(ioc) % 3 <> 0),
+enr AS (SELECT i.doc_id, i.ioc_type, i.ioc, coalesce(r.malicious_score, 0) AS malicious_score
+        FROM iocl i LEFT JOIN rep r ON r.ioc_type = i.ioc_type AND r.ioc = i.ioc)"""
+
+
+def _enriched(spark, sf_dir):
+    from tidewatch.operators import indicators as I
+    f = C.features(spark, sf_dir)
+    i = I.ioc_long(f)
+    return f, I.enrich_iocs(i, I.reputation_fixture(i))
+
+
+@register("join2_ioc_reputation", f"""{_REP_CTES}
+SELECT doc_id, ioc_type, ioc, malicious_score FROM enr""")
+def join2_ioc_reputation(spark, sf_dir):
+    return _enriched(spark, sf_dir)[1].select("doc_id", "ioc_type", "ioc", "malicious_score")
+
+
+@register("ioc8_reputation_long", f"""{_REP_CTES}
+SELECT DISTINCT doc_id, ioc_type || '_' || ioc AS key, malicious_score FROM enr""")
+def ioc8_reputation_long(spark, sf_dir):
+    from tidewatch.operators.indicators import doc_reputation_long
+    return doc_reputation_long(_enriched(spark, sf_dir)[1])
+
+
+@register("join3_doc_reputation", f"""{_REP_CTES},
+per AS (SELECT doc_id, count(*) AS enriched_iocs, CAST(max(malicious_score) AS BIGINT) AS max_malicious_score,
+               CAST(sum(malicious_score) AS BIGINT) AS sum_malicious_score
+        FROM (SELECT DISTINCT doc_id, ioc_type || '_' || ioc AS key, malicious_score FROM enr) GROUP BY doc_id)
+SELECT f.doc_id, coalesce(p.enriched_iocs, 0) AS enriched_iocs, coalesce(p.max_malicious_score, 0) AS max_malicious_score,
+       coalesce(p.sum_malicious_score, 0) AS sum_malicious_score
+FROM feat f LEFT JOIN per p USING (doc_id)""")
+def join3_doc_reputation(spark, sf_dir):
+    from tidewatch.operators.indicators import attach_reputation
+    f, e = _enriched(spark, sf_dir)
+    return attach_reputation(f.select("doc_id"), e)
+
+
+@register("adv13_cross_source_iocs", f"""WITH {O.prep_ctes()}{O.ioc_long_cte()},
+a AS (SELECT i.ioc_type, i.ioc, count(DISTINCT i.doc_id) AS docs_a FROM iocl i JOIN feat f USING (doc_id)
+      WHERE f.source < 'src5' GROUP BY ALL),
+b AS (SELECT i.ioc_type, i.ioc, count(DISTINCT i.doc_id) AS docs_b FROM iocl i JOIN feat f USING (doc_id)
+      WHERE f.source >= 'src5' GROUP BY ALL)
+SELECT ioc_type, ioc, docs_a, docs_b FROM a JOIN b USING (ioc_type, ioc)""")
+def adv13_cross_source_iocs(spark, sf_dir):
+    from tidewatch.operators.indicators import cross_source_iocs, ioc_long
+    f = C.features(spark, sf_dir)
+    i = ioc_long(f).join(f.select("doc_id", "source"), "doc_id")
+    return cross_source_iocs(i.filter(F.col("source") < "src5"), i.filter(F.col("source") >= "src5"))
+
+
+# --- MET1-MET8, ADV5, ADV6, ADV8, ADV9 ----------------------------------------------------------
+_PRED = f"WITH {O.prep_ctes()}{O.pred_ctes()}"
+_CLS = """CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+          CAST(sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+          CAST(sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+          avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy"""
+_CLS_OUT = """accuracy,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1"""
+_AUC_PAIRS = """auc AS (
+  SELECT model, CASE WHEN P > 0 AND N > 0 THEN CAST(2 * gt + eq AS DOUBLE) / CAST(2 * P * N AS DOUBLE) END AS roc_auc
+  FROM (SELECT m.model,
+               (SELECT count(*) FROM pred WHERE model = m.model AND y_true = 1) AS P,
+               (SELECT count(*) FROM pred WHERE model = m.model AND y_true <> 1) AS N,
+               (SELECT count(*) FROM pred a JOIN pred b ON a.model = b.model
+                 WHERE a.model = m.model AND a.y_true = 1 AND b.y_true <> 1 AND a.y_score > b.y_score) AS gt,
+               (SELECT count(*) FROM pred a JOIN pred b ON a.model = b.model
+                 WHERE a.model = m.model AND a.y_true = 1 AND b.y_true <> 1 AND a.y_score = b.y_score) AS eq
+        FROM (SELECT DISTINCT model FROM pred) m))"""
+
+
+@register("met1_4_classification", f"""{_PRED}
+SELECT model, {_CLS_OUT} FROM (SELECT model, {_CLS} FROM pred GROUP BY model)""")
+def met1_4_classification(spark, sf_dir):
+    from tidewatch.operators.metrics import classification_metrics
+    return classification_metrics(C.predictions(spark, sf_dir))
+
+
+@register("met5_roc_auc", f"""{_PRED}, {_AUC_PAIRS}
+SELECT model, roc_auc FROM auc""")
+def met5_roc_auc(spark, sf_dir):
+    from tidewatch.operators.metrics import roc_auc
+    return roc_auc(C.predictions(spark, sf_dir))
+
+
+@register("met6_roc_points", f"""{_PRED},
+ds AS (SELECT model, y_score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN y_true <> 1 THEN 1 ELSE 0 END) AS neg FROM pred GROUP BY model, y_score),
+cum AS (SELECT model, y_score, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn,
+               sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N
+        FROM ds WINDOW w AS (PARTITION BY model ORDER BY y_score DESC ROWS UNBOUNDED PRECEDING))
+SELECT model, y_score AS threshold,
+       CASE WHEN N = 0 THEN 0.0 ELSE CAST(cn AS DOUBLE) / CAST(N AS DOUBLE) END AS fpr,
+       CASE WHEN P = 0 THEN 0.0 ELSE CAST(cp AS DOUBLE) / CAST(P AS DOUBLE) END AS tpr FROM cum""")
+def met6_roc_points(spark, sf_dir):
+    from tidewatch.operators.metrics import roc_points
+    return roc_points(C.predictions(spark, sf_dir))
+
+
+@register("met7_pr_auc", f"""{_PRED},
+ds AS (SELECT model, y_score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN y_true <> 1 THEN 1 ELSE 0 END) AS neg FROM pred GROUP BY model, y_score),
+cum AS (SELECT model, pos, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY model) AS P
+        FROM ds WINDOW w AS (PARTITION BY model ORDER BY y_score DESC ROWS UNBOUNDED PRECEDING))
+SELECT model, round(CASE WHEN max(P) > 0 THEN sum(pos * CAST(cp AS DOUBLE) / CAST(cp + cn AS DOUBLE)) / max(P) END, 9) AS pr_auc
+FROM cum GROUP BY model""")
+def met7_pr_auc(spark, sf_dir):
+    from tidewatch.operators.metrics import pr_auc
+    p = pr_auc(C.predictions(spark, sf_dir))
+    return p.withColumn("pr_auc", F.round("pr_auc", 9))
+
+
+@register("met8_model_comparison", f"""{_PRED}
+SELECT model, {_CLS_OUT} FROM (SELECT model, {_CLS} FROM pred GROUP BY model)""")
+def met8_model_comparison(spark, sf_dir):
+    from tidewatch.operators.metrics import comparison_table, evaluate
+    return comparison_table(evaluate(C.predictions(spark, sf_dir)))
+
+
+@register("adv8_confusion_matrix", f"""{_PRED}
+SELECT model, y_true, y_pred, count(*) AS count FROM pred GROUP BY ALL""")
+def adv8_confusion_matrix(spark, sf_dir):
+    from tidewatch.operators.metrics import confusion_matrix
+    return confusion_matrix(C.predictions(spark, sf_dir))
+
+
+@register("adv5_majority_vote", f"""{_PRED}
+SELECT doc_id, CAST(CASE WHEN 2 * sum(y_pred) > count(*) THEN 1 WHEN 2 * sum(y_pred) < count(*) THEN 0
+                         ELSE CAST(avg(y_score) > 0.5 AS INTEGER) END AS INTEGER) AS y_pred,
+       round(avg(y_score), 9) AS mean_prob
+FROM pred GROUP BY doc_id""")
+def adv5_majority_vote(spark, sf_dir):
+    from tidewatch.operators.metrics import majority_vote
+    return majority_vote(C.predictions(spark, sf_dir)).withColumn("mean_prob", F.round("mean_prob", 9))
+
+
+@register("adv6_confidence_aggregate", f"""{_PRED},
+g AS (SELECT doc_id, sum(abs(y_score - 0.5) * 2 * y_score) AS wp, sum(abs(y_score - 0.5) * 2) AS w,
+             avg(y_score) AS m FROM pred GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN w > 0 THEN wp / w ELSE m END, 9) AS prob,
+       round(greatest(CASE WHEN w > 0 THEN wp / w ELSE m END, 1 - CASE WHEN w > 0 THEN wp / w ELSE m END), 9) AS confidence
+FROM g""")
+def adv6_confidence_aggregate(spark, sf_dir):
+    from tidewatch.operators.metrics import confidence_aggregate
+    c = confidence_aggregate(C.predictions(spark, sf_dir))
+    return c.select("doc_id", F.round("prob", 9).alias("prob"), F.round("confidence", 9).alias("confidence"))
+
+
+@register("adv9_false_positive_reduction", f"""{_PRED},
+vote AS (SELECT doc_id, min(y_true) AS y_true,
+                CASE WHEN 2 * sum(y_pred) > count(*) THEN 1 WHEN 2 * sum(y_pred) < count(*) THEN 0
+                     ELSE CAST(avg(y_score) > 0.5 AS INTEGER) END AS y_pred FROM pred GROUP BY doc_id),
+ep AS (SELECT CASE WHEN sum(y_pred) = 0 THEN 0.0
+                   ELSE CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(sum(y_pred) AS DOUBLE) END AS ensemble_precision FROM vote),
+sp AS (SELECT model, precision FROM (SELECT model, {_CLS_OUT} FROM (SELECT model, {_CLS} FROM pred GROUP BY model)))
+SELECT model, precision, ensemble_precision, ensemble_precision - precision AS precision_delta FROM sp, ep""")
+def adv9_false_positive_reduction(spark, sf_dir):
+    from tidewatch.operators.metrics import false_positive_reduction
+    return false_positive_reduction(C.predictions(spark, sf_dir))
+
+
+# --- JOIN7, SCR1-SCR3, FLT2, FLT3, AGG10, AGG11, LIM2 ------------------------------------------
+_SCORED = f"{_GRAPH_BASE}{O.graph_ctes()}{O.scored_ctes()}"
+SCORED_COLS = ["doc_id", "label", "num_ips", "num_domains", "num_hashes", "num_cves", "cyber_keyword_count",
+               "mitre_matches", "model_prob", "ioc_score", "centrality_score", "threat_score", "alert"]
+
+
+@register("scr_threat_scores", f"""{_SCORED}
+SELECT doc_id, CAST(label AS BIGINT) AS label, num_ips, num_domains, num_hashes, num_cves, cyber_keyword_count,
+       mitre_matches, model_prob, ioc_score, centrality_score, threat_score, alert FROM scored""")
+def scr_threat_scores(spark, sf_dir):
+    s = C.scored(spark, sf_dir)
+    s = s.withColumn("mitre_matches", F.array_join("mitre_matches", ","))
+    return _bigints(s.select(*SCORED_COLS), FEATURE_COLS)
+
+
+@register("flt3_alerts", f"""{_SCORED}
+SELECT doc_id, threat_score FROM scored WHERE alert""")
+def flt3_alerts(spark, sf_dir):
+    from tidewatch.operators.scoring import alerts
+    return alerts(C.scored(spark, sf_dir)).select("doc_id", "threat_score")
+
+
+@register("agg10_alert_summary", f"""{_SCORED}
+SELECT count(*) AS total_alerts, round(avg(threat_score), 9) AS avg_threat_score,
+       max(threat_score) AS max_threat_score FROM scored WHERE alert HAVING count(*) > 0""")
+def agg10_alert_summary(spark, sf_dir):
+    from tidewatch.operators.scoring import alert_summary
+    s = alert_summary(C.scored(spark, sf_dir))
+    return s.select("total_alerts", F.round("avg_threat_score", 9).alias("avg_threat_score"), "max_threat_score")
+
+
+@register("lim2_alert_examples", f"""{_SCORED}
+SELECT doc_id, clean_text, threat_score, alert FROM scored WHERE alert
+ORDER BY threat_score DESC, doc_id LIMIT 10""")
+def lim2_alert_examples(spark, sf_dir):
+    from tidewatch.operators.scoring import alert_examples
+    return alert_examples(C.scored(spark, sf_dir), 10)
+
+
+@register("agg11_alert_total", f"""{_SCORED}
+SELECT CAST(coalesce(sum(CAST(alert AS INTEGER)), 0) AS BIGINT) AS total_alerts FROM scored""")
+def agg11_alert_total(spark, sf_dir):
+    from tidewatch.operators.scoring import alert_total
+    return alert_total(C.scored(spark, sf_dir))

@@ -54,3 +54,26 @@ def graph(spark: SparkSession, sf_dir: str):
     e = entities(spark, sf_dir, t)
     i = iocs(spark, sf_dir, t)
     return t, e, i, G.build_nodes(e, i, t), G.build_edges(e, i, t)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(model, doc_id, y_true, y_pred, y_score)`` from the deterministic model scores."""
+    from tidewatch.sources.tables import model_scores
+    from tidewatch.operators.scoring import binary_decision
+    f = features(spark, sf_dir).select("doc_id", F.col("label").cast("int").alias("y_true"))
+    s = model_scores(spark, sf_dir)
+    return s.join(f, "doc_id").select("model", "doc_id", "y_true",
+                                      binary_decision("prob").alias("y_pred"),
+                                      F.col("prob").alias("y_score"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full alert table: features + tags + graph centrality + model m1 probability."""
+    from tidewatch.operators import graph as G
+    from tidewatch.operators.scoring import compute_threat_score
+    from tidewatch.sources.tables import model_scores
+    t, e, _, n, ed = graph(spark, sf_dir)
+    cent = G.doc_centrality(t.select("doc_id"), e, G.degree_centrality(n, ed))
+    probs = model_scores(spark, sf_dir).filter(F.col("model") == "m1") \
+        .select("doc_id", F.col("prob").alias("model_prob"))
+    return compute_threat_score(t, probs, cent)

@@ -164,3 +164,25 @@ cent AS (SELECT n.id, CAST(count(e.id) AS BIGINT) AS degree,
                      THEN CAST(count(e.id) AS DOUBLE) / CAST((SELECT count(*) FROM nodes) - 1 AS DOUBLE)
                      ELSE 1.0 END AS centrality
          FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY n.id)"""
+
+
+def pred_ctes() -> str:
+    """CTEs ``scores``, ``pred(model, doc_id, y_true, y_pred, y_score)`` on top of ``feat``."""
+    return f""",
+scores AS ({MODEL_SCORES_SQL}),
+pred AS (SELECT s.model, s.doc_id, f.label AS y_true, CAST(s.prob > 0.5 AS INTEGER) AS y_pred,
+                s.prob AS y_score FROM scores s JOIN feat f USING (doc_id))"""
+
+
+def scored_ctes() -> str:
+    """CTE ``scored``: the full alert table (needs prep, tags, entity and graph CTEs)."""
+    return f"""{pred_ctes()},
+dcent AS (SELECT f.doc_id, coalesce((SELECT max(c.centrality) FROM ents e JOIN cent c ON c.id = 'ENT::' || e.ent_text
+                                      WHERE e.doc_id = f.doc_id), 0.0) * 0.2 AS centrality_score FROM feat f),
+scored0 AS (SELECT f.*, t.mitre_matches, s.prob AS model_prob,
+                   CAST((f.num_ips + f.num_domains + f.num_hashes + f.num_cves) * 0.3 AS DOUBLE) AS ioc_score,
+                   d.centrality_score
+            FROM feat f JOIN tags t USING (doc_id) JOIN dcent d USING (doc_id)
+            LEFT JOIN scores s ON s.doc_id = f.doc_id AND s.model = 'm1'),
+scored AS (SELECT *, model_prob + ioc_score + centrality_score AS threat_score,
+                  model_prob + ioc_score + centrality_score > 0.7 AS alert FROM scored0)"""
