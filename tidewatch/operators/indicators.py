@@ -89,3 +89,13 @@ def cross_source_iocs(iocs_a: DataFrame, iocs_b: DataFrame, id_col: str = "doc_i
     a = iocs_a.groupBy("ioc_type", "ioc").agg(F.countDistinct(id_col).alias("docs_a"))
     b = iocs_b.groupBy("ioc_type", "ioc").agg(F.countDistinct(id_col).alias("docs_b"))
     return a.join(b, ["ioc_type", "ioc"])
+
+
+def cve_mappings(iocs: DataFrame, cve_table: DataFrame | None, id_col: str = "doc_id") -> DataFrame:
+    """ADV11: extracted CVE ids left-joined with an optional CVE table
+    ``(cve, ...)`` on the upper-cased id; absent table -> the CVE ids alone."""
+    c = iocs.filter(F.col("ioc_type") == "cves").select(id_col, F.upper("ioc").alias("cve")).distinct()
+    if cve_table is None:
+        return c
+    t = cve_table.withColumn("cve", F.upper("cve"))
+    return c.join(t, "cve", "left")

@@ -531,3 +531,156 @@ SELECT CAST(coalesce(sum(CAST(alert AS INTEGER)), 0) AS BIGINT) AS total_alerts
 def agg11_alert_total(spark, sf_dir):
     from tidewatch.operators.scoring import alert_total
     return alert_total(C.scored(spark, sf_dir))
+
+
+# --- ADV1 ----------------------------------------------------------------------------------
+@register("adv1_tfidf", f"""WITH {O.prep_ctes(False)},
+toks AS (SELECT doc_id, regexp_extract_all(lower(clean_text), '[A-Za-z0-9_]{{2,}}') AS t FROM prep),
+grams AS (SELECT doc_id, unnest(t) AS term FROM toks
+          UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM toks)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+st AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term),
+top AS (SELECT term, df FROM st ORDER BY cf DESC, term LIMIT 20000),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM prep),
+w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS v FROM tf JOIN top USING (term), nd)
+SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 9) AS tfidf FROM w""")
+def adv1_tfidf(spark, sf_dir):
+    from tidewatch.operators.models import tfidf_long
+    t = tfidf_long(C.prepared(spark, sf_dir), max_features=20000)
+    return t.withColumn("tfidf", F.round("tfidf", 9))
+
+
+# --- MDL1-MDL3, ADV2, ADV4, JOIN8, SCR6, FLT5 (rows-only: fitted models) -------------------------
+def _split_features(spark, sf_dir):
+    from tidewatch.operators.sampling import stratified_split
+    return stratified_split(C.features(spark, sf_dir), "label", 0.2, 42)
+
+
+@register("mdl1_text_classifier_metrics")
+def mdl1_text_classifier_metrics(spark, sf_dir):
+    from tidewatch.operators.models import fit_text_classifier
+    return fit_text_classifier(_split_features(spark, sf_dir))[1]
+
+
+@register("mdl2_document_scores")
+def mdl2_document_scores(spark, sf_dir):
+    from tidewatch.operators.models import fit_text_classifier, score_documents
+    d = _split_features(spark, sf_dir)
+    m, _ = fit_text_classifier(d)
+    return score_documents(d, m).select("doc_id", "model", "prob", "pred")
+
+
+@register("adv4_hybrid_classifier_metrics")
+def adv4_hybrid_classifier_metrics(spark, sf_dir):
+    from tidewatch.operators.models import fit_text_classifier
+    d = _split_features(spark, sf_dir)
+    d = d.withColumns({c: F.col(c).cast("double") for c in
+                       ["num_ips", "num_domains", "num_hashes", "num_cves", "cyber_keyword_count"]})
+    return fit_text_classifier(d, extra_numeric=["num_ips", "num_domains", "num_hashes", "num_cves",
+                                                 "cyber_keyword_count"], scale=True, model_name="hybrid_lr")[1]
+
+
+@register("adv3_embedding_classifier")
+def adv3_embedding_classifier(spark, sf_dir):
+    from tidewatch.operators.models import fit_embedding_classifier
+    from tidewatch.sources.tables import load_table
+    return fit_embedding_classifier(load_table(spark, sf_dir, "embeddings"))[1]
+
+
+# --- SCR4, SCR5, SCR6 --------------------------------------------------------------------------
+@register("scr4_choose_model", f"""{_PRED}, {_AUC_PAIRS},
+r AS (SELECT model, CASE WHEN roc_auc IS NULL OR roc_auc < 0.5 THEN 'auc below chance' END AS error,
+             row_number() OVER (ORDER BY model) AS seq FROM auc)
+SELECT model FROM r ORDER BY CASE WHEN model = 'm3' AND error IS NULL THEN 0
+                                  WHEN model = 'm1' AND error IS NULL THEN 1 ELSE 2 END, seq LIMIT 1""")
+def scr4_choose_model(spark, sf_dir):
+    """Results from evaluating every model; a model whose AUC is below chance counts as
+    failed. Preference: m3, then m1, else the first result."""
+    from tidewatch.operators.metrics import roc_auc
+    from tidewatch.operators.scoring import choose_model
+    a = roc_auc(C.predictions(spark, sf_dir))
+    r = a.select("model", F.when(F.col("roc_auc").isNull() | (F.col("roc_auc") < 0.5),
+                                 F.lit("auc below chance")).alias("error"),
+                 F.col("model").alias("seq"))
+    return choose_model(r, ("m3", "m1"))
+
+
+@register("scr5_probability_fallback", f"""WITH {O.prep_ctes()}{O.pred_ctes()},
+s AS (SELECT p.doc_id, max(CASE WHEN p.model = 'm3' AND f.cyber_keyword_count > 0 THEN p.y_score END) AS m3,
+             max(CASE WHEN p.model = 'm2' AND f.source < 'src10' THEN p.y_score END) AS m2
+      FROM pred p JOIN feat f USING (doc_id) GROUP BY p.doc_id)
+SELECT f.doc_id,
+       coalesce(s.m3, s.m2, CAST(('0x' || substr(md5('42:' || CAST(f.doc_id AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0) AS model_prob,
+       CASE WHEN s.m3 IS NOT NULL THEN 'm3' WHEN s.m2 IS NOT NULL THEN 'm2' ELSE 'random' END AS score_source
+FROM feat f LEFT JOIN s USING (doc_id)""")
+def scr5_probability_fallback(spark, sf_dir):
+    """Preferred model m3 has scores only for keyword-bearing documents, m2 only for
+    sources below src10; every other document falls back to the seeded draw."""
+    from tidewatch.operators.scoring import probability_with_fallback
+    f = C.features(spark, sf_dir)
+    p = C.predictions(spark, sf_dir).join(f.select("doc_id", "cyber_keyword_count", "source"), "doc_id")
+    avail = p.filter(((F.col("model") == "m3") & (F.col("cyber_keyword_count") > 0)) |
+                     ((F.col("model") == "m2") & (F.col("source") < "src10"))) \
+             .select("doc_id", "model", F.col("y_score").alias("prob"))
+    return probability_with_fallback(f.select("doc_id"), avail, ["m3", "m2"])
+
+
+@register("scr6_logit_probabilities", f"""WITH {O.prep_ctes()}
+SELECT doc_id, round(1.0 / (1.0 + exp(-((doc_id % 21 - 10) / 2.0))), 9) AS p_sigmoid,
+       round(1.0 / (1.0 + exp(((doc_id % 7) / 4.0) - ((doc_id % 21 - 10) / 2.0))), 9) AS p_softmax,
+       CAST(1.0 / (1.0 + exp(-((doc_id % 21 - 10) / 2.0))) > 0.5 AS INTEGER) AS pred FROM feat""")
+def scr6_logit_probabilities(spark, sf_dir):
+    """Logits derived from the document key -> sigmoid / two-class softmax -> FLT5 decision."""
+    from tidewatch.operators.scoring import binary_decision, sigmoid, softmax_class1
+    f = C.features(spark, sf_dir).select("doc_id")
+    l1 = ((F.col("doc_id") % 21 - 10) / 2.0)
+    l0 = ((F.col("doc_id") % 7) / 4.0)
+    return f.select("doc_id", F.round(sigmoid(l1), 9).alias("p_sigmoid"),
+                    F.round(softmax_class1(l0, l1), 9).alias("p_softmax"),
+                    binary_decision(sigmoid(l1)).alias("pred"))
+
+
+# --- SRC3, SRC4, PRJ1-PRJ3, SET1 ----------------------------------------------------------------
+@register("set1_merge_sources", """
+SELECT 'osint' AS source_kind, 0 AS source_rank, coalesce(CAST(text AS VARCHAR), '') AS text FROM documents
+UNION ALL SELECT 'osint', 1, coalesce(CAST(text AS VARCHAR), '') FROM conversations
+UNION ALL SELECT 'structured', 2, coalesce(CAST(text AS VARCHAR), '') FROM benchmark""")
+def set1_merge_sources(spark, sf_dir):
+    """documents + conversations (OSINT), pages (no text column: skipped) + benchmark (structured)."""
+    from tidewatch.sources.tables import load_table
+    from tidewatch.sources.text_sources import merge_sources
+    m = merge_sources([load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "conversations")],
+                      [load_table(spark, sf_dir, "pages"), load_table(spark, sf_dir, "benchmark")])
+    return m.select("source_kind", "source_rank", "text")
+
+
+# --- ADV10, ADV11 ------------------------------------------------------------------------------
+@register("adv10_technique_tactics", f"""{_GRAPH_BASE},
+tac AS (SELECT * FROM (VALUES ('T1566', 'initial-access'), ('T1059', 'execution'), ('T1486', 'impact'),
+                               ('T1071', 'command-and-control'), ('T1190', 'initial-access'), ('T1219', 'command-and-control'))
+        AS x(technique_id, tactic))
+SELECT DISTINCT d.doc_id, tac.tactic FROM doc_tech d JOIN tac USING (technique_id)""")
+def adv10_technique_tactics(spark, sf_dir):
+    from tidewatch.operators.techniques import technique_tactics
+    # fixed values: tactic of each fixture technique
+    tac = spark.createDataFrame([("T1566", "initial-access"), ("T1059", "execution"), ("T1486", "impact"),
+                                 ("T1071", "command-and-control"), ("T1190", "initial-access"),
+                                 ("T1219", "command-and-control")], "technique_id STRING, tactic STRING")
+    d = C.tech_dict(spark).join(tac, "technique_id")
+    return technique_tactics(C.tagged(spark, sf_dir), d)
+
+
+@register("adv11_cve_mappings", f"""WITH {O.prep_ctes()}{O.ioc_long_cte()},
+cves AS (SELECT DISTINCT doc_id, upper(ioc) AS cve FROM iocl WHERE ioc_type = 'cves'),
+ct AS (SELECT DISTINCT upper(ioc) AS cve, CAST(length(ioc) + 2 * (CAST(right(ioc, 1) AS INTEGER) % 3) AS BIGINT) AS severity
+       FROM iocl WHERE ioc_type = 'cves' AND CAST(right(ioc, 1) AS INTEGER) % 2 = 0)
+SELECT cves.doc_id, cves.cve, ct.severity FROM cves LEFT JOIN ct USING (cve)""")
+def adv11_cve_mappings(spark, sf_dir):
+    """CVE table derived from the corpus (even last digit, a severity rule); odd ids stay unmapped."""
+    from tidewatch.operators.indicators import cve_mappings, ioc_long
+    i = ioc_long(C.prepared(spark, sf_dir))
+    last = F.substring("ioc", -1, 1).cast("int")
+    ct = (i.filter((F.col("ioc_type") == "cves") & (last % 2 == 0))
+          .select(F.upper("ioc").alias("cve"), (F.length("ioc") + 2 * (last % 3)).cast("bigint").alias("severity"))
+          .distinct())
+    return cve_mappings(i, ct)
