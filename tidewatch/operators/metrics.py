@@ -141,8 +141,7 @@ def false_positive_reduction(pred: DataFrame, id_col: str = "doc_id", group: str
     truth = pred.select(id_col, "y_true").distinct()
     ens = majority_vote(pred, id_col).join(truth, id_col) \
         .select(F.lit("ensemble").alias(group), id_col, "y_true", "y_pred")
-    ep = classification_metrics(ens, group).select(
-        F.lit(1).alias("_one"), F.col("precision").alias("ensemble_precision"))
-    single = classification_metrics(pred, group).select(group, "precision", F.lit(1).alias("_one"))
-    return (single.join(F.broadcast(ep), "_one").drop("_one")
+    ep = classification_metrics(ens, group).select("precision").scalar()   # scalar subquery
+    single = classification_metrics(pred, group).select(group, "precision")
+    return (single.withColumn("ensemble_precision", ep)
             .withColumn("precision_delta", F.col("ensemble_precision") - F.col("precision")))

@@ -62,9 +62,8 @@ def tfidf_long(docs: DataFrame, text_col: str = "clean_text", id_col: str = "doc
     tf = g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     top = top_terms(stats, max_features).select("term", "df")
-    ndocs = docs.agg(F.count(F.lit(1)).cast("double").alias("_n")).withColumn("_one", F.lit(1))
-    w = (tf.join(broadcast_if_small(top, 5_000_000), "term")
-           .withColumn("_one", F.lit(1)).join(F.broadcast(ndocs), "_one").drop("_one"))
+    ndocs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()   # scalar subquery
+    w = tf.join(broadcast_if_small(top, 5_000_000), "term").withColumn("_n", ndocs)
     w = w.withColumn("_v", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df")))
                                           + F.lit(1.0)))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))

@@ -96,11 +96,8 @@ def class_weight(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def with_class_weights(df: DataFrame, label_col: str = "label", out_col: str = "weight") -> DataFrame:
     """MDL3 helper: per-row ``weightCol`` (positives weighted by AGG4, negatives 1)."""
-    w = class_weight(df, label_col).withColumn("_one", F.lit(1))
-    return (df.join(F.broadcast(w), F.lit(1) == F.col("_one"), "left")
-              .withColumn(out_col, F.when(F.col(label_col) == 1, F.col("pos_weight"))
-                                    .otherwise(F.lit(1.0)))
-              .drop("pos_weight", "_one"))
+    w = class_weight(df, label_col).scalar()   # scalar subquery, evaluated once
+    return df.withColumn(out_col, F.when(F.col(label_col) == 1, w).otherwise(F.lit(1.0)))
 
 
 # --- SMP1 ---------------------------------------------------------------------
@@ -116,8 +113,7 @@ def undersample(df: DataFrame, label_col: str = "label", seed: int = 42,
                 id_col: str = "doc_id") -> DataFrame:
     """SMP2: every class cut to the smallest class size; one class -> unchanged."""
     c = class_counts(df, label_col)
-    q = c.join(F.broadcast(c.agg(F.min("count").alias("quota")).withColumn("_one", F.lit(1))),
-               F.lit(1) == F.col("_one")).select(label_col, "quota")
+    q = c.select(label_col, c.agg(F.min("count")).scalar().alias("quota"))
     return flag_smallest(df, [label_col], q, seed, id_col).filter("_sel").drop("_sel")
 
 

@@ -91,13 +91,11 @@ def alert_summary(scored: DataFrame, n: int = 10, id_col: str = "doc_id") -> Dat
     a = alerts(scored)
     stats = a.agg(F.count(F.lit(1)).alias("total_alerts"),
                   F.avg("threat_score").alias("avg_threat_score"),
-                  F.max("threat_score").alias("max_threat_score")).withColumn("_one", F.lit(1))
+                  F.max("threat_score").alias("max_threat_score"))
     ex = (alert_examples(scored, n, id_col)
           .agg(F.sort_array(F.collect_list(F.struct(
-              (-F.col("threat_score")).alias("_o"), F.col(id_col), "clean_text", "threat_score", "alert")))
-              .alias("_ex"))
-          .withColumn("_one", F.lit(1)))
-    out = stats.join(F.broadcast(ex), "_one").drop("_one").filter(F.col("total_alerts") > 0)
+              (-F.col("threat_score")).alias("_o"), F.col(id_col), "clean_text", "threat_score", "alert")))))
+    out = stats.withColumn("_ex", ex.scalar()).filter(F.col("total_alerts") > 0)
     return out.withColumn("alert_examples", F.transform(
         "_ex", lambda e: F.struct(e["clean_text"].alias("clean_text"),
                                   e["threat_score"].alias("threat_score"),
