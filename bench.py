@@ -22,6 +22,13 @@ HEADLINE = [
     "ioc_long",
     "dic1_technique_tags",
     "join1_technique_tags_vocabulary",
+    "ent1_entities",
+    "kg_edges",
+    "kg12_degree_centrality",
+    "smp5_stratified_split",
+    "met5_roc_auc",
+    "adv1_tfidf",
+    "scr_threat_scores",
 ]
 
 

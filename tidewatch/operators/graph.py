@@ -103,10 +103,9 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     centrality = degree / (n - 1), a single-node graph gives 1.0."""
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id")))
     deg = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    n = nodes.count()   # scalar used as a literal (bounded: one number)
-    denom = float(n - 1) if n > 1 else None
+    n = nodes.agg(F.count(F.lit(1))).scalar()   # scalar subquery: one number, no driver round trip
     d = nodes.select("id").join(deg, "id", "left").fillna(0, ["degree"])
-    cent = (F.col("degree") / F.lit(denom)) if denom else F.lit(1.0)
+    cent = F.when(n > 1, F.col("degree").cast("double") / (n - 1).cast("double")).otherwise(F.lit(1.0))
     return d.select("id", F.col("degree").cast("bigint").alias("degree"),
                     cent.cast("double").alias("centrality"))
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.util import broadcast_if_small
 
 TOKEN_PATTERN = r"[A-Za-z0-9_]{2,}"
 
@@ -60,10 +59,13 @@ def tfidf_long(docs: DataFrame, text_col: str = "clean_text", id_col: str = "doc
     """ADV1: long TF-IDF table over the top ``max_features`` terms."""
     g = _grams(docs, text_col, id_col, ngram_range)
     tf = g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the cut needs one action; cut lineage first so the text stages run once
+    tf = tf.checkpoint(eager=True)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     top = top_terms(stats, max_features).select("term", "df")
     ndocs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()   # scalar subquery
-    w = tf.join(broadcast_if_small(top, 5_000_000), "term").withColumn("_n", ndocs)
+    # ``top`` has at most ``max_features`` rows by construction
+    w = tf.join(F.broadcast(top), "term").withColumn("_n", ndocs)
     w = w.withColumn("_v", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df")))
                                           + F.lit(1.0)))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))

@@ -20,7 +20,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.util import broadcast_if_small
 
 _K, _B = "_skey", "_sbucket"
 
@@ -35,6 +34,12 @@ def _keyed(df: DataFrame, seed: int, id_col: str) -> DataFrame:
               .withColumn(_B, F.conv(F.substring(_K, 1, 4), 16, 10).cast("int")))
 
 
+def _hist_hint(h: DataFrame, groups: list[str]) -> DataFrame:
+    """Without groups the histogram has at most 65,536 rows: broadcast. With
+    groups its size is 65,536 x #groups; AQE decides from the materialized size."""
+    return F.broadcast(h) if not groups else h
+
+
 def _histogram(keyed: DataFrame, groups: list[str]) -> DataFrame:
     """(groups.., bucket, cnt, before): rows per bucket and rows in earlier buckets."""
     h = keyed.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -55,7 +60,7 @@ def flag_smallest(df: DataFrame, groups: list[str], quotas: DataFrame | None, se
     h = h.withColumn("_take", F.least(F.greatest(F.col("quota") - F.col("_before"), F.lit(0)),
                                       F.col("_cnt")))
     h = h.select(*groups, _B, "_take", "_cnt")
-    j = keyed.join(broadcast_if_small(h), groups + [_B], "left")
+    j = keyed.join(_hist_hint(h, groups), groups + [_B], "left")
     full = j.filter(F.col("_take") == F.col("_cnt")).withColumn(flag, F.lit(True))
     none = j.filter(F.coalesce(F.col("_take"), F.lit(0)) == 0).withColumn(flag, F.lit(False))
     edge = j.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_cnt")))
@@ -70,7 +75,7 @@ def rank_within_group(df: DataFrame, groups: list[str], seed: int, id_col: str =
     """Dense 0-based rank by (key, id) inside each group, without a whole-group window."""
     keyed = _keyed(df, seed, id_col)
     h = _histogram(keyed, groups).select(*groups, _B, "_before")
-    j = keyed.join(broadcast_if_small(h), groups + [_B])
+    j = keyed.join(_hist_hint(h, groups), groups + [_B])
     w = Window.partitionBy(*groups, _B).orderBy(_K, id_col)
     return j.withColumn(rank_col, F.col("_before") + F.row_number().over(w) - 1).drop(_K, _B, "_before")
 
@@ -141,8 +146,7 @@ def oversample(df: DataFrame, label_col: str = "label", seed: int = 42,
             F.lit(f"{seed}:{l}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(n))
         draws = spark.range(max_n).select(F.lit(l).cast(df.schema[label_col].dataType).alias(label_col),
                                           slot.alias("_rank"))
-        rows = ranked.filter(F.col(label_col) == l)
-        rows = broadcast_if_small(rows, 1_000_000)
+        rows = ranked.filter(F.col(label_col) == l)   # AQE broadcasts it when small
         parts.append(draws.join(rows, [label_col, "_rank"]).drop("_rank").select(*df.columns))
     out = parts[0]
     for p in parts[1:]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, LongType, StringType, StructField,
                                StructType)
 
-INLINE_KEYWORD_LIMIT = 64
+INLINE_KEYWORD_LIMIT = 512
 
 DICT_SCHEMA = StructType([
     StructField("pos", LongType()),

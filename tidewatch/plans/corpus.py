@@ -50,7 +50,9 @@ def iocs(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Dat
 def graph(spark: SparkSession, sf_dir: str):
     """(tagged docs, entities, iocs, nodes, edges) sharing one prepared corpus."""
     from tidewatch.operators import graph as G
-    t = tagged(spark, sf_dir)
+    # entities, indicators and techniques all read the tagged corpus: checkpoint
+    # it once (shared checkpoint dir) so cleaning and dedup run a single time
+    t = tagged(spark, sf_dir).drop("text").checkpoint(eager=True)
     e = entities(spark, sf_dir, t)
     i = iocs(spark, sf_dir, t)
     return t, e, i, G.build_nodes(e, i, t), G.build_edges(e, i, t)
