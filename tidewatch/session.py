@@ -20,7 +20,7 @@ def build_session(master: str | None = None, app: str = "tidewatch",
     cpus = os.environ.get("BENCH_CPUS", "8")
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 4 * int(cpus)))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -25,7 +25,9 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     repartition so all cores take part.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
+    # 4 splits per core: document sizes vary by four orders of magnitude, so
+    # smaller tasks keep one long document from holding up a whole stage
+    want = min_partitions or 4 * spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
