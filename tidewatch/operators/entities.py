@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.ngrams import ngram_union
 from tidewatch.functions.patterns import ENTITY_LABELS
 from tidewatch.operators.util import broadcast_if_small
 
@@ -37,13 +38,7 @@ def extract_entities(docs: DataFrame, gazetteer: DataFrame, text_col: str = "cle
         return docs.sparkSession.createDataFrame(
             [], f"{id_col} BIGINT, pos INT, ent_text STRING, ent_label STRING")
     toks = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), " ").alias("_t"))
-    ns_arr = F.array(*[F.lit(n) for n in ns])
-    grams = F.flatten(F.transform(ns_arr, lambda n: F.when(
-        F.size("_t") >= n,
-        F.transform(F.sequence(F.lit(0), F.size("_t") - n),
-                    lambda i: F.struct(i.alias("pos"), n.alias("n"),
-                                       F.array_join(F.slice("_t", i + 1, n), " ").alias("g"))))))
-    ex = toks.select(id_col, F.inline(grams))
+    ex = ngram_union(toks, "_t", ns, keep=(id_col,), out="g")
     matches = ex.join(broadcast_if_small(g, row_limit), ex["g"] == g["phrase"]) \
                 .select(id_col, "pos", g["n"], F.col("phrase").alias("ent_text"),
                         F.col("label").alias("ent_label"))

@@ -27,13 +27,8 @@ def _grams(docs: DataFrame, text_col: str, id_col: str, ngram_range=(1, 2)) -> D
     lo, hi = ngram_range
     t = docs.select(id_col, F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
                                                  F.lit(TOKEN_PATTERN), F.lit(0)).alias("_t"))
-    ns = F.array(*[F.lit(n) for n in range(lo, hi + 1)])
-    grams = F.flatten(F.transform(ns, lambda n: F.when(
-        F.size("_t") >= n,
-        F.transform(F.sequence(F.lit(0), F.size("_t") - n),
-                    lambda i: F.array_join(F.slice("_t", i + 1, n), " ")))
-        .otherwise(F.array().cast("array<string>"))))
-    return t.select(id_col, F.explode(grams).alias("term"))
+    from tidewatch.functions.ngrams import ngram_union
+    return ngram_union(t, "_t", range(lo, hi + 1), keep=(id_col,), out="term", n_col=None).drop("pos")
 
 
 def top_terms(stats: DataFrame, n: int) -> DataFrame:

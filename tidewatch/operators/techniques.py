@@ -96,16 +96,22 @@ def tag_techniques(docs: DataFrame, dictionary: DataFrame, text_col: str = "clea
 def _tag_inline(docs, dictionary, text_col, out_col):
     # bounded by INLINE_KEYWORD_LIMIT keywords (checked above)
     rows = dictionary.orderBy("pos").select("technique_id", "keywords").collect()
-    entries = [F.struct(F.lit(r["technique_id"]).alias("id"),
-                        F.array(*[F.lit(k) for k in (r["keywords"] or [])]
-                                or [F.lit(None).cast("string")]).alias("kw"))
-               for r in rows if r["keywords"]]
-    if not entries:
+    rows = [r for r in rows if r["keywords"]]
+    if not rows:
         return docs.withColumn(out_col, F.array().cast("array<string>"))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    dict_arr = F.array(*entries)
-    hit = F.filter(dict_arr, lambda e: F.exists(e["kw"], lambda k: F.contains(text, k)))
-    return docs.withColumn(out_col, F.transform(hit, lambda e: e["id"]))
+    # lower-case once into a column; every test below reads it
+    d = docs.withColumn("_lt", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    text = F.col("_lt")
+    # one CASE per dictionary row, in dictionary order; array_compact drops misses.
+    # Plain expressions (no lambdas) so the whole test is code-generated.
+    tests = []
+    for r in rows:
+        cond = None
+        for k in r["keywords"]:
+            c = text.contains(F.lit(k))
+            cond = c if cond is None else (cond | c)
+        tests.append(F.when(cond, F.lit(r["technique_id"])))
+    return d.withColumn(out_col, F.array_compact(F.array(*tests))).drop("_lt")
 
 
 def _tag_vocabulary(docs, dictionary, text_col, id_col, out_col):
@@ -122,18 +128,9 @@ def _tag_vocabulary(docs, dictionary, text_col, id_col, out_col):
 
     toks = docs.select(F.col(id_col).alias("_id"),
                        F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("_t"))
-    parts = []
-    for m in sorted(lens_by_m):
-        sh = F.when(F.size("_t") >= m, F.transform(
-            F.sequence(F.lit(0), F.size("_t") - m),
-            lambda i: F.array_join(F.slice("_t", i + 1, m), " "))
-        ).otherwise(F.array().cast("array<string>"))
-        parts.append(toks.select("_id", F.lit(m).alias("m"),
-                                 F.explode(F.array_distinct(sh)).alias("sh")))
-    doc_sh = parts[0]
-    for p in parts[1:]:
-        doc_sh = doc_sh.unionByName(p)
-    doc_sh = doc_sh.filter(F.col("sh") != "")
+    from tidewatch.functions.ngrams import ngram_union
+    doc_sh = (ngram_union(toks, "_t", sorted(lens_by_m), keep=("_id",), out="sh", n_col="m")
+              .filter(F.col("sh") != "").select("_id", "m", "sh").distinct())
 
     vocab = doc_sh.select("m", "sh").distinct()
     subs = []

@@ -53,8 +53,9 @@ def graph(spark: SparkSession, sf_dir: str):
     # entities, indicators and techniques all read the tagged corpus: checkpoint
     # it once (shared checkpoint dir) so cleaning and dedup run a single time
     t = tagged(spark, sf_dir).drop("text").checkpoint(eager=True)
-    e = entities(spark, sf_dir, t)
-    i = iocs(spark, sf_dir, t)
+    # nodes, edges and centrality each read both long tables: compute them once
+    e = entities(spark, sf_dir, t).checkpoint(eager=True)
+    i = iocs(spark, sf_dir, t).checkpoint(eager=True)
     return t, e, i, G.build_nodes(e, i, t), G.build_edges(e, i, t)
 
 
