@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 
 TOKEN_PATTERN = r"[A-Za-z0-9_]{2,}"
+ROWS_PER_FIT_PARTITION = 50_000
 
 
 def _grams(docs: DataFrame, text_col: str, id_col: str, ngram_range=(1, 2)) -> DataFrame:
@@ -68,7 +69,7 @@ def tfidf_long(docs: DataFrame, text_col: str = "clean_text", id_col: str = "doc
 
 
 def text_pipeline(text_col: str = "clean_text", label_col: str = "label", weight_col: str | None = "weight",
-                  extra_numeric=(), vocab_size: int = 20000, max_iter: int = 20, scale: bool = False):
+                  extra_numeric=(), vocab_size: int = 20000, max_iter: int = 50, scale: bool = False):
     """MDL1/ADV2/ADV4 estimator: unigram + bigram TF-IDF (+ numeric features) -> LR."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -114,6 +115,10 @@ def fit_text_classifier(df: DataFrame, text_col: str = "clean_text", label_col:
     cols = ["doc_id", text_col, label_col, split_col, *extra_numeric]
     d = with_class_weights(df.select(*cols).withColumn(label_col, F.col(label_col).cast("double")),
                            label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    # Iterative fitting pays a per-task cost every iteration: size partitions to
+    # the data (~50k rows each, no shuffle). Large inputs keep all partitions.
+    n = d.count()
+    d = d.coalesce(max(1, min(d.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION))))
     model = text_pipeline(text_col, label_col, "weight", extra_numeric, scale=scale).fit(
         d.filter(F.col(split_col) == "train"))
     test = score_documents(d.filter(F.col(split_col) == "test"), model, model_name)
@@ -143,7 +148,9 @@ def fit_embedding_classifier(emb: DataFrame, label_col: str = "label", max_iter:
 
     d = emb.select("vec_id", F.col(label_col).cast("double").alias("label"),
                    array_to_vector(F.col("embedding")).alias("features"))
-    d = stratified_split(d, "label", 0.2, seed, "vec_id")
+    d = stratified_split(d, "label", 0.2, seed, "vec_id").persist()
+    n = d.count()
+    d = d.coalesce(max(1, min(d.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION))))
     lr = LogisticRegression(maxIter=max_iter, regParam=1e-3, family="multinomial")
     m = lr.fit(d.filter(F.col("split") == "train"))
     p = m.transform(d.filter(F.col("split") == "test")).select("vec_id", "label", "prediction")
