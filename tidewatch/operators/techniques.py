@@ -129,8 +129,10 @@ def _tag_vocabulary(docs, dictionary, text_col, id_col, out_col):
     toks = docs.select(F.col(id_col).alias("_id"),
                        F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("_t"))
     from tidewatch.functions.ngrams import ngram_union
+    # repeated shingles of one document only repeat hits, which the distinct on
+    # (doc, technique) below collapses; no shuffle of all shingles here
     doc_sh = (ngram_union(toks, "_t", sorted(lens_by_m), keep=("_id",), out="sh", n_col="m")
-              .filter(F.col("sh") != "").select("_id", "m", "sh").distinct())
+              .filter(F.col("sh") != "").select("_id", "m", "sh"))
 
     vocab = doc_sh.select("m", "sh").distinct()
     subs = []
