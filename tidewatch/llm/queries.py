@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .quality import OP7_SQL, op7_quality_rules
 from .substring import op9_substring_dedup
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_substring_dedup": op9_substring_dedup}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
