@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import keyed, out_id, parts, ready, text_bytes
@@ -102,8 +102,23 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+def settled(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows whose window also stands, in these rows, under a smaller id."""
+    order = np.lexsort((h2, h1))
+    new = np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
+    out = np.empty(len(ids), bool)
+    out[order] = ids[order] > least[np.cumsum(new) - 1]
+    return out
+
+
 def candidate_windows(docs: DataFrame, n: int, width: int) -> DataFrame:
-    """``(h1, h2, _id, _fp, pos)`` of every window that the sketch puts at two or more."""
+    """``(h1, h2, _id, _fp, pos, run, sure)`` of the windows that the sketch puts at two or more.
+
+    Windows that stand under a smaller id in the same slice of a task are settled there: they are
+    ``sure``, come as runs of ``run`` windows, and have keys of their own, so a passage of a third
+    of all documents sends one row a slice to its group and not one a document.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, n, width))
 
     def find(batches):
@@ -120,13 +135,25 @@ def candidate_windows(docs: DataFrame, n: int, width: int) -> DataFrame:
                     continue
                 h1, at = windows(h, w.bounds, n, seed=21)
                 h2, _ = windows(h ^ np.uint64(0x5851F42D4C957F2D), w.bounds, n, seed=22)
-                doc = w.doc()[at[maybe]]
+                h1, h2, at = h1[maybe].view(np.int64), h2[maybe].view(np.int64), at[maybe]
+                doc = w.doc()[at]
                 ids, fps = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_fp"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    h1[maybe].view(np.int64), h2[maybe].view(np.int64), ids[doc], fps[doc],
-                    (at[maybe] - w.bounds[doc]).astype(np.int32))], ["h1", "h2", "_id", "_fp", "pos"])
-
-    return docs.mapInArrow(find, "h1 long, h2 long, _id long, _fp long, pos int")
+                pos = (at - w.bounds[doc]).astype(np.int32)
+                sure = settled(h1, h2, ids[doc])
+                for known, rows in ((False, np.flatnonzero(~sure)), (True, np.flatnonzero(sure))):
+                    if not len(rows):
+                        continue
+                    run = np.ones(len(rows), np.int32)
+                    if known:
+                        starts = np.flatnonzero(np.r_[True, (np.diff(at[rows]) != 1) | (np.diff(doc[rows]) != 0)])
+                        run = np.diff(np.append(starts, len(rows))).astype(np.int32)
+                        rows = rows[starts]
+                    d = doc[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                        mix(at[rows].astype(np.uint64) + fps[d].view(np.uint64)).view(np.int64) if known else h1[rows], h2[rows],
+                        ids[d], fps[d], pos[rows], run, np.full(len(rows), known))], ["h1", "h2", "_id", "_fp", "pos", "run", "sure"])
+
+    return docs.mapInArrow(find, "h1 long, h2 long, _id long, _fp long, pos int, run int, sure boolean")
 
 
 def remove_repeated_windows(docs: DataFrame, n: int = 50) -> DataFrame:
@@ -142,9 +169,9 @@ def remove_repeated_windows(docs: DataFrame, n: int = 50) -> DataFrame:
     anchors = text_bytes(own) // 6 * 2 // (max(n - GRAM, 1) + 2)
     width = min(max(1 << int(6 * anchors + 1).bit_length(), LEAST_CELLS), MOST_CELLS)
     found = candidate_windows(own, n, width)
-    first = found.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").drop("last")
-    marks = (found.join(first, ["h1", "h2"]).where("_id > first")
-             .groupBy("_id", "_fp").agg(F.collect_list("pos").alias("marks")))
+    same = Window.partitionBy("h1", "h2", "sure")
+    marks = (found.withColumn("first", F.min("_id").over(same)).where("sure or _id > first")
+             .groupBy("_id", "_fp").agg(F.collect_list(F.struct("pos", "run")).alias("marks")))
 
     def delete(batches):
         for batch in batches:
@@ -154,9 +181,9 @@ def remove_repeated_windows(docs: DataFrame, n: int = 50) -> DataFrame:
                 total.append(len(got))
                 if marked.is_valid:
                     edge = np.zeros(len(got) + 1, np.int64)
-                    at = np.unique(marked.values.to_numpy())
-                    edge[at] += 1
-                    edge[at + n] -= 1
+                    at, run = (marked.values.field(k).to_numpy() for k in (0, 1))
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + run + (n - 1), -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     got = [got[i] for i in np.flatnonzero(stay)]
                 removed.append(total[-1] - len(got))
