@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op10_best_fit_packing
 from .quality import OP7_SQL, op7_quality_rules
 from .substring import op9_substring_dedup
+from .token_files import op5_token_files
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_substring_dedup": op9_substring_dedup}
+QUERIES = {f.__name__: f for f in (op5_token_files, op7_quality_rules, op9_substring_dedup, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
