@@ -8,13 +8,16 @@ the words it has met (at most MOST_WORDS, then it starts afresh: a cache, not a
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 from .words import Flat, Words, hashes, words
 
-MOST_WORDS = 400_000
+MOST_WORDS = 700_000
 VOCABULARY = "word_bpe_49k.json"
+#: Words that the vocabulary neither normalizes nor parts: lower-case Latin letters, composed.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,6 +48,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.model._clear_cache()
+        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these bytes stand for themselves,
+        rest = [b for b in range(256) if b not in keep]  # the others for the code points from 256 on
+        self.alphabet = {b: 256 + k for k, b in enumerate(rest)}
         self.forget()
 
     def forget(self) -> None:
@@ -52,9 +60,18 @@ class Encoder:
         self.ids, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.n_ids = 0
 
+    def plain(self, word: str) -> list[int]:
+        """Ids of a PLAIN word from the model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.model.tokenize(word)]
+
     def learn(self, keys: list[int], new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch(new[at:at + 20_000], add_special_tokens=False)]
+            got = [self.plain(x) if PLAIN.fullmatch(x) else None for x in new[at:at + 20_000]]
+            rest = [i for i, x in enumerate(got) if x is None]
+            for i, e in zip(rest, self.tokenizer.encode_batch([new[at + i] for i in rest], add_special_tokens=False), strict=True):
+                got[i] = e.ids
             length = np.fromiter(map(len, got), np.int64, len(got))
             row, total = len(self.row), int(length.sum())
             while row + len(got) + 1 > len(self.first):
