@@ -382,10 +382,13 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                                                  ["cluster", "cls", "shingles"])
 
     about = own.mapInArrow(describe, "_id long, _fp long, n_shingles long, cls long").checkpoint()
-    # One shuffle: the distinct and the count below both keep to the partitions of the token.
+    # One shuffle: the distinct and the sums below keep to the partitions of the token. Copies with
+    # small changes share dozens of tokens; tokens shared by the same classes are one block.
     rows = own.mapInArrow(prefixes, "token long, cls long, size_class byte").repartition(parts(spark), "token", "size_class").distinct()
-    shared = (rows.withColumn("members", F.count("*").over(Window.partitionBy("token", "size_class")))
-              .where("members > 1").drop("members").checkpoint())
+    same = Window.partitionBy("token", "size_class")
+    rows = rows.select("size_class", "cls", F.count("*").over(same).alias("members"),
+                       F.bit_xor(F.xxhash64("cls")).over(same).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).over(same).alias("y"))
+    shared = (rows.where("members > 1").select(F.xxhash64("members", "x", "y").alias("token"), "size_class", "cls").distinct().checkpoint())
     some = shared.select("cls", "size_class").distinct()
     marks = own.mapInArrow(signatures, "cls long, size_class byte, n long, excess long, bits binary").dropDuplicates(["cls", "size_class"])
     blocks = dealt(shared, ["token", "size_class"]).join(marks.join(some, ["cls", "size_class"]), ["cls", "size_class"])
