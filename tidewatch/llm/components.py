@@ -16,7 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     only the number of changed labels comes to the driver.
     """
     ready(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct().checkpoint()
+    # Both directions from one evaluation: which spanning edges come out may depend on row order.
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.where("a <> b").select(F.inline(turned)).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")).checkpoint()
     while True:
         near = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m")))

@@ -393,7 +393,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     marks = own.mapInArrow(signatures, "cls long, size_class byte, n long, excess long, bits binary").dropDuplicates(["cls", "size_class"])
     blocks = dealt(shared, ["token", "size_class"]).join(marks.join(some, ["cls", "size_class"]), ["cls", "size_class"])
     keys = ["token", "size_class", "part_a", "part_b"]
-    blocks = blocks.repartition(parts(spark), *keys).sortWithinPartitions(*keys)
+    blocks = blocks.repartition(parts(spark), *keys).sortWithinPartitions(*keys, "cls")
     clusters = components(blocks.mapInArrow(block_edges(percent), "a long, b long"))
     clusters = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
     reps = about.where("cls is not null").groupBy("cls").agg(F.min(F.struct("_id", "_fp")).alias("r")).select("cls", "r._id", "r._fp")
@@ -401,7 +401,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = dealt(texts.mapInArrow(gather, "cluster long, cls long, shingles binary"), ["cluster"],
                  F.greatest(F.lit(1 / BLOCK), F.octet_length("shingles") / F.lit(SETS_BYTES)))
     keys = ["cluster", "part_a", "part_b"]
-    sets = sets.repartition(parts(spark), *keys).sortWithinPartitions(*keys)
+    sets = sets.repartition(parts(spark), *keys).sortWithinPartitions(*keys, "cls")
     linked = components(sets.mapInArrow(exact_links(percent, n), "a long, b long"))
     groups = about.where("cls is not null").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = groups.groupBy("root").agg(F.min("_id").alias("component"))
