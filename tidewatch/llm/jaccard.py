@@ -31,7 +31,7 @@ from .words import Words, flat, hashes, mix, odd, slices, windows, words
 BLOCK = 4096
 FAN = 16
 SETS_BYTES = 64 << 20
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 MOST_BITS = 1 << 15
 
 
@@ -66,45 +66,47 @@ def size_classes(n: int, percent: int) -> list[int]:
 
 
 def bitmap(s: np.ndarray, size_class: int) -> tuple[bytes, int]:
-    """One bit a token (2 to 4 bits' room a token), and how many tokens fell on taken bits."""
-    bits = min(max(64, 2 << size_class), MOST_BITS)
+    """One bit a token (1 to 2 bits' room a token), and how many tokens fell on taken bits."""
+    bits = min(max(64, 1 << size_class), MOST_BITS)
     flags = np.zeros(bits, bool)
     flags[(s >> np.uint64(13)) & np.uint64(bits - 1)] = True
     return np.packbits(flags).tobytes(), len(s) - int(flags.sum())
 
 
 def frequent_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """Frequency level of each sketch cell: 0 for cells near the mean, then doublings above it.
+    """Frequency level of each sketch cell: 0 for cells near the median, then doublings of what stands out.
 
-    The sketch has SKETCH cells at any input size (4 MB); it only orders tokens, and every order is right.
+    The sketch has SKETCH cells at any input size (4 MB of levels); it only orders tokens, and every order is right.
     """
-    segment = 1 << 14
+    segment = 1 << 16
 
     def count(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
         for batch in batches:
             for part in slices(batch):
                 w = words(flat(part.column("text")), lower=True)
                 value, _ = windows(hashes(w), w.bounds, n)
-                total += np.bincount((value & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        for k in np.flatnonzero(total.reshape(-1, segment).any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([total[k * segment:(k + 1) * segment].tobytes()], pa.binary())], ["k", "cells"])
+                np.add.at(total, (value & np.uint64(SKETCH - 1)).astype(np.int64), np.int32(1))
+        rows = np.minimum(total, 255).astype(np.uint8).reshape(-1, segment)  # a task's cell counts on to 255
+        for k in np.flatnonzero(rows.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([rows[k].tobytes()], pa.binary())], ["k", "cells"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cells in zip(batch.column("k").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(cells, np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(cells, np.uint8).astype(np.int64)
         for k, cells in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([cells.tobytes()], pa.binary())], ["k", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([cells.astype("<u4").tobytes()], pa.binary())], ["k", "cells"])
 
     merged = (docs.select("text").mapInArrow(count, "k long, cells binary")
               .repartition(min(64, parts(docs.sparkSession)), "k").mapInArrow(merge, "k long, cells binary"))
     total = np.zeros(SKETCH, np.int64)
     for k, cells in merged.collect():  # SKETCH cells, whatever the input
-        total[k * segment:(k + 1) * segment] = np.frombuffer(cells, np.int64)
+        total[k * segment:(k + 1) * segment] = np.frombuffer(cells, "<u4")
     usual = max(1.0, float(np.median(total)))
-    return np.clip(np.floor(np.log2(np.maximum(total / usual / 1.5, 1))), 0, 255).astype(np.uint8)
+    above = np.maximum(total - usual - 4 * np.sqrt(usual), 0) / np.sqrt(usual)
+    return np.floor(np.log2(1 + above)).astype(np.uint8)
 
 
 class Tree:
@@ -292,7 +294,7 @@ def exact_links(percent: int, n: int):
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").slice(lo, hi - lo)]
                 order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
                 sets = [sets[k] for k in order]
-                made = [bitmap(s, 11) for s in sets]
+                made = [bitmap(s, 12) for s in sets]
                 tree = Tree(np.array([np.frombuffer(b, np.uint64) for b, _ in made]), np.array([len(s) for s in sets]), np.array([x for _, x in made]))
 
                 def link(p, q, sets=sets):
