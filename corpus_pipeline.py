@@ -1,10 +1,64 @@
-"""Corpus pipeline: stages are added as their operators land."""
+"""Corpus pipeline: quality rules, line dedup, near duplicates, decontamination, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All but
+the last return the columns of ``documents``; the last returns the packed pieces. ``run`` writes
+every stage as Parquet to the shared folder and reads it back, so a lost executor costs tasks of
+one stage only. The whole has no SQL (tokens, edit distance, local search); its tests hold each
+stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm.decontaminate import keep_clean
+from tidewatch.llm.frames import documents, shared_folder
+from tidewatch.llm.jaccard import keep_one_of_each
+from tidewatch.llm.lines import remove_repeated_lines
+from tidewatch.llm.packing import pack_documents
+from tidewatch.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current quality policy keeps, unchanged."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of two lines or more are cut; a document of which no word is left goes."""
+    done = remove_repeated_lines(docs)
+    done = done.where((F.col("_n_removed") < F.col("_n_lines")) | (F.col("_n_lines") == 0))
+    same = [F.col(f"`{c}`") for c in docs.columns if c != "n_chars"]
+    return done.select(*same, F.length("text").cast("long").alias("n_chars")).select(*[F.col(f"`{c}`") for c in docs.columns]) \
+        if "n_chars" in docs.columns else done.select(*same)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at a Jaccard similarity of 0.8 over five-word shingles: the least id."""
+    return keep_one_of_each(docs, 5, 80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within a fifth of its words in edits."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 80)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and the sequence and offset of each."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table; returns what the last one wrote."""
+    docs = documents(spark, sf_dir)
+    folder = shared_folder(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import keyed, out_id, parts, ready
+from .frames import keyed, out_id, parts, ready, row_id
 from .words import Words, flat, hashes, mix, odd, slices, windows, words
 
 BLOCK = 4096
@@ -411,6 +411,23 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return full.unionByName(about.where("cls is null").select("_id", "_fp", "n_shingles", F.col("_id").alias("component")))
 
 
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The input's rows, unchanged, less all but one of each group of linked texts: the least id stays.
+
+    Of repeated rows one stays. Texts without words are linked with nothing and stay.
+    """
+    names = docs.columns
+    others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"])
+    rows = docs.select(row_id().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_fp"), others.alias("row"), F.col("text").alias("_text"))
+    found = similarity_classes(docs, n, percent)
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("_id", "_fp")).alias("k"), F.lit(True).alias("one"))
+    empty = found.where("n_shingles = 0").select("_id", "_fp", F.lit(False).alias("one")).distinct()
+    stay = first.select("k._id", "k._fp", "one").unionByName(empty)
+    order = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64("row"))
+    kept = rows.join(stay, ["_id", "_fp"]).withColumn("copy", F.row_number().over(order)).where("copy = 1 or not one")
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names])
+
+
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     from .frames import NULL_ID, documents
 

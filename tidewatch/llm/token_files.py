@@ -8,7 +8,6 @@ Spark reads the files back as binary rows, one file to a row.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encoder, vocabulary_path
-from .frames import keyed, out_id, parts, ready
+from .frames import keyed, out_id, parts, shared_folder
 from .pfor import read, write
 from .words import flat, slices
 
@@ -26,10 +25,6 @@ END = 1
 FILE_IDS = 1 << 21
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    return f"{ready(spark).sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def write_token_files(docs: DataFrame, folder: str, end: int = END, path: str | None = None, n_parts: int | None = None) -> list[int]:
     """Write all documents in ascending id order; return the ids of each part, a number a task.
 
