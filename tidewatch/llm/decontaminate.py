@@ -24,6 +24,7 @@ from .words import Flat, flat, hashes, mix, odd, slices, windows, words
 
 WALKS, STEPS, SAMPLED = 4, 8, (0, 3, 5, 7)
 MIN_WORDS = 8
+HITS = 2
 BLOCK_BYTES = 8 << 20
 FILTER = 1 << 22
 
@@ -107,6 +108,14 @@ class Matcher:
                 best, end = score, at + 1
         return best, end
 
+    @staticmethod
+    def enough(pairs: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Slots of (text, item, slot) that agree in HITS samples at least, those of the next slot included."""
+        next_ = np.zeros(len(hits), bool)
+        next_[:-1] = (np.diff(pairs[0]) == 0) & (np.diff(pairs[1]) == 0) & (np.diff(pairs[2]) == 1)
+        both = hits + np.where(next_, np.append(hits[1:], 0), 0)
+        return pairs[:, both >= HITS]
+
     def find(self, texts: Flat) -> list[tuple[int, int, int, int]]:
         """``(text, item, distance, end word)``, the best match of each text and item within the item's allowance."""
         w = words(texts, lower=True)
@@ -127,7 +136,8 @@ class Matcher:
             start = at - off - w.bounds[doc]
             allowed = np.array([i.allowed for i in self.items])[own]
             slot = start // (allowed + 1)
-            for d, o, s in np.unique(np.stack([doc, own, slot]), axis=1).T.tolist():
+            pairs, hits = np.unique(np.stack([doc, own, slot]), axis=1, return_counts=True)
+            for d, o, s in self.enough(pairs, hits).T.tolist():
                 item = self.items[o]
                 best = found.get((d, o), (item.allowed + 1, 0))
                 if best[0] == 0:
@@ -136,7 +146,7 @@ class Matcher:
                 low = max(0, begin - 2 * item.allowed)
                 high = begin + 3 * item.allowed + item.n + 1
                 region = h[w.bounds[d] + low:min(w.bounds[d + 1], w.bounds[d] + max(high, 0))].tolist()
-                if len(region) + item.allowed < item.n:
+                if sum(map(item.masks.__contains__, region)) < item.n - item.allowed:
                     continue
                 got, end = self.distance(item, region)
                 if got < best[0]:
