@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import keyed, out_id, parts, ready, text_bytes
-from .words import flat, hashes, mix, slices, windows, words
+from .words import Flat, flat, hashes, mix, slices, windows, words
 
 GRAM = 8
 SEGMENT = 1 << 16
@@ -54,22 +54,32 @@ def cells(value: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) & np.uint64(width - 1)).astype(np.int64)
 
 
-def repeated_cells(docs: DataFrame, n: int, width: int) -> list[np.ndarray]:
-    """Bitmaps of the cells that count two or more, one for each row of the sketch."""
+def run_values(n: int):
+    """The minimizers of a slice's windows, once for each run of windows of one text that share it."""
+
+    def values(texts: Flat) -> np.ndarray:
+        w = words(texts)
+        value, first = window_minimizers(hashes(w), w.bounds, n)
+        if not len(value):
+            return value
+        doc = w.doc()[first]
+        return value[np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]]
+
+    return values
+
+
+def repeated_cells(docs: DataFrame, values, width: int) -> list[np.ndarray]:
+    """Bitmaps of the cells that count two or more of ``values(texts)``, one for each row of the sketch."""
     spark = docs.sparkSession
 
     def sketch(batches):
         count = np.zeros((DEPTH, width), np.uint8)
         for batch in batches:
             for part in slices(batch):
-                w = words(flat(part.column("text")))
-                value, first = window_minimizers(hashes(w), w.bounds, n)
-                if len(value):
-                    doc = w.doc()[first]
-                    run = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]
-                    for row in range(DEPTH):
-                        at, times = np.unique(cells(value[run], row, width), return_counts=True)
-                        count[row, at] = np.minimum(count[row, at] + np.minimum(times, 2), 2)
+                value = values(flat(part.column("text")))
+                for row in range(DEPTH):
+                    at, times = np.unique(cells(value, row, width), return_counts=True)
+                    count[row, at] = np.minimum(count[row, at] + np.minimum(times, 2), 2)
         for row in range(DEPTH):
             at = np.flatnonzero(count[row])
             edges = np.searchsorted(at, np.arange(0, width + 1, SEGMENT))
@@ -119,7 +129,7 @@ def candidate_windows(docs: DataFrame, n: int, width: int) -> DataFrame:
     ``sure``, come as runs of ``run`` windows, and have keys of their own, so a passage of a third
     of all documents sends one row a slice to its group and not one a document.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, n, width))
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, run_values(n), width))
 
     def find(batches):
         bits = sent.value
