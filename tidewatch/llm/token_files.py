@@ -72,6 +72,13 @@ def write_token_files(docs: DataFrame, folder: str, end: int = END, path: str |
     return [got.get(k, 0) for k in range(max(got, default=-1) + 1)]
 
 
+def written(spark: SparkSession, folder: str, ids_per_part: list[int]) -> DataFrame:
+    """``path, content`` of the folder's files; no rows where no document was written, for then there is no folder."""
+    if not sum(ids_per_part):
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content")
+
+
 def read_token_files(spark: SparkSession, folder: str, ids_per_part: list[int]) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, from the files alone."""
     before = np.append(0, np.cumsum(ids_per_part)).tolist()
@@ -92,7 +99,7 @@ def read_token_files(spark: SparkSession, folder: str, ids_per_part: list[int])
                         pa.ListArray.from_arrays(pa.array(np.append(start[at:to], last[to - 1]) - start[at], pa.int32()), pa.array(own))],
                         ["_id", "start", "n_tokens", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content")
+    files = written(spark, folder, ids_per_part)
     return files.mapInArrow(load, "_id long, start long, n_tokens long, ids array<long>").select(out_id(), "start", "n_tokens", "ids")
 
 
@@ -111,7 +118,7 @@ def token_file_digest(spark: SparkSession, folder: str, ids_per_part: list[int])
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(last - lengths + in_part + before[part]), pa.array(lengths),
                                                   pa.array(crc, pa.int64())], ["_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content")
+    files = written(spark, folder, ids_per_part)
     return files.mapInArrow(digest, "_id long, start long, n_tokens long, ids_crc32 long").select(out_id(), "start", "n_tokens", "ids_crc32")
 
 
