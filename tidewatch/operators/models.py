@@ -33,35 +33,24 @@ def _grams(docs: DataFrame, text_col: str, id_col: str, ngram_range=(1, 2)) -> D
 
 
 def top_terms(stats: DataFrame, n: int) -> DataFrame:
-    """The ``n`` terms with the largest corpus frequency ``cf`` (ties: term asc).
-
-    The cut is found on the histogram of ``cf`` values (small); terms above
-    the cut pass a filter, and only the tie group at the cut is ordered.
-    """
-    hist = stats.groupBy("cf").agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("_cum", F.sum("_k").over(w))
-    cut = cum.filter(F.col("_cum") >= n).orderBy(F.col("cf").desc()).select("cf", "_cum", "_k").first()
-    if cut is None:
-        return stats
-    above = stats.filter(F.col("cf") > cut["cf"])
-    need = n - (cut["_cum"] - cut["_k"])
-    ties = stats.filter(F.col("cf") == cut["cf"]).orderBy("term").limit(int(need))
-    return above.unionByName(ties)
+    """The ``n`` terms with the largest corpus frequency ``cf`` (ties: term asc), as a top-n per task and over tasks."""
+    return stats.orderBy(F.col("cf").desc(), "term").limit(n)
 
 
 def tfidf_long(docs: DataFrame, text_col: str = "clean_text", id_col: str = "doc_id",
                max_features: int = 20000, ngram_range=(1, 2)) -> DataFrame:
-    """ADV1: long TF-IDF table over the top ``max_features`` terms."""
+    """ADV1: long TF-IDF table over the top ``max_features`` terms.
+
+    Terms are counted with map-side combine and cut first; only occurrences of kept terms are
+    grouped by document, so the long tail of n-grams is never shuffled per document.
+    """
     g = _grams(docs, text_col, id_col, ngram_range)
-    tf = g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    # the cut needs one action; cut lineage first so the text stages run once
-    tf = tf.checkpoint(eager=True)
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = top_terms(stats, max_features).select("term", "df")
-    ndocs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()   # scalar subquery
+    top = top_terms(g.groupBy("term").agg(F.count(F.lit(1)).alias("cf")), max_features).select("term")
     # ``top`` has at most ``max_features`` rows by construction
-    w = tf.join(F.broadcast(top), "term").withColumn("_n", ndocs)
+    tf = g.join(F.broadcast(top), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ndocs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()   # scalar subquery
+    w = tf.join(F.broadcast(df), "term").withColumn("_n", ndocs)
     w = w.withColumn("_v", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df")))
                                           + F.lit(1.0)))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_col)))

@@ -7,10 +7,10 @@ repeatable and checkable.
 One primitive serves every quota operator: a histogram of the first four
 hex digits of the key (65,536 buckets per group, a fixed-size aggregate)
 with a running sum per group finds, for every group, the bucket where its
-quota is reached. Rows in whole buckets below the cut are selected by a
-filter; only the one boundary bucket per group (about rows/65,536) is
-ranked with a window. No window ever spans a whole class, so a class
-holding most rows does not land in one task.
+quota is reached; the last row taken is found in that bucket alone. Its
+(key, id) is the group's cut, and rows are flagged against the cut in place.
+No window ever spans a whole class, so a class holding most rows does not
+land in one task. Rows without a label are a group of their own.
 """
 
 from __future__ import annotations
@@ -34,10 +34,8 @@ def _keyed(df: DataFrame, seed: int, id_col: str) -> DataFrame:
               .withColumn(_B, F.conv(F.substring(_K, 1, 4), 16, 10).cast("int")))
 
 
-def _hist_hint(h: DataFrame, groups: list[str]) -> DataFrame:
-    """Without groups the histogram has at most 65,536 rows: broadcast. With
-    groups its size is 65,536 x #groups; AQE decides from the materialized size."""
-    return F.broadcast(h) if not groups else h
+#: Groups up to this many make a table that is broadcast; more are joined as they are.
+BROADCAST_GROUPS = 10_000
 
 
 def _histogram(keyed: DataFrame, groups: list[str]) -> DataFrame:
@@ -48,38 +46,90 @@ def _histogram(keyed: DataFrame, groups: list[str]) -> DataFrame:
     return h.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner",
+                 extra: list[str] = ()) -> DataFrame:
+    """Join on group columns where NULL equals NULL, so unlabelled rows are a group too."""
+    names = [*groups, *extra]
+    if not names:
+        return left.crossJoin(right)   # ``right`` is one row
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in names],
+                     *[c for c in right.columns if c not in names])
+    cond = None
+    for c in names:
+        one = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = one if cond is None else cond & one
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in names])
+
+
+def _small(table: DataFrame, groups: list[str]) -> DataFrame:
+    """Broadcast a table of one row per group after counting it."""
+    if not groups or table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return F.broadcast(table)
+    return table
+
+
+def quota_cuts(keyed: DataFrame, groups: list[str], quotas: DataFrame | None, id_col: str,
+               quota: int | None) -> DataFrame:
+    """One row per group: its size ``_n``, its ``quota`` and the ``(_ckey, _cid)`` of the last row taken.
+
+    Only ids and keys are read. The histogram gives the bucket in which the quota is reached;
+    only that bucket's rows (about one in 65,536) are ranked.
+    """
+    h = _histogram(keyed, groups)
+    h = _join_groups(h, quotas, groups, "left") if quotas is not None else h.withColumn("quota", F.lit(quota))
+    h = h.withColumn("quota", F.coalesce("quota", F.lit(0)).cast("bigint"))
+    size = h.groupBy(*groups).agg(F.sum("_cnt").alias("_n"), F.max("quota").alias("quota"))
+    cut = h.filter((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_cnt"))) \
+           .select(*groups, _B, (F.col("quota") - F.col("_before")).alias("_take"))
+    edge = _join_groups(keyed, _small(cut, groups), groups, extra=[_B])
+    w = Window.partitionBy(*groups, _B).orderBy(_K, id_col)
+    last = (edge.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("_take"))
+            .select(*groups, F.col(_K).alias("_ckey"), F.col(id_col).alias("_cid")))
+    return _join_groups(size, last, groups, "left") if groups else size.join(last, F.lit(True), "left")
+
+
 def flag_smallest(df: DataFrame, groups: list[str], quotas: DataFrame | None, seed: int,
                   id_col: str = "doc_id", flag: str = "_sel", quota: int | None = None) -> DataFrame:
     """Add boolean ``flag``: row is among the ``quota`` smallest (key, id) of its group.
 
-    ``quotas`` has ``groups + ['quota']``; or pass one ``quota`` for all.
+    ``quotas`` has ``groups + ['quota']``; or pass one ``quota`` for all. Ids must be unique.
+    The cut of each group is a (key, id) pair in a table of one row per group, so the rows
+    themselves are flagged by a comparison in place: no shuffle carries their other columns.
     """
-    keyed = _keyed(df, seed, id_col)
-    h = _histogram(keyed, groups)
-    h = h.join(quotas, groups) if quotas is not None else h.withColumn("quota", F.lit(quota))
-    h = h.withColumn("_take", F.least(F.greatest(F.col("quota") - F.col("_before"), F.lit(0)),
-                                      F.col("_cnt")))
-    h = h.select(*groups, _B, "_take", "_cnt")
-    j = keyed.join(_hist_hint(h, groups), groups + [_B], "left")
-    full = j.filter(F.col("_take") == F.col("_cnt")).withColumn(flag, F.lit(True))
-    none = j.filter(F.coalesce(F.col("_take"), F.lit(0)) == 0).withColumn(flag, F.lit(False))
-    edge = j.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_cnt")))
-    w = Window.partitionBy(*groups, _B).orderBy(_K, id_col)
-    edge = edge.withColumn(flag, F.row_number().over(w) <= F.col("_take"))
-    out = full.unionByName(none).unionByName(edge)
-    return out.drop(_K, _B, "_take", "_cnt")
+    narrow = _keyed(df.select(*groups, id_col), seed, id_col)
+    cuts = _small(quota_cuts(narrow, groups, quotas, id_col, quota), groups)
+    j = _join_groups(df.withColumn(_K, sample_key(seed, id_col)), cuts, groups, "left")
+    below = (F.col(_K) < F.col("_ckey")) | ((F.col(_K) == F.col("_ckey")) & (F.col(id_col) <= F.col("_cid")))
+    sel = F.coalesce((F.col("quota") >= F.col("_n")) | below, F.lit(False))
+    return j.withColumn(flag, sel).drop(_K, "_n", "quota", "_ckey", "_cid")
 
 
 def rank_within_group(df: DataFrame, groups: list[str], seed: int, id_col: str = "doc_id",
                       rank_col: str = "_rank") -> DataFrame:
-    """Dense 0-based rank by (key, id) inside each group, without a whole-group window."""
+    """Dense 0-based rank by (key, id) inside each group (NULL labels are a group), without a whole-group window."""
     keyed = _keyed(df, seed, id_col)
-    h = _histogram(keyed, groups).select(*groups, _B, "_before")
-    j = keyed.join(_hist_hint(h, groups), groups + [_B])
+    h = _histogram(_keyed(df.select(*groups, id_col), seed, id_col), groups).select(*groups, _B, "_before")
+    j = _join_groups(keyed, h, groups, extra=[_B])
     w = Window.partitionBy(*groups, _B).orderBy(_K, id_col)
     return j.withColumn(rank_col, F.col("_before") + F.row_number().over(w) - 1).drop(_K, _B, "_before")
 
 
+def dense_positions(df: DataFrame, out_col: str = "position") -> DataFrame:
+    """Number the rows of ``df`` in its own order (partition after partition), from 0.
+
+    The input is checkpointed, so numbering and rows come from one evaluation; the driver sees
+    one count a partition.
+    """
+    d = df.withColumn("_pid", F.spark_partition_id()) \
+          .withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    before, total = [], 0
+    for pid, n in sorted(d.groupBy("_pid").count().collect()):
+        before.append((pid, total))
+        total += n
+    offs = d.sparkSession.createDataFrame(before, "_pid INT, _off BIGINT")
+    return d.join(F.broadcast(offs), "_pid").withColumn(out_col, F.col("_off") + F.col("_k")).drop("_pid", "_k", "_off")
+
+
 # --- AGG1, AGG2, AGG3, AGG4 ---------------------------------------------------
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
     """AGG1."""
@@ -118,7 +168,9 @@ def undersample(df: DataFrame, label_col: str = "label", seed: int = 42,
                 id_col: str = "doc_id") -> DataFrame:
     """SMP2: every class cut to the smallest class size; one class -> unchanged."""
     c = class_counts(df, label_col)
-    q = c.select(label_col, c.agg(F.min("count")).scalar().alias("quota"))
+    # unlabelled rows are no class: they set no size and all stay
+    q = c.select(label_col, F.when(F.col(label_col).isNull(), F.col("count"))
+                 .otherwise(c.filter(F.col(label_col).isNotNull()).agg(F.min("count")).scalar()).alias("quota"))
     return flag_smallest(df, [label_col], q, seed, id_col).filter("_sel").drop("_sel")
 
 
@@ -128,22 +180,23 @@ def oversample(df: DataFrame, label_col: str = "label", seed: int = 42,
     with replacement; the largest class is kept as is.
 
     Draw ``d`` of class ``l`` picks the row of dense rank
-    ``md5('{seed}:{l}:{d}')[0:8] mod n_l``. Draw ids come from a distributed
+    ``md5('{seed}:{l}:{d}')[0:15] mod n_l`` (60 bits, so every rank can be drawn);
+    rows without a label stay as they are. Draw ids come from a distributed
     ``range``; the per-class counts (one row per class) are read on the driver.
     """
-    counts = {r[label_col]: r["count"] for r in class_counts(df, label_col).collect()}
+    counts = {r[label_col]: r["count"] for r in class_counts(df, label_col).collect() if r[label_col] is not None}
     if len(counts) < 2:
         return df
     max_n = max(counts.values())
     spark = df.sparkSession
     keep = [l for l, n in counts.items() if n == max_n]
-    parts = [df.filter(F.col(label_col).isin(keep))]
-    ranked = rank_within_group(df.filter(~F.col(label_col).isin(keep)), [label_col], seed, id_col)
+    parts = [df.filter(F.col(label_col).isin(keep) | F.col(label_col).isNull())]
+    ranked = rank_within_group(df.filter(F.col(label_col).isNotNull() & ~F.col(label_col).isin(keep)), [label_col], seed, id_col)
     for l, n in counts.items():
         if n == max_n:
             continue
         slot = F.pmod(F.conv(F.substring(F.md5(F.concat(
-            F.lit(f"{seed}:{l}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(n))
+            F.lit(f"{seed}:{l}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("bigint"), F.lit(n))
         draws = spark.range(max_n).select(F.lit(l).cast(df.schema[label_col].dataType).alias(label_col),
                                           slot.alias("_rank"))
         rows = ranked.filter(F.col(label_col) == l)   # AQE broadcasts it when small
@@ -178,7 +231,7 @@ def split_quotas(counts: dict, test_size: float) -> dict:
     base = {l: (c * n_test) // n for l, c in counts.items()}
     rem = {l: (c * n_test) % n for l, c in counts.items()}
     extra = n_test - sum(base.values())
-    for l in sorted(counts, key=lambda l: (-rem[l], l))[:extra]:
+    for l in sorted(counts, key=lambda l: (-rem[l], l is None, 0 if l is None else l))[:extra]:
         base[l] += 1
     return base
 

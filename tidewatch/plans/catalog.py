@@ -279,7 +279,7 @@ def smp2_undersample(spark, sf_dir):
 cls AS (SELECT label, count(*) AS n FROM feat GROUP BY label),
 mx AS (SELECT max(n) AS m FROM cls),
 ranked AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {_KEY}, doc_id) - 1 AS rk FROM feat),
-draws AS (SELECT c.label, ('0x' || substr(md5('42:' || CAST(c.label AS VARCHAR) || ':' || CAST(d.i AS VARCHAR)), 1, 8))::BIGINT % c.n AS rk
+draws AS (SELECT c.label, ('0x' || substr(md5('42:' || CAST(c.label AS VARCHAR) || ':' || CAST(d.i AS VARCHAR)), 1, 15))::BIGINT % c.n AS rk
           FROM cls c CROSS JOIN mx CROSS JOIN range(0, (SELECT m FROM mx)) d(i) WHERE c.n < mx.m),
 picked AS (SELECT r.doc_id, r.label FROM draws d JOIN ranked r ON r.label = d.label AND r.rk = d.rk
            UNION ALL SELECT doc_id, label FROM feat WHERE label IN (SELECT label FROM cls, mx WHERE n = m))
@@ -307,9 +307,8 @@ def smp5_stratified_split(spark, sf_dir):
 @register("smp6_shuffle_order", f"""WITH {O.prep_ctes()}
 SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS position FROM feat""")
 def smp6_shuffle_order(spark, sf_dir):
-    from tidewatch.operators.sampling import rank_within_group
-    r = rank_within_group(_labeled(spark, sf_dir), [], 42, rank_col="position")
-    return r.select("doc_id", F.col("position").cast("bigint"))
+    from tidewatch.operators.sampling import dense_positions, shuffle_rows
+    return dense_positions(shuffle_rows(_labeled(spark, sf_dir), 42)).select("doc_id", "position")
 
 
 @register("adv7_cv_folds", f"""WITH {O.prep_ctes()}

@@ -17,10 +17,14 @@ def build_session(master: str | None = None, app: str = "tidewatch",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    local = (master or os.environ.get("MASTER", "")).startswith("local")
+    if shuffle_partitions is None and local:
+        shuffle_partitions = int(os.environ.get("BENCH_CPUS", "8"))
+    if shuffle_partitions is not None:   # on a cluster spark-submit's setting (or AQE's start value) holds
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -37,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins. Only when it is unset (local tests)
-    is a scratch folder created and registered.
+    on a local master (tests) is a scratch folder created and registered: on a
+    cluster every executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -45,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return sc.getCheckpointDir() or d
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     d = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
