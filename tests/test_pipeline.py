@@ -23,10 +23,11 @@ def test_run_pipeline(spark, tmp_path):
                        gazetteer(spark, sf), external_scores=ext, out_dir=str(tmp_path))
     n = res.prepared.count()
     assert n == 196
-    b = {r["label"]: r["count"] for r in res.balanced.groupBy("label").count().collect()}
-    assert b[0] == b[1] == 80
+    b = {r["label"]: r["count"] for r in res.balanced.filter("split = 'train'").groupBy("label").count().collect()}
+    assert b[0] == b[1] == 64
+    assert res.balanced.filter("split = 'test'").count() == 40
     s = res.scored
-    assert s.count() == 160
+    assert s.count() == n == s.select("doc_id").distinct().count()
     assert s.filter("threat_score != model_prob + ioc_score + centrality_score").count() == 0
     for d in ("threat_detection_results", "model_results", "graph/nodes", "graph/edges"):
         assert os.path.exists(tmp_path / d), d

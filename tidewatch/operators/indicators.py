@@ -41,19 +41,19 @@ def reputation_fixture(iocs: DataFrame) -> DataFrame:
              .select("ioc_type", "ioc", (F.length("ioc") % 7).cast("int").alias("malicious_score")))
 
 
-def enrich_iocs(iocs: DataFrame, reputation: DataFrame, row_limit: int = 2_000_000) -> DataFrame:
+def enrich_iocs(iocs: DataFrame, reputation: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """JOIN2: each IOC occurrence with ``malicious_score`` (0 when absent or not enrichable).
 
-    Distinct ``(ioc_type, ioc)`` are looked up once, then joined back.
+    A reputation table of checked size is broadcast, and occurrences are not shuffled at all.
+    A larger one is joined by key; a hot indicator's partition is split by the skew join, for
+    the reputation side has one row an indicator.
     """
     from tidewatch.operators.util import broadcast_if_small
 
     rep = reputation.filter(F.col("ioc_type").isin(ENRICHABLE_TYPES)) \
                     .groupBy("ioc_type", "ioc").agg(F.max("malicious_score").alias("malicious_score"))
-    distinct = iocs.select("ioc_type", "ioc").distinct()
-    scored = distinct.join(broadcast_if_small(rep, row_limit), ["ioc_type", "ioc"], "left") \
-                     .withColumn("malicious_score", F.coalesce("malicious_score", F.lit(0)))
-    return iocs.join(scored, ["ioc_type", "ioc"], "left")
+    return (iocs.join(broadcast_if_small(rep, broadcast_bytes), ["ioc_type", "ioc"], "left")
+            .withColumn("malicious_score", F.coalesce("malicious_score", F.lit(0))))
 
 
 def doc_reputation_long(enriched: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -63,14 +63,20 @@ def doc_reputation_long(enriched: DataFrame, id_col: str = "doc_id") -> DataFram
             .distinct())
 
 
-def doc_reputation_wide(long: DataFrame, keys: list[str], id_col: str = "doc_id",
-                        max_columns: int = 1000) -> DataFrame:
-    """IOC8 (wide form) for a caller-given, bounded key list; absent -> 0."""
+def doc_reputation_wide(long: DataFrame, keys: list[str], docs: DataFrame | None = None,
+                        id_col: str = "doc_id", max_columns: int = 1000) -> DataFrame:
+    """IOC8 (wide form) for a caller-given, bounded key list; absent -> 0.
+
+    ``docs``: the documents to list, with or without a key; default those of ``long``.
+    ``max_columns`` bounds the number of output columns, not the rows.
+    """
     if len(keys) > max_columns:
         raise ValueError(f"{len(keys)} reputation columns requested; limit {max_columns}")
-    p = long.filter(F.col("key").isin(keys)).groupBy(id_col).pivot("key", keys) \
-            .agg(F.max("malicious_score"))
-    return p.na.fill(0, keys)
+    value = [F.max(F.when(F.col("key") == k, F.col("malicious_score"))).alias(f"_k{i}") for i, k in enumerate(keys)]
+    p = long.filter(F.col("key").isin(keys)).groupBy(id_col).agg(*value)
+    base = (docs if docs is not None else long).select(id_col).distinct()
+    return base.join(p, id_col, "left").select(
+        id_col, *[F.coalesce(F.col(f"_k{i}"), F.lit(0)).alias(k) for i, k in enumerate(keys)])
 
 
 def attach_reputation(docs: DataFrame, enriched: DataFrame, id_col: str = "doc_id") -> DataFrame:

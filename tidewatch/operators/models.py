@@ -108,8 +108,10 @@ def fit_text_classifier(df: DataFrame, text_col: str = "clean_text", label_col:
     # the data (~50k rows each, no shuffle). Large inputs keep all partitions.
     n = d.count()
     d = d.coalesce(max(1, min(d.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION))))
+    # rows of at most ROWS_PER_FIT_PARTITION, and never fewer tasks than cores
     model = text_pipeline(text_col, label_col, "weight", extra_numeric, scale=scale).fit(
         d.filter(F.col(split_col) == "train"))
+    d.unpersist()
     test = score_documents(d.filter(F.col(split_col) == "test"), model, model_name)
     pred = test.select(F.lit(model_name).alias("model"), "doc_id",
                        F.col(label_col).cast("int").alias("y_true"), F.col("pred").alias("y_pred"),
@@ -142,5 +144,61 @@ def fit_embedding_classifier(emb: DataFrame, label_col: str = "label", max_iter:
     d = d.coalesce(max(1, min(d.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION))))
     lr = LogisticRegression(maxIter=max_iter, regParam=1e-3, family="multinomial")
     m = lr.fit(d.filter(F.col("split") == "train"))
+    d.unpersist()
     p = m.transform(d.filter(F.col("split") == "test")).select("vec_id", "label", "prediction")
     return m, p
+
+
+def evaluate_embedding_classifier(emb: DataFrame, label_col: str = "label"):
+    """ADV3 as a result row: accuracy on the held-out fifth (precision, recall, F1 averaged over classes)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    model, p = fit_embedding_classifier(emb, label_col)
+    value = {m: MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=m).evaluate(p)
+             for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
+    row = [("embeddings_lr", value["accuracy"], value["weightedPrecision"], value["weightedRecall"], value["f1"], None, None)]
+    return model, emb.sparkSession.createDataFrame(
+        row, "model STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1 DOUBLE, roc_auc DOUBLE, error STRING")
+
+
+def naive_bayes_table(train: DataFrame, text_col: str = "clean_text", label_col: str = "label",
+                      id_col: str = "doc_id") -> DataFrame:
+    """ADV2: token counts of both classes, ``(term, c0, c1)``: one aggregate with map-side combine."""
+    g = train.select(label_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN_PATTERN), F.lit(0))).alias("term"))
+    return g.groupBy("term").agg(F.count(F.when(F.col(label_col) == 0, 1)).alias("c0"),
+                                 F.count(F.when(F.col(label_col) == 1, 1)).alias("c1"))
+
+
+def naive_bayes_scores(docs: DataFrame, train: DataFrame, text_col: str = "clean_text", label_col: str = "label",
+                       id_col: str = "doc_id") -> DataFrame:
+    """ADV2: ``(doc_id, score, pred)`` of a multinomial naive Bayes (a linear model with counted weights).
+
+    ``score`` is the log odds of label 1 with add-one smoothing; tokens that training never saw say
+    nothing. The table is joined by term: broadcast after a check of its bytes, by key beyond it.
+    """
+    from tidewatch.operators.util import broadcast_if_small
+
+    table = naive_bayes_table(train, text_col, label_col, id_col)
+    t = table.agg(F.sum("c0"), F.sum("c1"), F.count(F.lit(1))).first()
+    n0, n1, v = (int(x or 0) for x in t)
+    k = train.agg(F.count(F.when(F.col(label_col) == 0, 1)), F.count(F.when(F.col(label_col) == 1, 1))).first()
+    weight = table.select("term", (F.log((F.col("c1") + 1.0) / F.lit(n1 + v + 0.0)) - F.log((F.col("c0") + 1.0) / F.lit(n0 + v + 0.0))).alias("w"))
+    g = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))).alias("term"))
+    per = (g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if_small(weight), "term")
+           .groupBy(id_col).agg(F.sum(F.col("n") * F.col("w")).alias("s")))
+    prior = F.log(F.lit((k[1] + 1.0) / (k[0] + 1.0)))
+    return (docs.select(id_col).join(per, id_col, "left").withColumn("score", prior + F.coalesce("s", F.lit(0.0)))
+            .select(id_col, "score", (F.col("score") > 0).cast("int").alias("pred")))
+
+
+def fit_naive_bayes(df: DataFrame, text_col: str = "clean_text", label_col: str = "label", split_col: str = "split",
+                    model_name: str = "naive_bayes"):
+    """ADV2 with the split of the other classifiers: ``(count table, metrics on the test rows)``."""
+    from tidewatch.operators.metrics import evaluate
+    from tidewatch.operators.scoring import sigmoid
+
+    train, test = (df.filter(F.col(split_col) == s) for s in ("train", "test"))
+    got = naive_bayes_scores(test, train, text_col, label_col).join(test.select("doc_id", label_col), "doc_id")
+    return naive_bayes_table(train, text_col, label_col), evaluate(got.select(
+        F.lit(model_name).alias("model"), "doc_id", F.col(label_col).cast("int").alias("y_true"), F.col("pred").alias("y_pred"),
+        sigmoid(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("score")))).alias("y_score")))

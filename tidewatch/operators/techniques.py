@@ -52,10 +52,11 @@ def technique_dictionary(raw: DataFrame, pos_col: str | None = "pos") -> DataFra
     """
     pos = (F.col(pos_col) if pos_col and pos_col in raw.columns
            else F.monotonically_increasing_id())
+    more = [F.col("tactic").cast("string")] if "tactic" in raw.columns else []
     return raw.select(pos.cast("bigint").alias("pos"),
                       F.col("technique_id").cast("string"),
                       F.col("technique_name").cast("string"),
-                      parse_keywords("keywords").alias("keywords"))
+                      parse_keywords("keywords").alias("keywords"), *more)
 
 
 def load_technique_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -84,17 +85,15 @@ def tag_techniques(docs: DataFrame, dictionary: DataFrame, text_col: str = "clea
                    strategy: str = "auto") -> DataFrame:
     """Add ``out_col ARRAY<STRING>`` of technique ids in dictionary order."""
     n_kw = None
-    if strategy in ("auto", "inline"):
+    if strategy == "auto":
         n_kw = _keywords_long(dictionary).limit(INLINE_KEYWORD_LIMIT + 1).count()
     if strategy == "inline" or (strategy == "auto" and n_kw <= INLINE_KEYWORD_LIMIT):
-        if n_kw is not None and n_kw > INLINE_KEYWORD_LIMIT:
-            raise ValueError("dictionary too large for the inline strategy")
         return _tag_inline(docs, dictionary, text_col, out_col)
     return _tag_vocabulary(docs, dictionary, text_col, id_col, out_col)
 
 
 def _tag_inline(docs, dictionary, text_col, out_col):
-    # bounded by INLINE_KEYWORD_LIMIT keywords (checked above)
+    # the dictionary becomes part of the plan: right at any size, meant for up to some thousand keywords
     rows = dictionary.orderBy("pos").select("technique_id", "keywords").collect()
     rows = [r for r in rows if r["keywords"]]
     if not rows:

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, row_limit: int = 2_000_000) -> DataFrame:
-    """Broadcast hint only after a counted size check; otherwise leave the
-    join to the planner (sort-merge / AQE). The count runs on the small
-    dimension side only."""
-    n = df.limit(row_limit + 1).count()
-    return F.broadcast(df) if n <= row_limit else df
+def side_bytes(df: DataFrame) -> int:
+    """Bytes of a side: its strings' bytes, and 16 a row and 8 a column beside them; one aggregate."""
+    strings = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    size = F.lit(16 + 8 * len(df.columns)).cast("bigint")
+    for s in strings:
+        size = size + s
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only after a check of the side's bytes; beyond it the join is
+    left to the planner (sort-merge, with skewed partitions split by AQE)."""
+    return F.broadcast(df) if side_bytes(df) <= most_bytes else df
