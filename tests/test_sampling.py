@@ -64,3 +64,21 @@ def test_rank_is_dense_and_folds_balanced(spark):
 def test_class_weight(spark):
     assert abs(S.class_weight(_df(spark, 10, 30)).first()[0] - 3.0) < 1e-12
     assert abs(S.class_weight(_df(spark, 0, 4)).first()[0] - 4.0) < 1e-12
+
+
+def test_rows_without_a_label_are_a_group(spark):
+    rows = [(i, 1) for i in range(8)] + [(i, 0) for i in range(8, 38)] + [(i, None) for i in range(38, 48)]
+    d = spark.createDataFrame(rows, "doc_id BIGINT, label INT")
+    count = lambda x: {r["label"]: r["count"] for r in S.class_counts(x).collect()}
+    assert count(S.undersample(d)) == {0: 8, 1: 8, None: 10}
+    assert count(S.oversample(d)) == {0: 30, 1: 30, None: 10}
+    split = S.stratified_split(d, test_size=0.25)
+    assert split.count() == 48 and split.filter("split = 'test'").count() == 12
+    assert S.cv_folds(d, 5).count() == 48
+
+
+def test_quota_plan_shuffles_no_text(spark):
+    d = _df(spark, 30, 70).withColumn("text", F.lit("long text"))
+    plan = S.stratified_split(d)._jdf.queryExecution().optimizedPlan().toString()
+    exchanges = S.stratified_split(d)._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1:]
+    assert "text" in plan and all("text#" not in e.split("\n", 2)[1] for e in exchanges if "\n" in e)
