@@ -51,3 +51,18 @@ def test_votes(spark):
     assert abs(c[1]["prob"] - (0.8 * 0.9 + 0.2 * 0.4) / 1.0) < 1e-12
     cm = {(r["model"], r["y_true"], r["y_pred"]): r["count"] for r in M.confusion_matrix(_pred(spark, rows)).collect()}
     assert cm[("a", 0, 1)] == 1
+
+
+def test_score_buckets_are_even(spark):
+    """Scores crowded at 0 and 1, and logits: no bucket holds more than a small share of the distinct scores."""
+    rnd = random.Random(3)
+    crowded = [(1e-6 * rnd.random()) if i % 2 else 1 - 1e-6 * rnd.random() for i in range(4000)]
+    logits = [rnd.gauss(0, 30) for _ in range(4000)]
+    rows = [("crowded", i, i % 3 == 0, 0, s) for i, s in enumerate(crowded)] + [("logits", i, i % 3 == 0, 0, s) for i, s in enumerate(logits)]
+    pred = _pred(spark, [(m, i, int(y), p, s) for m, i, y, p, s in rows])
+    sizes = M.score_bucket(pred, "model").groupBy("model", "_b").count().collect()
+    assert max(r["count"] for r in sizes) <= 4 * 4000 / M.SCORE_BUCKETS
+    for m in ("crowded", "logits"):
+        own = [r for r in rows if r[0] == m][:600]
+        got = M.roc_auc(_pred(spark, [(a, i, int(y), p, s) for a, i, y, p, s in own])).first()["roc_auc"]
+        assert abs(got - _auc_bruteforce(own)) < 1e-12

@@ -31,7 +31,7 @@ def normalise_gazetteer(gaz: DataFrame) -> DataFrame:
 
 def extract_entities(docs: DataFrame, gazetteer: DataFrame, text_col: str = "clean_text",
                      id_col: str = "doc_id", labels=ENTITY_LABELS,
-                     row_limit: int = 2_000_000) -> DataFrame:
+                     broadcast_bytes: int = 64 << 20) -> DataFrame:
     g = normalise_gazetteer(gazetteer)
     ns = sorted(int(r["n"]) for r in g.select("n").distinct().collect())
     if not ns:
@@ -39,7 +39,7 @@ def extract_entities(docs: DataFrame, gazetteer: DataFrame, text_col: str = "cle
             [], f"{id_col} BIGINT, pos INT, ent_text STRING, ent_label STRING")
     toks = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), " ").alias("_t"))
     ex = ngram_union(toks, "_t", ns, keep=(id_col,), out="g")
-    matches = ex.join(broadcast_if_small(g, row_limit), ex["g"] == g["phrase"]) \
+    matches = ex.join(broadcast_if_small(g, broadcast_bytes), ex["g"] == g["phrase"]) \
                 .select(id_col, "pos", g["n"], F.col("phrase").alias("ent_text"),
                         F.col("label").alias("ent_label"))
     w = (Window.partitionBy(id_col).orderBy(F.col("pos"), F.col("n").desc())

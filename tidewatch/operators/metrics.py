@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 65536
+SCORE_BUCKETS = 128
 
 
 def _ratio(num, den):
@@ -33,15 +33,26 @@ def classification_metrics(pred: DataFrame, group: str = "model") -> DataFrame:
                       _ratio(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")).alias("f1"))
 
 
+def score_bucket(s: DataFrame, group: str) -> DataFrame:
+    """``_b``: which of SCORE_BUCKETS stretches of about equally many distinct scores a score is in.
+
+    Bounds are approximate quantiles of each group's distinct scores, so scores that crowd at 0
+    and 1, or logits outside [0, 1], spread over the window tasks as even ones do.
+    """
+    at = F.array(*[F.lit(k / SCORE_BUCKETS) for k in range(1, SCORE_BUCKETS)])
+    bounds = s.groupBy(group).agg(F.percentile_approx("y_score", at, 10_000).alias("_bounds"))   # one row a model
+    return (s.join(F.broadcast(bounds), group)
+            .withColumn("_b", F.size(F.filter("_bounds", lambda x: x <= F.col("y_score"))).cast("bigint")).drop("_bounds"))
+
+
 def _score_table(pred: DataFrame, group: str, descending: bool) -> DataFrame:
     """Distinct scores with counts and strict prefix sums of pos/neg in score order."""
     s = (pred.filter(F.col("y_score").isNotNull())
          .groupBy(group, "y_score")
          .agg(F.sum((F.col("y_true") == 1).cast("bigint")).alias("pos"),
               F.sum((F.col("y_true") != 1).cast("bigint")).alias("neg")))
-    b = F.least(F.greatest(F.floor(F.col("y_score") * SCORE_BUCKETS), F.lit(-1)),
-                F.lit(SCORE_BUCKETS)).cast("bigint")
-    s = s.withColumn("_b", -b if descending else b)
+    b = score_bucket(s, group)
+    s = b.withColumn("_b", -F.col("_b") if descending else F.col("_b"))
     bt = s.groupBy(group, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(group, "_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_pp"),

@@ -127,6 +127,8 @@ def _tag_vocabulary(docs, dictionary, text_col, id_col, out_col):
 
     toks = docs.select(F.col(id_col).alias("_id"),
                        F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), " ").alias("_t"))
+    if set(lens_by_m) == {1}:   # single tokens only: a token of a document meets the vocabulary once
+        toks = toks.withColumn("_t", F.array_distinct("_t"))
     from tidewatch.functions.ngrams import ngram_union
     # repeated shingles of one document only repeat hits, which the distinct on
     # (doc, technique) below collapses; no shuffle of all shingles here
