@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from .words import Flat, Words, hashes, words
+from .words import Flat, Words, distinct, hashes, words
 
 MOST_WORDS = 700_000
 VOCABULARY = "word_bpe_49k.json"
@@ -87,14 +87,17 @@ class Encoder:
         """Ids of all texts one after another, and where each text's ids begin."""
         special = b"<|" in texts.data.tobytes()
         w = split_stops(words(texts, lower=not special))
-        value, first, back = np.unique(hashes(w), return_index=True, return_inverse=True)
+        value, first, back = distinct(hashes(w))
         if len(self.row) + len(value) > MOST_WORDS:
             self.forget()
         keys = value.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.row]
+        known = list(map(self.row.get, keys))
+        missing = [i for i, r in enumerate(known) if r is None]
         raw, start, end = w.data.tobytes(), w.start[first].tolist(), w.end[first].tolist()
         self.learn([keys[i] for i in missing], [raw[start[i]:end[i]].decode() for i in missing])
-        row = np.fromiter((self.row[k] for k in keys), np.int64, len(keys))[back]
+        for i in missing:
+            known[i] = self.row[keys[i]]
+        row = np.array(known, np.int64)[back]
         begin, length = self.first[row], self.first[row + 1] - self.first[row]
         bounds = np.append(0, np.cumsum(length))
         ids = self.ids[np.repeat(begin - bounds[:-1], length) + np.arange(bounds[-1])]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import keyed, out_id, ready
-from .words import Flat, Words, flat, hashes, slices, words
+from .words import Flat, Words, distinct, flat, hashes, slices, words
 
 FIT_ROWS = 20_000
 MOST_TERMS = 500
@@ -124,14 +124,15 @@ class Scorer:
 
     def matched(self, w: Words) -> np.ndarray:
         """For each word 0, or 1 + 2 * term + (1 if misspelled)."""
-        value, first, back = np.unique(hashes(w), return_index=True, return_inverse=True)
+        value, first, back = distinct(hashes(w))
         if len(self.known) + len(value) > MOST_KNOWN:
             self.known = {}
         keys = value.tolist()
-        for i in [i for i, k in enumerate(keys) if k not in self.known]:
+        known = list(map(self.known.get, keys))
+        for i in [i for i, k in enumerate(known) if k is None]:
             edits, term = self.lexicon.match(fold(w.data[w.start[first[i]]:w.end[first[i]]].tobytes()))
-            self.known[keys[i]] = 0 if term < 0 else 1 + 2 * term + (edits > 0)
-        return np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[back]
+            known[i] = self.known[keys[i]] = 0 if term < 0 else 1 + 2 * term + (edits > 0)
+        return np.array(known, np.int64)[back]
 
     def features(self, texts: Flat) -> np.ndarray:
         """One row a text: a constant and the window sums. A text without hits has zeros."""

@@ -31,6 +31,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where one of each stands, and each element's place among them.
+
+    As ``np.unique`` with index and inverse, without its stable sort.
+    """
+    if not len(x):
+        return x, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.empty(len(x), bool)
+    new[0], new[1:] = True, ordered[1:] != ordered[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
