@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: the indicator counts that make the score
 IOC_COUNT_COLS = ["num_ips", "num_domains", "num_hashes", "num_cves"]
 
 
