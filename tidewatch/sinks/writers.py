@@ -47,20 +47,27 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "over
     edges.write.mode(mode).parquet(f"{path}/edges")
 
 
-def write_graph_load_rows(nodes: DataFrame, edges: DataFrame, path: str, batch: int = 500,
+#: rows of one transaction of the graph loader
+LOAD_BATCH = 500
+
+
+def write_graph_load_rows(nodes: DataFrame, edges: DataFrame, path: str, batch: int | None = None,
                           mode: str = "overwrite") -> None:
-    """SNK5 + LIM1: property-graph bulk-load tables, nodes before edges. ``batch`` numbers
-    the loader's transactions of at most that many rows each; files hold many of them. Node rows ``(id, attrs JSON)``; relationship rows
+    """SNK5 + LIM1: property-graph bulk-load tables, nodes before edges. The column ``batch``
+    numbers the loader's transactions of at most LOAD_BATCH rows each, and a file holds many of
+    them; a caller who gives ``batch`` gets files of at most that many rows instead. Node rows ``(id, attrs JSON)``; relationship rows
     ``(u, v, type)`` with ``type = relation`` or ``'related_to'``; keys unique."""
     n = nodes.select("id", F.to_json(F.struct("type", "entity_label")).alias("attrs")) \
              .dropDuplicates(["id"])
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"),
                      F.coalesce("relation", F.lit("related_to")).alias("type")).distinct()
+    size = batch or LOAD_BATCH
     for rows, name in ((n, "nodes"), (e, "edges")):
         place = F.monotonically_increasing_id()   # task in the high bits, row in the low 33
         task, row = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = rows.withColumn("batch", F.concat_ws("-", task.cast("string"), F.floor(row / batch).cast("string")))
-        numbered.write.mode(mode).option("header", True).csv(f"{path}/{name}")
+        numbered = rows.withColumn("batch", F.concat_ws("-", task.cast("string"), F.floor(row / size).cast("string")))
+        w = numbered.write.mode(mode).option("header", True)
+        (w.option("maxRecordsPerFile", batch) if batch else w).csv(f"{path}/{name}")
 
 
 def save_model(model, path: str) -> None:
