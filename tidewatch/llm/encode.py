@@ -14,7 +14,7 @@ import numpy as np
 
 from .words import Flat, Words, distinct, hashes, words
 
-MOST_WORDS = 700_000
+MOST_WORDS = 600_000
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the vocabulary neither normalizes nor parts: lower-case Latin letters, composed.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")

@@ -101,12 +101,15 @@ def frequent_levels(docs: DataFrame, n: int) -> np.ndarray:
 
     merged = (docs.select("text").mapInArrow(count, "k long, cells binary")
               .repartition(min(64, parts(docs.sparkSession)), "k").mapInArrow(merge, "k long, cells binary"))
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(SKETCH, np.uint32)
     for k, cells in merged.collect():  # SKETCH cells, whatever the input
         total[k * segment:(k + 1) * segment] = np.frombuffer(cells, "<u4")
     usual = max(1.0, float(np.median(total)))
-    above = np.maximum(total - usual - 4 * np.sqrt(usual), 0) / np.sqrt(usual)
-    return np.floor(np.log2(1 + above)).astype(np.uint8)
+    levels = np.zeros(SKETCH, np.uint8)
+    for at in range(0, SKETCH, segment):
+        above = np.maximum(total[at:at + segment] - usual - 4 * np.sqrt(usual), 0) / np.sqrt(usual)
+        levels[at:at + segment] = np.floor(np.log2(1 + above))
+    return levels
 
 
 class Tree:

@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str |
     def cut(batches):
         coder = encoder(path)
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=4 << 20):
                 ids, first = coder.encode(flat(part.column("text")))
                 n = np.diff(first)
                 with_end = np.full(len(ids) + len(n), end, "<u4")

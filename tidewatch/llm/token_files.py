@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, folder: str, end: int = END, path: str |
 
         coder = encoder(path)
         for batch in batches:
-            for piece in slices(batch, most=8 << 20):
+            for piece in slices(batch, most=4 << 20):
                 ids, first = coder.encode(flat(piece.column("text")))
                 n = np.diff(first)
                 with_end = np.full(len(ids) + len(n), end, np.uint32)
