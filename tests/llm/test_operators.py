@@ -270,6 +270,15 @@ def test_packing_over_several_groups(spark, docs):
     assert many <= one + 3
 
 
+def test_packing_groups_stay_bounded(spark, monkeypatch):
+    """Long pieces that leave every bin open don't end in one group."""
+    rows = spark.range(400).selectExpr("id AS _id", "id AS _fp", "0 AS piece", "0L AS start", "1100 + id % 900 AS length", "id AS ids_crc32")
+    monkeypatch.setattr(packing, "pieces", lambda *_: rows)
+    got = packing.pack_documents(rows.selectExpr("_id AS doc_id", "'' AS text"), group=40).toPandas()
+    assert len(got) == 400 == got.sequence_id.nunique()
+    assert (got.sequence_id // (1 << 24)).value_counts().max() < 100
+
+
 def test_local_search_only_improves():
     rng = np.random.default_rng(0)
     for length in (rng.integers(1, 2048, 3000), rng.integers(400, 1000, 2000), np.full(50, 1500), np.array([], np.int64)):

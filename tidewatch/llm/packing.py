@@ -3,9 +3,10 @@
 Pieces are dealt evenly into groups; a task packs one group with best fit, then improves it: it
 takes the emptiest bin and moves its pieces into other underfull bins, exchanges one piece for one
 smaller piece, or two pieces for one, whenever that raises the sum of squared fills. A bin that
-runs empty is gone. What stays in underfull bins of several groups is then packed together again,
-group upon group, until one group is left; so the number of sequences does not depend on how many
-groups there were, and no group holds more than a bounded number of pieces.
+runs empty is gone. The underfull bins of all groups are then dealt out anew, whole, to as many groups
+as their pieces need, each with its share of every fill, and packed again, until one group is left
+or a level has as many bins as the one before. So few sequences depend on how many groups there
+were, and no group holds much more than GROUP pieces, whatever the lengths are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from .words import flat, slices
 
 CAPACITY = 2048
 GROUP = 50_000
-MERGE = 32
 OPEN = 16
 TRIES = 2_000_000
 
@@ -189,7 +189,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str |
     return keyed(docs).mapInArrow(cut, "_id long, _fp long, piece int, start long, length long, ids_crc32 long")
 
 
-def _packed(rows: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
+def _packed(rows: DataFrame, capacity: int, level: int) -> DataFrame:
+    """Each group packed; bins that came in (``sequence_id`` of the level before) stay where that takes fewer."""
     names = ["_id", "_fp", "piece", "start", "length", "ids_crc32", "grp", "sequence_id", "offset", "done"]
 
     def solve(table: pa.Table) -> pa.Table:
@@ -199,13 +200,18 @@ def _packed(rows: DataFrame, capacity: int, level: int, last: bool) -> DataFrame
         group = table.column("grp")[0].as_py()
         bins = pack(length, capacity)
         fill = np.bincount(bins, length).astype(np.int64)
+        if level:
+            came = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)[1]
+            came_fill = np.bincount(came, length).astype(np.int64)
+            if (len(came_fill), -(came_fill ** 2).sum()) < (len(fill), -(fill ** 2).sum()):
+                bins, fill = came, came_fill
         by_bin = np.argsort(bins, kind="stable")
         before = np.cumsum(length[by_bin]) - length[by_bin]
         first = np.r_[True, np.diff(bins[by_bin]) != 0]
         offset = np.empty(len(bins), np.int64)
         offset[by_bin] = before - before[first][np.cumsum(first) - 1]
-        done = np.full(len(bins), True) if last else (capacity - fill <= OPEN)[bins]
-        own = {"grp": group, "sequence_id": (level << 56) + (group << 24) + bins, "offset": offset, "done": done}
+        done = (capacity - fill <= OPEN)[bins]
+        own = {"grp": group, "sequence_id": (level << 48) + (group << 24) + bins, "offset": offset, "done": done}
         return pa.table({c: table.column(c) if c not in own else pa.array(np.full(len(bins), own[c]) if c == "grp" else own[c]) for c in names})
 
     return rows.groupBy("grp").applyInArrow(
@@ -226,17 +232,21 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path
     spread = F.xxhash64("_id", "_fp", "piece", F.monotonically_increasing_id())
     whole = every.where(full).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     groups = max(1, -(-every.where(~full).count() // group))
-    rows = every.where(~full).withColumn("grp", F.pmod(spread, F.lit(groups)))
-    out, level = [whole], 0
-    while True:
-        got = _packed(rows, capacity, level, last=groups == 1)
-        if groups == 1:
+    rows = every.where(~full).withColumns({"grp": F.pmod(spread, F.lit(groups)), "sequence_id": F.lit(0).cast("long")})
+    out, level, before = [whole], 0, None
+    while groups > 1:
+        got = _packed(rows, capacity, level).checkpoint()
+        first = F.col("offset") == 0  # one piece a bin
+        n, n_open, pieces_open = got.agg(F.count_if(first), F.count_if(first & ~F.col("done")), F.count_if(~F.col("done"))).first()
+        if not n_open or n == before:
             out.append(got)
             break
-        got = got.checkpoint()
         out.append(got.where("done"))
-        groups, level = -(-groups // MERGE), level + 1
-        rows = got.where("not done").select("_id", "_fp", "piece", "start", "length", "ids_crc32", F.pmod("grp", F.lit(groups)).alias("grp"))
+        groups, level, before = -(-pieces_open // group), level + 1, n_open
+        rows = got.where("not done").select("_id", "_fp", "piece", "start", "length", "ids_crc32", "sequence_id").withColumn(
+            "grp", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)))
+    else:
+        out.append(_packed(rows, capacity, level))
     columns = [out_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     whole = out[0].select(*columns)
     for more in out[1:]:
