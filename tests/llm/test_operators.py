@@ -287,3 +287,17 @@ def test_local_search_only_improves():
         before = sum(bool(x) for x in first.items)
         bins = packing.pack(length)
         assert (np.bincount(bins, length) <= 2048).all() and (bins.max() + 1 if len(bins) else 0) <= before
+
+
+def test_local_search_ends_without_a_raising_step():
+    length = np.random.default_rng(1).integers(400, 900, 6000)
+    bins = packing.pack(length)
+    room = 2048 - np.bincount(bins, length)
+    taken = length + room[bins]
+    for a in np.flatnonzero(room > packing.OPEN):
+        own = length[bins == a]
+        other = (bins != a) & (room[bins] > 0)
+        sums = {*own.tolist(), *(int(own[i] + own[j]) for i in range(len(own)) for j in range(i))}
+        assert not any((other & (s <= taken) & (taken < s + room[a]) & (length < s)).any() for s in sums)
+        free = np.delete(room, a)
+        assert not any(((s <= free) & (free < s + room[a])).any() for s in own)

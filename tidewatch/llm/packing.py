@@ -26,11 +26,16 @@ from .words import flat, slices
 CAPACITY = 2048
 GROUP = 50_000
 OPEN = 16
-TRIES = 2_000_000
+NONE = 1 << 62
 
 
 class Bins:
-    """Bins by remaining room, with a bit mask of the rooms that occur: best fit is one bit search."""
+    """Bins by remaining room, with a bit mask of the rooms that occur: best fit is one bit search.
+
+    Exchanges are found by length. A bin of room r that gives a piece of length t away can take up to
+    r + t in its place; ``givers`` has the bins by (r + t, t), ``lengths`` the t of each r + t as a bit
+    mask, and ``least`` the smallest of them.
+    """
 
     def __init__(self, lengths: np.ndarray, capacity: int):
         self.length = lengths.tolist()
@@ -39,7 +44,9 @@ class Bins:
         self.room: list[int] = []
         self.by_room: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
         self.mask = 0
-        self.tries = TRIES
+        self.givers: dict[tuple[int, int], dict[int, None]] = {}
+        self.lengths = [0] * (2 * capacity + 1)
+        self.least = np.full(2 * capacity + 1, NONE)
 
     def _out(self, b: int) -> None:
         room = self.by_room[self.room[b]]
@@ -81,71 +88,87 @@ class Bins:
     def other(self, room: int, b: int) -> int:
         return next((x for x in self.by_room[room] if x != b), -1)
 
+    def show(self, b: int) -> None:
+        """From now on bin ``b`` is found by what it can take for one of its pieces."""
+        for t in {t for t, _ in self.items[b]} if self.room[b] else ():
+            u = self.room[b] + t
+            self.givers.setdefault((u, t), {})[b] = None
+            self.lengths[u] |= 1 << t
+            if t < self.least[u]:
+                self.least[u] = t
+
+    def hide(self, b: int) -> None:
+        for t in {t for t, _ in self.items[b]} if self.room[b] else ():
+            u = self.room[b] + t
+            del self.givers[u, t][b]
+            if not self.givers[u, t]:
+                del self.givers[u, t]
+                rest = self.lengths[u] = self.lengths[u] & ~(1 << t)
+                self.least[u] = (rest & -rest).bit_length() - 1 if rest else NONE
+
     def improve_bin(self, a: int) -> bool:
-        """One raising step for bin ``a``: a piece leaves for a fuller bin, or changes with smaller ones."""
-        for size, item in reversed(self.items[a]):
+        """One raising step for the hidden bin ``a``: a piece leaves for a fuller bin, or one or two change with a smaller one."""
+        sizes = {size: item for size, item in self.items[a]}
+        for size in sorted(sizes, reverse=True):
             room = self.least_room(size)
-            while room >= 0:
+            while 0 <= room < size + self.room[a]:
                 b = self.other(room, a)
-                if b >= 0 and self.capacity - room + size > self.capacity - self.room[a]:
-                    self.take(item, a)
-                    self.put(item, b)
+                if b >= 0:
+                    self.hide(b)
+                    self.take(sizes[size], a)
+                    self.put(sizes[size], b)
+                    self.show(b)
                     return True
-                room = self.least_room(room + 1) if room < self.capacity else -1
-        rooms = [r for r in range(1, self.capacity) if self.mask >> r & 1]
-        for size, item in reversed(self.items[a]):
-            for room in rooms:
-                for b in self.by_room[room]:
-                    if b == a:
-                        continue
-                    self.tries -= 1
-                    at = bisect_left(self.items[b], (size - room, -1))
-                    if at < len(self.items[b]) and self.items[b][at][0] < size and self.raises(a, b, size - self.items[b][at][0]):
-                        self.exchange(a, [item], b, self.items[b][at][1])
-                        return True
-        own = self.items[a]
+                room = self.least_room(room + 1)
+        for size in sorted(sizes, reverse=True):
+            if self.exchange(a, size, [sizes[size]]):
+                return True
+        own, tried = self.items[a], set()
         for i in range(len(own)):
+            if i > 1 and own[i][0] == own[i - 2][0]:
+                continue  # two of a length make all its pairs
             for j in range(i):
-                if self.tries < 0:
-                    return False
                 size = own[i][0] + own[j][0]
-                for room in rooms:
-                    for b in self.by_room[room]:
-                        if b == a:
-                            continue
-                        self.tries -= 1
-                        at = bisect_left(self.items[b], (size - room, -1))
-                        if at < len(self.items[b]) and self.items[b][at][0] < size and self.raises(a, b, size - self.items[b][at][0]):
-                            self.exchange(a, [own[i][1], own[j][1]], b, self.items[b][at][1])
-                            return True
+                if size not in tried:
+                    tried.add(size)
+                    if self.exchange(a, size, [own[i][1], own[j][1]]):
+                        return True
         return False
 
-    def raises(self, a: int, b: int, moved: int) -> bool:
-        """Whether bin ``b`` can take ``moved`` more and the sum of squared fills grows."""
-        return 0 < moved <= self.room[b] and self.capacity - self.room[b] + moved > self.capacity - self.room[a]
-
-    def exchange(self, a: int, out: list[int], b: int, back: int) -> None:
+    def exchange(self, a: int, size: int, out: list[int]) -> bool:
+        """Give ``out`` of length ``size`` to a bin that becomes fuller than ``a`` is, for one smaller piece, if there is one."""
+        fits = self.least[size:size + self.room[a]] < size
+        at = int(fits.argmax())
+        if not fits[at]:
+            return False
+        u = size + at
+        t = int(self.least[u])
+        b = next(iter(self.givers[u, t]))
+        back = self.items[b][bisect_left(self.items[b], (t, -1))][1]
+        self.hide(b)
         for item in out:
             self.take(item, a)
         self.take(back, b)
         for item in out:
             self.put(item, b)
         self.put(back, a)
+        self.show(b)
+        return True
 
     def improve(self) -> None:
-        """Local search until no underfull bin has a raising step; each step raises an integer sum.
-
-        It ends early after TRIES exchanges looked at in a group, so that groups without small pieces,
-        where hardly anything fits, don't cost the square of their bins; every piece stays packed.
-        """
+        """Local search until no underfull bin has a raising step; each step raises an integer sum."""
+        for b in range(len(self.room)):
+            self.show(b)
         bins = sorted((b for b in range(len(self.room)) if OPEN < self.room[b] < self.capacity), key=lambda b: -self.room[b])
         again = True
         while again:
             again = False
             for b in bins:
-                while self.tries > 0 and self.items[b] and self.improve_bin(b):
+                self.hide(b)
+                while self.items[b] and self.room[b] and self.improve_bin(b):
                     again = True
-            bins = sorted((b for b in bins if self.items[b] and self.room[b] > OPEN), key=lambda b: -self.room[b])
+                self.show(b)
+            bins = sorted((b for b in range(len(self.room)) if self.items[b] and self.room[b] > OPEN), key=lambda b: -self.room[b])
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
