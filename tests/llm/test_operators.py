@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tests.llm import brute
 from tidewatch.llm import decontaminate, jaccard, lines, packing, pfor, pitman_yor, quality, substring, suffixes, token_files, toxicity
 from tidewatch.llm.encode import Encoder, vocabulary_path
 from tidewatch.llm.queries import ORACLES, QUERIES
+from tidewatch.llm.words import flat
 
 SF = "/root/testdata/sf0.001"
 
@@ -242,6 +244,13 @@ def test_automaton():
     assert {w: lexicon.match(w) for w in words} == words
 
 
+def test_windows_of_texts_with_very_many_hits():
+    scorer = toxicity.Scorer([("scum", False, 1.5)])
+    for n in (10, 1999, 2000, 2500):
+        texts = flat(pa.array(["scum " * 5 + "fine people " * 20 + "scum thing " * (n - 5)]))
+        assert math.isclose(scorer.features(texts)[0, -1], math.log1p(1.5 * (9 if n > 13 else 5)))
+
+
 def test_substring(spark, docs, rows):
     for n in (50, 3):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeated_windows(docs, n).collect()}

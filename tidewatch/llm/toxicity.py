@@ -149,7 +149,8 @@ class Scorer:
             weight = np.array([self.lexicon.terms[(k - 1) // 2][2] for k in got[own].tolist()])
             wrong = (got[own] - 1) % 2 == 1
             quoted = self.quoted(texts, w, d, own)
-            near = np.array([weight[(own > x - WINDOW) & (own < x + WINDOW)].sum() for x in own.tolist()]) if len(own) < 2000 else weight
+            total = np.append(0, np.cumsum(weight))
+            near = total[np.searchsorted(own, own + WINDOW, "left")] - total[np.searchsorted(own, own - WINDOW, "right")]
             plain = ~wrong & ~quoted
             out[d, 1:] = [math.log1p(weight[plain].sum()), plain.any(), math.log1p(weight[~wrong & quoted].sum()), (~wrong & quoted).any(),
                           math.log1p(weight[wrong & ~quoted].sum()), math.log1p(weight[wrong & quoted].sum()), math.log1p(near.max())]
