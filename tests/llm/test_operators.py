@@ -90,6 +90,20 @@ def test_suffixes_overlapping(spark, monkeypatch, pairwise):
     assert got == brute.repeated_bytes(made)
 
 
+def test_suffixes_of_a_passage_in_very_many_texts(spark, monkeypatch):
+    """Its edges, with other text around them in each document, make no group of all documents."""
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    rng = random.Random(3)
+    other = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = other(400)
+    made = table(spark, [(i, other(90) + passage + other(90)) for i in range(600)] + [(7, None), (600, passage * 2)])
+    runs = suffixes.suffix_runs(suffixes.keyed(made)).groupBy("part").agg(F.sum(F.length("length")).alias("n")).agg(F.max("n")).first()[0]
+    assert runs < 300
+    got = {r[0]: (r[1], r[2], r[3], r[4]) for r in suffixes.remove_repeated_bytes(made.where("text is not null")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute.repeated_bytes([(r.doc_id, r.text) for r in made.where("text is not null").collect()])
+
+
 def test_loser_tree_keeps_common_prefixes():
     rng = random.Random(1)
     runs, every = [], []

@@ -25,6 +25,7 @@ GRAM = 8
 SEGMENT = 1 << 16
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27
 DEPTH = 2
+HOT_SEGMENTS = 64
 
 
 def rolling_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -70,6 +71,15 @@ def run_values(n: int):
 
 def repeated_cells(docs: DataFrame, values, width: int) -> list[np.ndarray]:
     """Bitmaps of the cells that count two or more of ``values(texts)``, one for each row of the sketch."""
+    return repeated_and_hot(docs, values, width, 0, 1)[0]
+
+
+def repeated_and_hot(docs: DataFrame, values, width: int, hot: int, share: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bitmaps, and sorted the values that stand in more than ``hot`` places (none if ``hot`` is 0).
+
+    Each slice counts the values that make up ``share`` of it, two at least; so a value with twice ``hot`` places is
+    never missed if ``share`` is at most ``hot`` of all places.
+    """
     spark = docs.sparkSession
 
     def sketch(batches):
@@ -77,6 +87,14 @@ def repeated_cells(docs: DataFrame, values, width: int) -> list[np.ndarray]:
         for batch in batches:
             for part in slices(batch):
                 value = values(flat(part.column("text")))
+                if hot and len(value):
+                    own, times = np.unique(value, return_counts=True)
+                    often = times >= max(2, share * len(value))
+                    own, times = own[often], times[often]
+                    for k in np.unique(own % np.uint64(HOT_SEGMENTS)).tolist():
+                        some = own % np.uint64(HOT_SEGMENTS) == k
+                        yield pa.RecordBatch.from_arrays([pa.array([-1 - k], pa.int64()), pa.array([own[some].tobytes()], pa.binary()),
+                                                          pa.array([times[some].astype(np.int64).tobytes()], pa.binary())], ["segment", "cells", "counts"])
                 for row in range(DEPTH):
                     at, times = np.unique(cells(value, row, width), return_counts=True)
                     count[row, at] = np.minimum(count[row, at] + np.minimum(times, 2), 2)
@@ -92,20 +110,32 @@ def repeated_cells(docs: DataFrame, values, width: int) -> list[np.ndarray]:
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
+        often: dict[int, int] = {}
         for batch in batches:
             for k, at, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k < 0:
+                    for value, n in zip(np.frombuffer(at, np.uint64).tolist(), np.frombuffer(times, np.int64).tolist(), strict=True):
+                        often[value] = often.get(value, 0) + n
+                    continue
                 count = total.setdefault(k, np.zeros(SEGMENT, np.uint8))
                 at = np.frombuffer(at, np.uint16)
                 count[at] = np.minimum(count[at] + np.frombuffer(times, np.uint8), 2)
         for k, count in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["segment", "bits"])
+        found = np.array([value for value, n in often.items() if n > hot], np.uint64)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["segment", "bits"])
 
     merged = (docs.select("text").mapInArrow(sketch, "segment long, cells binary, counts binary")
               .repartition(parts(spark), "segment").mapInArrow(merge, "segment long, bits binary"))
     bits = np.zeros((DEPTH * width // SEGMENT, SEGMENT // 8), np.uint8)
+    found = [np.zeros(0, np.uint64)]
     for k, b in merged.collect():
-        bits[k] = np.frombuffer(b, np.uint8)
-    return list(bits.reshape(DEPTH, width // 8))
+        if k < 0:
+            found.append(np.frombuffer(b, np.uint64))
+        else:
+            bits[k] = np.frombuffer(b, np.uint8)
+    return list(bits.reshape(DEPTH, width // 8)), np.sort(np.concatenate(found))
 
 
 def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
