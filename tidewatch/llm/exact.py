@@ -29,7 +29,7 @@ from .frames import NULL_ID, out_id, parts, ready, row_id, shared_folder
 from .words import flat
 
 CAPACITY = 1 << 18
-FAN = 4096
+FAN = 256
 #: Slots of the directory: 16 MB as the array that goes to executors. Buckets grow beyond 2 ** 42 keys only.
 MOST_BITS = 24
 
