@@ -72,6 +72,7 @@ def test_small_summaries_and_slices(spark, monkeypatch):
     """Task summaries handed on early and merges at a full capacity lose nothing."""
     monkeypatch.setattr(c, "TASK_COUNTERS", 50)
     monkeypatch.setattr(c, "SLICE", 2000)
+    monkeypatch.setattr(c, "TASK_PHRASES", 40)
     rng = random.Random(2)
     rows = [(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(300)) + ".", rng.choice(["x", "y"])) for _ in range(12)]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
@@ -79,6 +80,15 @@ def test_small_summaries_and_slices(spark, monkeypatch):
     assert result(c.collocations(docs, least=6, longest=3, percent=60)) == brute(rows, 6, longest=3, percent=60)
 
 
+def test_phrases_that_share_a_hash_are_told_apart():
+    counts = c.PhraseCounts(c.Survivors(np.array([5, 9], np.uint64)))
+    said = ["a", "b", "a", "c", "b", "b"]
+    h, second = np.array([5, 5, 5, 9, 5, 5], np.uint64), np.array([1, 2, 1, 1, 2, 2], np.uint64)
+    for part in (slice(0, 3), slice(3, 6)):
+        counts.add(h[part], second[part], lambda i, part=part: ("en", said[part][i]))
+    assert sorted(counts.rows()) == [(5, "en", "a", 2), (5, "en", "b", 3), (9, "en", "c", 1)]
+
+
 def test_nulls_ties_long_texts_and_clashing_names(spark):
     said = "New York, new york. NEW\tYORK! É É é new york\nnew  york"
     rows = [(said, None), (said, "und"), (None, "en"), ("", "en"), (" .,\n", None), ("a b " * 40_000, "en"), ("a b a", ""), ("a b", ""), ("a b", "")]

@@ -34,6 +34,8 @@ BLOCK = 8 << 20
 #: counters of a task before it hands its summary on, and of a hash partition when all are full
 TASK_COUNTERS = 1 << 21
 OWNER_COUNTERS = 1 << 22
+#: different phrases that a task holds before it hands its counts on
+TASK_PHRASES = 1 << 20
 SLICE = 8 << 20
 JOIN = np.uint64(0x9E3779B97F4A7C15)
 BREAKS = np.zeros(256, bool)
@@ -213,45 +215,113 @@ def merged_summaries(least: int):
     return run
 
 
-def exact_counts(longest: int, sent, first_block: bool):
-    """Texts to ``(lang, m, phrase, f)`` of surviving phrases, a row for each slice, and all words of a language with ``m = 0``."""
+class PhraseCounts:
+    """Counts of one level's survivors in a task: by the survivor's place, and its words once."""
+
+    def __init__(self, survivors: Survivors):
+        self.of = survivors
+        n = len(survivors.h)
+        self.n, self.second = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        self.said: dict[int, tuple[str, str]] = {}
+        # Other words under the 64 bits of a survivor.
+        self.other: dict[tuple[int, int], tuple[str, str]] = {}
+        self.other_n: dict[tuple[int, int], int] = {}
+
+    def add(self, h: np.ndarray, second: np.ndarray, words_at) -> None:
+        place = np.searchsorted(self.of.h, h)
+        new, at = np.unique(place, return_index=True)
+        fresh = self.n[new] == 0
+        for k, i in zip(new[fresh].tolist(), at[fresh].tolist(), strict=True):
+            self.said[k] = words_at(i)
+            self.second[k] = second[i]
+        same = self.second[place] == second
+        self.n += np.bincount(place[same], minlength=len(self.n))
+        for i in np.flatnonzero(~same).tolist():
+            key = (int(place[i]), int(second[i]))
+            self.other.setdefault(key, words_at(i))
+            self.other_n[key] = self.other_n.get(key, 0) + 1
+
+    def rows(self):
+        """``(hash, language, phrase, count)`` of all that were met."""
+        for k, (lang, phrase) in self.said.items():
+            yield int(self.of.h[k]), lang, phrase, int(self.n[k])
+        for key, (lang, phrase) in self.other.items():
+            yield int(self.of.h[key[0]]), lang, phrase, self.other_n[key]
+
+
+PHRASES = "p int, lang array<string>, m array<int>, phrase array<string>, f array<long>"
+
+
+def exact_counts(longest: int, sent, first_block: bool, n_parts: int):
+    """Texts to rows of surviving phrases and their counts in a task, one for each hash partition; ``m = 0`` has all words of a language."""
+
+    def flush(counts, totals):
+        found: dict[int, list] = {}
+        for lang, n in totals.items():
+            found.setdefault(0, []).append((lang, 0, "", n))
+        for m, level in enumerate(counts, 1):
+            for h, lang, phrase, n in level.rows():
+                found.setdefault(h % n_parts, []).append((lang, m, phrase, n))
+        for p, rows in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([list(x)], pa.list_(t)) for x, t in zip(
+                zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True))], ["p", "lang", "m", "phrase", "f"])
 
     def run(batches):
         levels = [Survivors(h) for h in sent.value]
+        counts, totals = [PhraseCounts(x) for x in levels], {}
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 w, piece = pieces(flat(part.column("text")))
-                langs = part.column("lang")
-                lang_of, names = langs.dictionary_encode().indices.to_numpy(), langs.dictionary_encode().dictionary.to_pylist()
+                langs = part.column("lang").to_pylist()
                 doc = w.doc()
                 if not len(doc):
                     continue
                 if first_block:
-                    n = np.bincount(lang_of, weights=w.counts(), minlength=len(names)).astype(np.int64)
-                    yield phrase_rows(names, np.zeros(len(names), np.int32), [""] * len(names), n)
-                seed = seeds(flat(langs))[doc]
+                    for lang, n in zip(langs, w.counts().tolist(), strict=True):
+                        totals[lang] = totals.get(lang, 0) + n
+                seed = seeds(flat(part.column("lang")))[doc]
                 one, two = mix(hashes(w) ^ seed), mix(hashes(w, seed=2) ^ seed)
                 for m in range(1, longest + 1):
                     if len(one) < m:
                         break
-                    h1 = grams(one, m)
-                    at = np.flatnonzero(levels[m - 1].hold(h1) & (piece[:len(h1)] == piece[m - 1:]))
-                    if not len(at):
-                        continue
-                    h1, h2 = h1[at], grams(two, m)[at]
-                    order = np.lexsort((h2, h1))
-                    h1, h2 = h1[order], h2[order]
-                    first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-                    where = at[order[first]]
-                    said = [b" ".join([w.data[w.start[j]:w.end[j]].tobytes() for j in range(i, i + m)]).decode() for i in where.tolist()]
-                    yield phrase_rows([names[k] for k in lang_of[doc[where]].tolist()], np.full(len(first), m, np.int32), said,
-                                      np.diff(np.append(first, len(h1))).astype(np.int64))
+                    h = grams(one, m)
+                    at = np.flatnonzero(levels[m - 1].hold(h) & (piece[:len(h)] == piece[m - 1:]))
+
+                    def words_at(i, at=at, m=m, w=w, doc=doc, langs=langs):
+                        j = int(at[i])
+                        return langs[doc[j]], b" ".join([w.data[w.start[k]:w.end[k]].tobytes() for k in range(j, j + m)]).decode()
+
+                    counts[m - 1].add(h[at], grams(two, m)[at], words_at)
+                if sum(len(x.said) for x in counts) > TASK_PHRASES:
+                    yield from flush(counts, totals)
+                    counts, totals = [PhraseCounts(x) for x in levels], {}
+        yield from flush(counts, totals)
 
     return run
 
 
-def phrase_rows(langs: list, m: np.ndarray, phrases: list, f: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(m), pa.array(phrases, pa.string()), pa.array(f)], ["lang", "m", "phrase", "f"])
+def summed_counts(least: int):
+    """Rows of ``exact_counts`` sorted by hash partition to the sums that reach ``least``, a partition at a time."""
+
+    def ended(total):
+        rows = [(*key, n) for key, n in total.items() if n >= least or not key[1]]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))],
+                                          ["lang", "m", "phrase", "f"])
+
+    def run(batches):
+        now, total = None, {}
+        for batch in batches:
+            for i, p in enumerate(batch.column("p").to_pylist()):
+                if p != now:
+                    if total:
+                        yield ended(total)
+                    now, total = p, {}
+                for key in zip(*(batch.column(c)[i].as_py() for c in ("lang", "m", "phrase", "f")), strict=True):
+                    total[key[:3]] = total.get(key[:3], 0) + key[3]
+        if total:
+            yield ended(total)
+
+    return run
 
 
 def send(spark: SparkSession, levels: list[DataFrame], block: int, blocks: int):
@@ -305,9 +375,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, block:
     blocks = max(1, -(-sum(sizes) // block))
     for b in range(blocks):
         sent = send(spark, levels, b, blocks)
-        counts = done(own.mapInArrow(exact_counts(longest, sent, b == 0), "lang string, m int, phrase string, f long")
-                      .groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f")), sent, counts)
-    return counts.where((F.col("f") >= least) | (F.col("m") == 0))
+        counts = done(own.mapInArrow(exact_counts(longest, sent, b == 0, n_parts), PHRASES).repartition(parts(spark), "p").sortWithinPartitions("p")
+                      .mapInArrow(summed_counts(least), "lang string, m int, phrase string, f long"), sent, counts)
+    return counts
 
 
 def scored_cuts(frequent: DataFrame) -> DataFrame:
