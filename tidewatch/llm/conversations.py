@@ -31,6 +31,7 @@ WIDTH = 4
 SYMBOLS = 9
 SEGMENT_ROWS = 1 << 16
 SEGMENT_BYTES = 8 << 20
+HELD_BYTES = 4 << 20
 #: Costs of the edits; KEPT_TRUNCATED comes on top for each row that stays cut off.
 DELETE, REROLE, INSERT, KEPT_TRUNCATED = 4, 3, 3, 3
 #: States of the grammar: nothing yet, after a system, a user, an assistant row. The last and the first may end.
@@ -173,6 +174,8 @@ def key() -> Column:
 
 
 SEGMENT = "key string, part int, seg int, whole boolean, turns array<long>, roles array<string>, texts array<string>"
+PLACE_FIELDS = [("key", pa.string()), ("part", pa.int32()), ("seg", pa.int32()), ("whole", pa.bool_()), ("turns", pa.list_(pa.int64()))]
+SEGMENT_SCHEMA = pa.schema([*PLACE_FIELDS, ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))])
 
 
 def segments(most_rows: int, most_bytes: int):
@@ -180,30 +183,34 @@ def segments(most_rows: int, most_bytes: int):
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        now, seg, first, rows, size = None, 0, True, [], 0
+        now, seg, first, rows, size, held, held_size = None, 0, True, [], 0, [], 0
 
-        def made(whole):
-            turns, roles, texts = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now]), pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([whole]),
-                 pa.array([list(turns)], pa.list_(pa.int64())), pa.array([list(roles)], pa.list_(pa.string())),
-                 pa.array([list(texts)], pa.list_(pa.string()))], ["key", "part", "seg", "whole", "turns", "roles", "texts"])
+        def close(whole):
+            nonlocal held_size
+            turns, roles, texts = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
+            held.append({"key": now, "part": part, "seg": seg, "whole": whole, "turns": turns, "roles": roles, "texts": texts})
+            held_size += size + 100
 
         for batch in batches:
             for k, turn, role, text, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "turn", "role", "text", "copies")), strict=True):
                 if k != now:
                     if now is not None:
-                        yield made(not first and seg == 0)
+                        close(not first and seg == 0)
                         first = False
                     now, seg, rows, size = k, 0, [], 0
+                if held_size > HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=SEGMENT_SCHEMA)
+                    held, held_size = [], 0
                 for _ in range(copies):
                     if len(rows) >= most_rows or size > most_bytes:
-                        yield made(False)
+                        close(False)
                         seg, rows, size = seg + 1, [], 0
                     rows.append((turn, role, text))
                     size += len(text)
         if now is not None:
-            yield made(False)
+            close(False)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=SEGMENT_SCHEMA)
 
     return run
 
@@ -238,6 +245,8 @@ def symbols(roles: list, fault: list[str]) -> np.ndarray:
 
 REPAIRED = ("key string, part int, seg int, whole boolean, turns array<long>, was array<string>, audit string, roles array<string>, texts array<string>, "
             "blank long, duplicate long, truncated long, cost long")
+REPAIRED_SCHEMA = pa.schema([*PLACE_FIELDS, ("was", pa.list_(pa.string())), ("audit", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
+                             *((f, pa.int64()) for f in ("blank", "duplicate", "truncated", "cost"))])
 
 
 def traced(batches):
@@ -245,6 +254,7 @@ def traced(batches):
     t = Tables()
     now, state = None, 0
     for batch in batches:
+        done = []
         for r in batch.to_pylist():
             if r["key"] != now:
                 now, state = r["key"], 0
@@ -267,12 +277,9 @@ def traced(batches):
                     roles.append(r["roles"][i] if op == "K" else NAMES[at])
                     texts.append("" if op == "I" else r["texts"][i])
                     cost += KEPT_TRUNCATED * (op != "I" and fault[i] == "truncated")
-            yield pa.RecordBatch.from_pylist(
-                [{"key": now, "part": r["part"], "seg": r["seg"], "whole": r["whole"], "turns": r["turns"], "was": [x[:1] for x in r["roles"]],
-                  "audit": "".join(edit), "roles": roles, "texts": texts, **{f: fault.count(f) for f in ("blank", "duplicate", "truncated")}, "cost": cost}],
-                schema=pa.schema([("key", pa.string()), ("part", pa.int32()), ("seg", pa.int32()), ("whole", pa.bool_()), ("turns", pa.list_(pa.int64())),
-                                  ("was", pa.list_(pa.string())), ("audit", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
-                                  *((f, pa.int64()) for f in ("blank", "duplicate", "truncated", "cost"))]))
+            done.append({"key": now, "part": r["part"], "seg": r["seg"], "whole": r["whole"], "turns": r["turns"], "was": [x[:1] for x in r["roles"]],
+                         "audit": "".join(edit), "roles": roles, "texts": texts, **{f: fault.count(f) for f in ("blank", "duplicate", "truncated")}, "cost": cost})
+        yield pa.RecordBatch.from_pylist(done, schema=REPAIRED_SCHEMA)
 
 
 def vector_maps(batches):
@@ -335,6 +342,8 @@ def repaired_turns(conversations: DataFrame, faulty=undamaged) -> DataFrame:
 
 
 LEGAL = {("s", "u"), ("u", "a"), ("a", "u")}
+DIGEST_SCHEMA = pa.schema([("key", pa.string()), *((f, pa.int64()) for f in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                           ("audit", pa.string()), ("repaired_sha256", pa.string())])
 DIGEST = "key string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 
 
@@ -345,15 +354,14 @@ def digests(batches):
 
     def ended():
         gaps = 0 if low is None else min(high - low + 1 - turns, 2**63 - 1)
-        return pa.RecordBatch.from_pylist([{"key": now, "gaps": gaps, "illegal": illegal, "audit": "".join(audit), "repaired_sha256": sha.hexdigest(), **total}],
-                                          schema=pa.schema([("key", pa.string()), ("gaps", pa.int64()), ("blank", pa.int64()), ("duplicate", pa.int64()), ("truncated", pa.int64()),
-                                                            ("illegal", pa.int64()), ("cost", pa.int64()), ("audit", pa.string()), ("repaired_sha256", pa.string())]))
+        return {"key": now, "gaps": gaps, "illegal": illegal, "audit": "".join(audit), "repaired_sha256": sha.hexdigest(), **total}
 
     for batch in batches:
+        done = []
         for r in batch.to_pylist():
             if r["key"] != now:
                 if now is not None:
-                    yield ended()
+                    done.append(ended())
                 now, total, illegal, audit, sha, lines = r["key"], dict.fromkeys(counts, 0), 0, [], hashlib.sha256(), 0
                 low = high = role = None
                 turns = 0
@@ -369,8 +377,9 @@ def digests(batches):
             for x, text in zip(r["roles"], r["texts"], strict=True):
                 sha.update(("\n" if lines else "").encode() + f"{x}:{text}".encode())
                 lines += 1
+        yield pa.RecordBatch.from_pylist(done, schema=DIGEST_SCHEMA)
     if now is not None:
-        yield ended()
+        yield pa.RecordBatch.from_pylist([ended()], schema=DIGEST_SCHEMA)
 
 
 def repair_summary(conversations: DataFrame, faulty=undamaged, most_rows: int = SEGMENT_ROWS, most_bytes: int = SEGMENT_BYTES) -> DataFrame:
