@@ -22,6 +22,7 @@ HEADLINE = [
     "ioc_long",
     "dic1_technique_tags",
     "join1_technique_tags_vocabulary",
+    "join1_technique_tags_automaton",
     "ent1_entities",
     "kg_edges",
     "kg12_degree_centrality",

@@ -61,3 +61,39 @@ def test_vocabulary_equals_inline_on_corpus(spark):
     assert j.count() == f.count()
     assert j.filter("a != b").count() == 0
     assert j.filter("size(a) > 0").count() > 0
+
+
+def test_automaton_equals_inline(spark):
+    texts = ["strategy rat", "c2 beacon and cmd.exe", "nothing here", "", None, "x spearphishing linkage", "a  b double", "phishing then rat", "ÉCLAIR rat"]
+    rows = [(0, "T1566", "p", "phishing;spearphishing link"), (1, "T1059", "s", "powershell;cmd.exe"), (2, "T1071", "c", "c2;beacon"),
+            (3, "T1219", "r", "rat;rat"), (4, "T1566", "dup", "phish"), (5, "TX", "x", "a  b"), (6, "TE", "e", "éclair"), (7, "TN", "n", None)]
+    docs = spark.createDataFrame([(i, t, [1, 2], {"k": i}) for i, t in enumerate(texts)], "doc_id INT, clean_text STRING, more ARRAY<INT>, named MAP<STRING, INT>")
+    d = _dict(spark, rows)
+    want = {r["doc_id"]: r["mitre_matches"] for r in Tq.tag_techniques(docs, d, strategy="inline").collect()}
+    one = Tq.tag_techniques(docs, d, strategy="automaton")
+    assert one.columns == [*docs.columns, "mitre_matches"]
+    assert {r["doc_id"]: r["mitre_matches"] for r in one.collect()} == want
+    some = Tq.tag_techniques(docs, d, strategy="automaton", shard_bytes=60)   # several automata
+    assert some.columns == one.columns and {r["doc_id"]: r["mitre_matches"] for r in some.collect()} == want
+    assert Tq.tag_techniques(docs, d.where("false"), strategy="automaton").where("size(mitre_matches) > 0").count() == 0
+    assert Tq.tag_techniques(docs.where("false"), d, strategy="automaton").count() == 0
+
+
+def test_large_dictionary_and_one_long_token(spark):
+    """A token of a megabyte and more keywords than the inline limit: every tag, by plain substring search."""
+    import random
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for _ in range(900)]
+    rows = [(i, f"T{i}", "n", f"{w};{w}x y") for i, w in enumerate(words)]
+    texts = ["".join(rng.choice("abcdz") for _ in range(1_000_000)), " ".join(words[::7]), "z" * 50, "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, clean_text STRING")
+    got = {r["doc_id"]: r["mitre_matches"] for r in Tq.tag_techniques(docs, _dict(spark, rows)).collect()}
+    assert got == {i: [f"T{k}" for k, w in enumerate(words) if w in t or f"{w}x y" in t] for i, t in enumerate(texts)}
+
+
+def test_dictionary_that_breaks_half_way(spark, tmp_path):
+    import gzip
+    whole = gzip.compress(("technique_id,technique_name,keywords\n" + "".join(f"T{i},name {i},word{i * 7919}\n" for i in range(20_000))).encode())
+    p = tmp_path / "cut.csv.gz"
+    p.write_bytes(whole[:len(whole) // 2])
+    assert Tq.load_technique_dictionary(spark, str(p)).count() == 0

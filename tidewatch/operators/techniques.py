@@ -4,13 +4,17 @@ A technique id is emitted for a document when **any** of its keywords is a
 substring of the lower-cased text (no word boundary), once per dictionary
 row, in dictionary order; no match gives ``[]``.
 
-Two exact strategies:
+Three exact strategies:
 
 * ``inline`` — small dictionaries (at most ``INLINE_KEYWORD_LIMIT``
   keywords, checked with a count) are folded into one literal array and
   tested per row with ``filter``/``exists``/``contains``: a pure projection,
   no join and no shuffle.
-* ``vocabulary`` — any dictionary size. A keyword of *m* space-separated
+* ``automaton`` — any dictionary size, linear in the text. The keywords of a shard (at most
+  ``SHARD_BYTES`` of them, checked by one aggregate) form one Aho-Corasick automaton, which goes to
+  the workers and runs over every text once. With one shard the tags are added in place, without a
+  shuffle; with more, each shard gives ``(doc, hits)`` rows that are grouped by document.
+* ``vocabulary`` — any dictionary size, for workers without ``ahocorasick``. A keyword of *m* space-separated
   tokens that occurs in whitespace-normalised text lies inside *m*
   consecutive tokens, so it is a substring of some *m*-token shingle. The
   distinct shingles of the corpus (a map-side-combined aggregate that grows
@@ -22,12 +26,21 @@ Two exact strategies:
 
 from __future__ import annotations
 
+import sys
+from importlib.util import find_spec
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, LongType, StringType, StructField,
                                StructType)
 
+# Functions of this module that run in workers go there by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INLINE_KEYWORD_LIMIT = 512
+#: keyword bytes of one automaton (its nodes take some 50 times as many)
+SHARD_BYTES = 4 << 20
 
 DICT_SCHEMA = StructType([
     StructField("pos", LongType()),
@@ -60,19 +73,25 @@ def technique_dictionary(raw: DataFrame, pos_col: str | None = "pos") -> DataFra
 
 
 def load_technique_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """SRC5: CSV dictionary; a missing file or missing columns give an empty table."""
-    from pyspark.errors import AnalysisException
+    """SRC5: CSV dictionary; a missing file, missing columns or a file that breaks half way give an empty table.
+
+    The whole file is read once, into a checkpoint: later uses see the rows that were checked.
+    """
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    from tidewatch.session import ensure_checkpoint_dir
 
+    ensure_checkpoint_dir(spark)
     empty = spark.createDataFrame([], DICT_SCHEMA)
     try:
         raw = (spark.read.option("header", True).option("multiLine", True)
                .option("escape", '"').csv(path))
-        cols = set(raw.columns)
-    except AnalysisException:
+        if not {"technique_id", "technique_name", "keywords"} <= set(raw.columns):
+            return empty
+        return technique_dictionary(raw, pos_col=None).checkpoint()
+    except (PySparkException, Py4JJavaError):
         return empty
-    if not {"technique_id", "technique_name", "keywords"} <= cols:
-        return empty
-    return technique_dictionary(raw, pos_col=None)
 
 
 def _keywords_long(dictionary: DataFrame) -> DataFrame:
@@ -82,13 +101,18 @@ def _keywords_long(dictionary: DataFrame) -> DataFrame:
 
 def tag_techniques(docs: DataFrame, dictionary: DataFrame, text_col: str = "clean_text",
                    id_col: str = "doc_id", out_col: str = "mitre_matches",
-                   strategy: str = "auto") -> DataFrame:
-    """Add ``out_col ARRAY<STRING>`` of technique ids in dictionary order."""
+                   strategy: str = "auto", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Add ``out_col ARRAY<STRING>`` of technique ids in dictionary order.
+
+    With more than one shard of keywords, rows that share an id get each other's tags: ids must be unique.
+    """
     n_kw = None
     if strategy == "auto":
         n_kw = _keywords_long(dictionary).limit(INLINE_KEYWORD_LIMIT + 1).count()
     if strategy == "inline" or (strategy == "auto" and n_kw <= INLINE_KEYWORD_LIMIT):
         return _tag_inline(docs, dictionary, text_col, out_col)
+    if strategy == "automaton" or (strategy == "auto" and find_spec("ahocorasick")):
+        return _tag_automaton(docs, dictionary, text_col, id_col, out_col, shard_bytes)
     return _tag_vocabulary(docs, dictionary, text_col, id_col, out_col)
 
 
@@ -113,6 +137,78 @@ def _tag_inline(docs, dictionary, text_col, out_col):
     return d.withColumn(out_col, F.array_compact(F.array(*tests))).drop("_lt")
 
 
+def _matcher(keywords: list[tuple[str, int]]):
+    """The automaton of ``(keyword, row)`` pairs; each of its words holds the rows that list it."""
+    import ahocorasick
+
+    rows: dict[str, list[int]] = {}
+    for keyword, row in keywords:
+        rows.setdefault(keyword, []).append(row)
+    found = ahocorasick.Automaton()
+    for keyword, own in rows.items():
+        found.add_word(keyword, tuple(own))
+    if rows:
+        found.make_automaton()
+    return found
+
+
+def _hit_rows(automaton, text: str | None) -> list[int]:
+    """Sorted rows of which a keyword lies in the text."""
+    if not text or not len(automaton):
+        return []
+    hit = {own for _, own in automaton.iter(text)}
+    return sorted({row for own in hit for row in own})
+
+
+def _tag_automaton(docs, dictionary, text_col, id_col, out_col, shard_bytes=SHARD_BYTES):
+    kw = _keywords_long(dictionary).checkpoint()
+    size = kw.agg(F.sum(F.octet_length("kw") + 16 + F.octet_length("technique_id"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    if shards == 1:
+        return _tag_in_place(docs, kw, text_col, out_col)
+    per_shard = []
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    for k in range(shards):
+        own = kw.filter(F.pmod(F.xxhash64("kw", "pos"), F.lit(shards)) == k)
+        hits = _tag_in_place(slim, own, "_text", "_tags", with_pos=True).select("_id", F.explode("_tags").alias("_t"))
+        per_shard.append(hits.checkpoint())   # one automaton at a time
+    hits = per_shard[0]
+    for more in per_shard[1:]:
+        hits = hits.unionByName(more)
+    per_doc = hits.groupBy("_id").agg(F.array_sort(F.collect_set("_t")).alias("_tags")) \
+                  .withColumn("_tags", F.col("_tags.technique_id"))
+    out = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["_id"]), "left")
+    return (out.withColumn(out_col, F.coalesce("_tags", F.array().cast("array<string>"))).drop("_id", "_tags"))
+
+
+def _tag_in_place(docs, kw, text_col, out_col, with_pos=False):
+    """Tags by one automaton of the keywords ``kw``, of checked size, in a map over the documents."""
+    import pyarrow as pa
+
+    listed = kw.orderBy("pos", "technique_id").collect()
+    places = sorted({(r["pos"], r["technique_id"]) for r in listed})
+    row_of = {place: row for row, place in enumerate(places)}
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(([(r["kw"], row_of[r["pos"], r["technique_id"]]) for r in listed], places))
+    kind = "array<struct<pos:bigint,technique_id:string>>" if with_pos else "array<string>"
+    arrow = pa.list_(pa.struct([("pos", pa.int64()), ("technique_id", pa.string())]) if with_pos else pa.string())
+
+    def tag(batches):
+        keywords, places = sent.value
+        automaton = _matcher(keywords)
+        value = [{"pos": p, "technique_id": t} for p, t in places] if with_pos else [t for _, t in places]
+        for batch in batches:
+            at = batch.schema.get_field_index("_lt")
+            tags = [[value[row] for row in _hit_rows(automaton, text)] for text in batch.column(at).to_pylist()]
+            keep = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(tags, arrow)],
+                                             [*[batch.schema.names[i] for i in keep], out_col])
+
+    lowered = docs.drop(out_col).withColumn("_lt", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    schema = docs.drop(out_col).withColumn(out_col, F.lit(None).cast(kind)).schema
+    return lowered.mapInArrow(tag, schema)
+
+
 def _tag_vocabulary(docs, dictionary, text_col, id_col, out_col):
     kw = (_keywords_long(dictionary)
           .withColumn("m", F.size(F.split("kw", " ")))

@@ -161,6 +161,12 @@ def join1_technique_tags_vocabulary(spark, sf_dir):
     return t.select("doc_id", F.array_join("mitre_matches", ",").alias("mitre_matches"))
 
 
+@register("join1_technique_tags_automaton", _TAGS_SQL)
+def join1_technique_tags_automaton(spark, sf_dir):
+    t = Tq.tag_techniques(C.features(spark, sf_dir).select("doc_id", "clean_text"), C.tech_dict(spark), strategy="automaton")
+    return t.select("doc_id", F.array_join("mitre_matches", ",").alias("mitre_matches"))
+
+
 # --- ENT1 / FLT4 --------------------------------------------------------------------
 _GRAPH_BASE = f"WITH {O.prep_ctes()}{O.tags_ctes()}{O.entity_ctes()}"
 

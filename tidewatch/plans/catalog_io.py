@@ -67,10 +67,10 @@ def agg6_merged_first_wins(spark, sf_dir):
     return d.select("source_rank", "row_no", "clean_text")
 
 
-# --- SRC5, ADV10 from a loaded file, a dictionary of 600 techniques ------------------------
+# --- SRC5, ADV10 from a loaded file, a dictionary of all parts ------------------------------
 def _part_dictionary(spark, sf_dir):
     from tidewatch.operators.techniques import load_technique_dictionary
-    p = load_table(spark, sf_dir, "part").filter("p_partkey < 600").orderBy("p_partkey")
+    p = load_table(spark, sf_dir, "part").orderBy("p_partkey")
     raw = p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("technique_id"), F.col("p_name").alias("technique_name"),
                    F.expr("concat(upper(substr(p_name, 1, 3 + p_partkey % 3)), '; ;', substr(p_name, -4 - p_partkey % 2))").alias("keywords"),
                    F.concat(F.lit("tactic-"), (F.col("p_partkey") % 7).cast("string")).alias("tactic"))
@@ -79,7 +79,7 @@ def _part_dictionary(spark, sf_dir):
 
 _PART_DICT = """pd AS (SELECT p_partkey AS pos, 'P' || CAST(p_partkey AS VARCHAR) AS technique_id, p_name,
   [k for k in [lower(trim(substr(p_name, 1, CAST(3 + p_partkey % 3 AS BIGINT)))), lower(trim(right(p_name, CAST(4 + p_partkey % 2 AS BIGINT))))] if k <> ''] AS keywords,
-  'tactic-' || CAST(p_partkey % 7 AS VARCHAR) AS tactic FROM part WHERE p_partkey < 600)"""
+  'tactic-' || CAST(p_partkey % 7 AS VARCHAR) AS tactic FROM part)"""
 
 
 @register("src5_dictionary_file", f"""
@@ -94,7 +94,7 @@ hit AS (SELECT f.doc_id, pd.pos, pd.technique_id FROM feat f JOIN pd ON len(list
 SELECT f.doc_id, coalesce((SELECT string_agg(technique_id, ',' ORDER BY pos) FROM hit WHERE hit.doc_id = f.doc_id), '') AS mitre_matches FROM feat f""")
 def dic1_large_dictionary(spark, sf_dir):
     from tidewatch.operators.techniques import tag_techniques
-    t = tag_techniques(C.features(spark, sf_dir).drop("text").checkpoint(), _part_dictionary(spark, sf_dir).checkpoint())
+    t = tag_techniques(C.features(spark, sf_dir).drop("text").checkpoint(), _part_dictionary(spark, sf_dir))
     return t.select("doc_id", F.array_join("mitre_matches", ",").alias("mitre_matches"))
 
 
@@ -103,7 +103,7 @@ WITH {O.prep_ctes()}, {_PART_DICT}
 SELECT DISTINCT f.doc_id, pd.tactic FROM feat f JOIN pd ON len(list_filter(pd.keywords, lambda k: contains(lower(f.clean_text), k))) > 0""")
 def adv10_tactics_from_file(spark, sf_dir):
     from tidewatch.operators.techniques import tag_techniques, technique_tactics
-    d = _part_dictionary(spark, sf_dir).checkpoint()
+    d = _part_dictionary(spark, sf_dir)
     return technique_tactics(tag_techniques(C.features(spark, sf_dir).drop("text").checkpoint(), d), d)
 
 
