@@ -79,6 +79,28 @@ def doc_reputation_wide(long: DataFrame, keys: list[str], docs: DataFrame | None
         id_col, *[F.coalesce(F.col(f"_k{i}"), F.lit(0)).alias(k) for i, k in enumerate(keys)])
 
 
+def reputation_index(long: DataFrame) -> DataFrame:
+    """IOC8 (sparse form): ``(key, idx)``, every key of the corpus numbered from 0 in key order."""
+    from tidewatch.operators.sampling import dense_positions
+
+    keys = long.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    return dense_positions(keys, "idx")
+
+
+def doc_reputation_sparse(long: DataFrame, index: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """IOC8 (sparse form): ``(doc_id, entries ARRAY<STRUCT<idx, score>>)`` of every document, by ``idx``.
+
+    The wide layout of all indicators without a column for each: a place that is not listed is 0. ``long`` is
+    ``doc_reputation_long``; of several scores under one key the largest counts. A key of very many
+    documents meets one index row, so AQE can split its partition.
+    """
+    scored = long.filter(F.col("malicious_score") != 0).join(index, "key")
+    per = (scored.groupBy(id_col, "idx").agg(F.max("malicious_score").alias("score"))
+           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("entries")))
+    return docs.select(id_col).distinct().join(per, id_col, "left").select(
+        id_col, F.coalesce("entries", F.array().cast("array<struct<idx:bigint,score:int>>")).alias("entries"))
+
+
 def attach_reputation(docs: DataFrame, enriched: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """JOIN3: keyed (never positional) append of per-document reputation summaries."""
     per = (doc_reputation_long(enriched, id_col).groupBy(id_col)

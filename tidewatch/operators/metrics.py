@@ -46,11 +46,14 @@ def score_bucket(s: DataFrame, group: str) -> DataFrame:
 
 
 def _score_table(pred: DataFrame, group: str, descending: bool) -> DataFrame:
-    """Distinct scores with counts and strict prefix sums of pos/neg in score order."""
+    """Distinct scores with counts and strict prefix sums of pos/neg in score order.
+
+    The distinct scores are checkpointed: bounds, totals and rows all read them.
+    """
     s = (pred.filter(F.col("y_score").isNotNull())
          .groupBy(group, "y_score")
          .agg(F.sum((F.col("y_true") == 1).cast("bigint")).alias("pos"),
-              F.sum((F.col("y_true") != 1).cast("bigint")).alias("neg")))
+              F.sum((F.col("y_true") != 1).cast("bigint")).alias("neg")).checkpoint())
     b = score_bucket(s, group)
     s = b.withColumn("_b", -F.col("_b") if descending else F.col("_b"))
     bt = s.groupBy(group, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))

@@ -111,11 +111,11 @@ def fit_text_classifier(df: DataFrame, text_col: str = "clean_text", label_col:
     # rows of at most ROWS_PER_FIT_PARTITION, and never fewer tasks than cores
     model = text_pipeline(text_col, label_col, "weight", extra_numeric, scale=scale).fit(
         d.filter(F.col(split_col) == "train"))
-    d.unpersist()
     test = score_documents(d.filter(F.col(split_col) == "test"), model, model_name)
     pred = test.select(F.lit(model_name).alias("model"), "doc_id",
                        F.col(label_col).cast("int").alias("y_true"), F.col("pred").alias("y_pred"),
-                       F.col("prob").alias("y_score"))
+                       F.col("prob").alias("y_score")).checkpoint()
+    d.unpersist()   # only now: the test rows are scored from the persisted ones
     return model, evaluate(pred)
 
 
@@ -132,7 +132,7 @@ def score_documents(df: DataFrame, model, model_name: str = "text_lr") -> DataFr
 def fit_embedding_classifier(emb: DataFrame, label_col: str = "label", max_iter: int = 50,
                              seed: int = 42):
     """ADV3: multinomial LogisticRegression on ``array_to_vector(embedding)``;
-    stratified 80/20 split by key. Returns (model, predictions on test)."""
+    stratified 80/20 split by key. Returns (model, ``vec_id, label, prediction, split`` of every row)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
     from tidewatch.operators.sampling import stratified_split
@@ -144,8 +144,8 @@ def fit_embedding_classifier(emb: DataFrame, label_col: str = "label", max_iter:
     d = d.coalesce(max(1, min(d.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION))))
     lr = LogisticRegression(maxIter=max_iter, regParam=1e-3, family="multinomial")
     m = lr.fit(d.filter(F.col("split") == "train"))
+    p = m.transform(d).select("vec_id", "label", "prediction", "split").checkpoint()
     d.unpersist()
-    p = m.transform(d.filter(F.col("split") == "test")).select("vec_id", "label", "prediction")
     return m, p
 
 
@@ -154,6 +154,7 @@ def evaluate_embedding_classifier(emb: DataFrame, label_col: str = "label"):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
     model, p = fit_embedding_classifier(emb, label_col)
+    p = p.filter(F.col("split") == "test")
     value = {m: MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=m).evaluate(p)
              for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
     row = [("embeddings_lr", value["accuracy"], value["weightedPrecision"], value["weightedRecall"], value["f1"], None, None)]
@@ -169,6 +170,11 @@ def naive_bayes_table(train: DataFrame, text_col: str = "clean_text", label_col:
                                  F.count(F.when(F.col(label_col) == 1, 1)).alias("c1"))
 
 
+def label_counts(train: DataFrame, label_col: str = "label") -> DataFrame:
+    """``(k0, k1)``: documents of both classes, one row."""
+    return train.agg(F.count(F.when(F.col(label_col) == 0, 1)).alias("k0"), F.count(F.when(F.col(label_col) == 1, 1)).alias("k1"))
+
+
 def naive_bayes_scores(docs: DataFrame, train: DataFrame, text_col: str = "clean_text", label_col: str = "label",
                        id_col: str = "doc_id") -> DataFrame:
     """ADV2: ``(doc_id, score, pred)`` of a multinomial naive Bayes (a linear model with counted weights).
@@ -176,29 +182,80 @@ def naive_bayes_scores(docs: DataFrame, train: DataFrame, text_col: str = "clean
     ``score`` is the log odds of label 1 with add-one smoothing; tokens that training never saw say
     nothing. The table is joined by term: broadcast after a check of its bytes, by key beyond it.
     """
+    return naive_bayes_apply(docs, naive_bayes_table(train, text_col, label_col, id_col), label_counts(train, label_col), text_col, id_col)
+
+
+def naive_bayes_apply(docs: DataFrame, table: DataFrame, documents: DataFrame, text_col: str = "clean_text",
+                      id_col: str = "doc_id") -> DataFrame:
+    """``naive_bayes_scores`` from the counts of an earlier fit: its term table and its ``label_counts``."""
     from tidewatch.operators.util import broadcast_if_small
 
-    table = naive_bayes_table(train, text_col, label_col, id_col)
     t = table.agg(F.sum("c0"), F.sum("c1"), F.count(F.lit(1))).first()
     n0, n1, v = (int(x or 0) for x in t)
-    k = train.agg(F.count(F.when(F.col(label_col) == 0, 1)), F.count(F.when(F.col(label_col) == 1, 1))).first()
+    k = documents.first()
     weight = table.select("term", (F.log((F.col("c1") + 1.0) / F.lit(n1 + v + 0.0)) - F.log((F.col("c0") + 1.0) / F.lit(n0 + v + 0.0))).alias("w"))
     g = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))).alias("term"))
     per = (g.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if_small(weight), "term")
            .groupBy(id_col).agg(F.sum(F.col("n") * F.col("w")).alias("s")))
-    prior = F.log(F.lit((k[1] + 1.0) / (k[0] + 1.0)))
+    prior = F.log(F.lit((k["k1"] + 1.0) / (k["k0"] + 1.0)))
     return (docs.select(id_col).join(per, id_col, "left").withColumn("score", prior + F.coalesce("s", F.lit(0.0)))
             .select(id_col, "score", (F.col("score") > 0).cast("int").alias("pred")))
 
 
+def naive_bayes_by_fold(folded: DataFrame, fold_col: str = "fold", text_col: str = "clean_text", label_col: str = "label",
+                        id_col: str = "doc_id") -> DataFrame:
+    """ADV7: ``(doc_id, fold, label, score, pred)``, every document scored by a fit on the other folds.
+
+    All folds come from one count of ``(term, fold)``: what the other folds hold is the total less the fold's own, and
+    a document only needs terms that its own fold has. ``folded`` is read several times: checkpoint it first.
+    """
+    from tidewatch.operators.util import broadcast_if_small
+
+    g = folded.select(id_col, fold_col, label_col, F.explode(
+        F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))).alias("term"))
+    one = F.col(label_col) == 1
+    zero = F.col(label_col) == 0
+    own = g.groupBy("term", fold_col).agg(F.count(F.when(zero, 1)).alias("c0"), F.count(F.when(one, 1)).alias("c1")).checkpoint()
+    total = own.groupBy("term").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
+    other = own.join(total, "term").select("term", fold_col, (F.col("t0") - F.col("c0")).alias("c0"), (F.col("t1") - F.col("c1")).alias("c1")).checkpoint()
+    all_ = total.agg(F.sum("t0").alias("a0"), F.sum("t1").alias("a1"), F.count(F.lit(1)).alias("av"))
+    lost = other.groupBy(fold_col).agg(F.count(F.when(F.col("c0") + F.col("c1") == 0, 1)).alias("gone"))
+    docs = folded.groupBy(fold_col).agg(F.count(F.when(zero, 1)).alias("d0"), F.count(F.when(one, 1)).alias("d1"))
+    sums = own.groupBy(fold_col).agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"))
+    every = folded.agg(F.count(F.when(zero, 1)).alias("k0"), F.count(F.when(one, 1)).alias("k1"))
+    # One row a fold, and tables of one row.
+    fits = (docs.join(sums, fold_col, "left").join(lost, fold_col, "left").crossJoin(all_).crossJoin(every).na.fill(0)
+            .select(fold_col, (F.col("a0") - F.col("s0")).alias("n0"), (F.col("a1") - F.col("s1")).alias("n1"), (F.col("av") - F.col("gone")).alias("v"),
+                    F.log((F.col("k1") - F.col("d1") + 1.0) / (F.col("k0") - F.col("d0") + 1.0)).alias("prior"))).checkpoint()
+    fits = F.broadcast(fits)
+    weight = (other.filter("c0 + c1 > 0").join(fits, fold_col)
+              .select("term", fold_col, (F.log((F.col("c1") + 1.0) / (F.col("n1") + F.col("v"))) - F.log((F.col("c0") + 1.0) / (F.col("n0") + F.col("v")))).alias("w")))
+    per = (g.groupBy(id_col, fold_col, "term").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if_small(weight), ["term", fold_col])
+           .groupBy(id_col).agg(F.sum(F.col("n") * F.col("w")).alias("s")))
+    return (folded.select(id_col, fold_col, label_col).join(fits.select(fold_col, "prior"), fold_col).join(per, id_col, "left")
+            .withColumn("score", F.col("prior") + F.coalesce("s", F.lit(0.0)))
+            .select(id_col, fold_col, label_col, "score", (F.col("score") > 0).cast("int").alias("pred")))
+
+
+def fold_metrics(folded: DataFrame, fold_col: str = "fold", label_col: str = "label") -> DataFrame:
+    """ADV7: ``fold, accuracy, precision, recall, f1`` of a naive Bayes for each fold, and their means as fold ``mean``."""
+    from tidewatch.operators.metrics import classification_metrics
+
+    got = naive_bayes_by_fold(folded, fold_col, label_col=label_col)
+    each = classification_metrics(got.select(F.col(fold_col).cast("string").alias("fold"), F.col(label_col).cast("int").alias("y_true"),
+                                             F.col("pred").alias("y_pred")), "fold").checkpoint()
+    names = ["accuracy", "precision", "recall", "f1"]
+    return each.unionByName(each.agg(*[F.avg(c).alias(c) for c in names]).select(F.lit("mean").alias("fold"), *names))
+
+
 def fit_naive_bayes(df: DataFrame, text_col: str = "clean_text", label_col: str = "label", split_col: str = "split",
                     model_name: str = "naive_bayes"):
-    """ADV2 with the split of the other classifiers: ``(count table, metrics on the test rows)``."""
+    """ADV2 with the split of the other classifiers: ``((count table, label counts), metrics on the test rows)``."""
     from tidewatch.operators.metrics import evaluate
     from tidewatch.operators.scoring import sigmoid
 
     train, test = (df.filter(F.col(split_col) == s) for s in ("train", "test"))
     got = naive_bayes_scores(test, train, text_col, label_col).join(test.select("doc_id", label_col), "doc_id")
-    return naive_bayes_table(train, text_col, label_col), evaluate(got.select(
+    return (naive_bayes_table(train, text_col, label_col), label_counts(train, label_col)), evaluate(got.select(
         F.lit(model_name).alias("model"), "doc_id", F.col(label_col).cast("int").alias("y_true"), F.col("pred").alias("y_pred"),
         sigmoid(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("score")))).alias("y_score")))

@@ -89,14 +89,16 @@ def quota_cuts(keyed: DataFrame, groups: list[str], quotas: DataFrame | None, id
 
 
 def flag_smallest(df: DataFrame, groups: list[str], quotas: DataFrame | None, seed: int,
-                  id_col: str = "doc_id", flag: str = "_sel", quota: int | None = None) -> DataFrame:
+                  id_col: str = "doc_id", flag: str = "_sel", quota: int | None = None,
+                  narrow: DataFrame | None = None) -> DataFrame:
     """Add boolean ``flag``: row is among the ``quota`` smallest (key, id) of its group.
 
     ``quotas`` has ``groups + ['quota']``; or pass one ``quota`` for all. Ids must be unique.
     The cut of each group is a (key, id) pair in a table of one row per group, so the rows
     themselves are flagged by a comparison in place: no shuffle carries their other columns.
+    ``narrow``: the groups and ids of ``df``, where a caller has them at hand.
     """
-    narrow = _keyed(df.select(*groups, id_col), seed, id_col)
+    narrow = _keyed(df.select(*groups, id_col) if narrow is None else narrow, seed, id_col)
     cuts = _small(quota_cuts(narrow, groups, quotas, id_col, quota), groups)
     j = _join_groups(df.withColumn(_K, sample_key(seed, id_col)), cuts, groups, "left")
     below = (F.col(_K) < F.col("_ckey")) | ((F.col(_K) == F.col("_ckey")) & (F.col(id_col) <= F.col("_cid")))
@@ -241,14 +243,18 @@ def stratified_split(df: DataFrame, label_col: str = "label", test_size: float =
     """SMP5: add ``split`` in ('train','test'); class shares preserved exactly.
 
     The class-count table (one row per class) is read on the driver to
-    compute the quotas; rows never leave the executors.
+    compute the quotas; rows never leave the executors. Labels and ids are checkpointed once, for
+    counts, quotas and cuts all read them; ``df`` itself is evaluated for its other columns only.
     """
-    counts = {r[label_col]: r["count"] for r in class_counts(df, label_col).collect()}
+    narrow = df.select(label_col, id_col).checkpoint()
+    if set(df.columns) == {label_col, id_col}:
+        df = narrow.select(*df.columns)
+    counts = {r[label_col]: r["count"] for r in class_counts(narrow, label_col).collect()}
     q = split_quotas(counts, test_size)
     spark = df.sparkSession
     qdf = spark.createDataFrame([(k, v) for k, v in q.items()],
                                 f"{label_col} {df.schema[label_col].dataType.simpleString()}, quota BIGINT")
-    f = flag_smallest(df, [label_col], qdf, seed, id_col, flag="_sel")
+    f = flag_smallest(df, [label_col], qdf, seed, id_col, flag="_sel", narrow=narrow)
     return f.withColumn(out_col, F.when(F.col("_sel"), F.lit("test")).otherwise(F.lit("train"))).drop("_sel")
 
 

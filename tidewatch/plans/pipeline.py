@@ -102,7 +102,7 @@ def run_pipeline(spark: SparkSession, docs: DataFrame, cfg: Config = DEFAULT_CON
         centrality = G.doc_centrality(prepared.select("doc_id"), ents, cent,
                                       weight=cfg.graph_centrality_weight)
 
-    scores, results, seq = [], [], []
+    scores, results, seq, kept = [], [], [], {}
     if train_model or cfg.do_baseline:
         res.balanced = training_rows(prepared, cfg).checkpoint(eager=True)
     if train_model:
@@ -112,6 +112,7 @@ def run_pipeline(spark: SparkSession, docs: DataFrame, cfg: Config = DEFAULT_CON
         seq.append("text_lr")
         if model is not None:
             scores.append(score_documents(prepared, model, "text_lr").select("doc_id", "model", "prob"))
+            kept["text_lr"] = model
             if out_dir:
                 from tidewatch import sinks
                 sinks.save_model(model, f"{out_dir}/text_lr_model")
@@ -120,6 +121,8 @@ def run_pipeline(spark: SparkSession, docs: DataFrame, cfg: Config = DEFAULT_CON
         table, metrics = attempt(spark, "naive_bayes", lambda: fit_naive_bayes(res.balanced))
         results.append(metrics)
         seq.append("naive_bayes")
+        if table is not None:
+            kept["naive_bayes"] = table
     if cfg.do_embeddings_lr and embeddings is not None:
         from tidewatch.operators.models import evaluate_embedding_classifier
         _, metrics = attempt(spark, "embeddings_lr", lambda: evaluate_embedding_classifier(embeddings))
@@ -156,9 +159,34 @@ def run_pipeline(spark: SparkSession, docs: DataFrame, cfg: Config = DEFAULT_CON
             sinks.write_alert_summary(res.alert_summary, f"{out_dir}/alerts_summary")
         if res.metrics is not None:
             sinks.write_metrics(res.metrics, f"{out_dir}/model_results")
+            sinks.save_models(res.metrics, kept, f"{out_dir}/model_store")
         if res.nodes is not None:
             sinks.write_graph(res.nodes, res.edges, f"{out_dir}/graph")
             sinks.write_graph_load_rows(res.nodes, res.edges, f"{out_dir}/graph_load")
     res.timings["total_sec"] = round(time.time() - t0, 3)
     log.info("pipeline finished in %.2f s", res.timings["total_sec"])
     return res
+
+
+def run_inference(spark: SparkSession, docs: DataFrame, store: str, cfg: Config = DEFAULT_CONFIG,
+                  technique_dict: DataFrame | None = None) -> PipelineResult:
+    """Score ``docs`` by the best model of an earlier run's ``model_store``; nothing is fitted.
+
+    Best: the first of ``cfg.model_preference``, then ``text_lr``, that the run stored without an error, else the
+    first stored model. Threat scores have no centrality part, as the graph is the fit run's.
+    """
+    from tidewatch.sinks import load_best
+
+    ensure_checkpoint_dir(spark)
+    name, apply = load_best(spark, store, (*cfg.model_preference, "text_lr"))
+    order = tuple(c for c in ("source_rank", "row_no") if c in docs.columns) or ("doc_id",)
+    prepared = Pp.prepare_documents(docs, cfg, order_cols=order, technique_dict=technique_dict if cfg.do_mitre_mapping else None)
+    if "mitre_matches" not in prepared.columns:
+        prepared = prepared.withColumn("mitre_matches", F.array().cast("array<string>"))
+    prepared = prepared.checkpoint(eager=True)
+    res = PipelineResult(prepared=prepared, balanced=prepared, chosen_model=name)
+    probs = Sc.probability_with_fallback(prepared.select("doc_id"), apply(prepared), [name], cfg.random_seed)
+    res.scored = Sc.compute_threat_score(prepared, probs.select("doc_id", "model_prob"), None, ioc_weight=cfg.ioc_weight,
+                                         threshold=cfg.threat_detection_threshold).checkpoint(eager=True)
+    res.alert_summary = Sc.alert_summary(res.scored)
+    return res
