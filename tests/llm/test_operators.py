@@ -158,8 +158,46 @@ def test_pitman_yor(spark, rows):
         r = got.loc[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(count[x] > 0 for x in w), n, held[i])
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
-    test = got[got.held_out]
+    test, train = got[got.held_out], got[~got.held_out]
     assert test.score.sum() > test.base_score.sum()
+    assert train.score.sum() / train.n_tokens.sum() > test.score.sum() / test.n_tokens.sum()
+
+
+def test_pitman_yor_puts_nonsense_last(spark, docs):
+    """Held-out texts of random letters score below every real text; trained ones below the real texts on the whole."""
+    rng = random.Random(0)
+    said = [(10**6 + k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(200))) for k in range(20)]
+    got = pitman_yor.score(docs.select("doc_id", "text").unionByName(table(spark, said))).toPandas()
+    each = got.score / got.n_tokens
+    false = got.doc_id >= 10**6
+    long = ~false & (got.n_tokens > 20)
+    assert (false & got.held_out).any() and each[false & got.held_out].max() < each[long].min()
+    assert np.corrcoef((got.n_known / got.n_tokens)[got.held_out], each[got.held_out])[0, 1] > 0.5
+
+
+@pytest.mark.parametrize("c,weight,discount", [(6, 0.8, 0.5), (12, 3.0, 0.3), (2, 0.1, 0.9)])
+def test_pitman_yor_seating_follows_the_posterior(c, weight, discount):
+    """Sweeps over many equal dishes give table counts in proportion to weight ** t * S[c, t], summed up by hand."""
+    seatings = {(1,): 1.0}   # sizes of tables -> product of chances, customer by customer
+    for _ in range(c - 1):
+        after = Counter()
+        for sizes, p in seatings.items():
+            after[(*sizes, 1)] += p * weight
+            for k, x in enumerate(sizes):
+                after[(*sizes[:k], x + 1, *sizes[k + 1:])] += p * (x - discount)
+        seatings = {tuple(sorted(k)): 0.0 for k in after} | {}
+        for k, p in after.items():
+            seatings[tuple(sorted(k))] += p
+    want = np.zeros(c + 1)
+    for sizes, p in seatings.items():
+        want[len(sizes)] += p
+    rng = np.random.default_rng(5)
+    n = 20_000
+    t = np.ones(n, np.int64)
+    for _ in range(40):
+        t = pitman_yor.gibbs(rng, np.full(n, c), t, np.full(n, weight), discount, pitman_yor.stirling(discount))
+    got = np.bincount(t, minlength=c + 1) / n
+    assert np.abs(got - want / want.sum()).max() < 0.015
 
 
 def test_pitman_yor_is_a_distribution():
@@ -167,7 +205,7 @@ def test_pitman_yor_is_a_distribution():
     rng = np.random.default_rng(0)
     value, at, context, n, _ = pitman_yor.pair_table(rng.zipf(1.5, 5000).astype(np.uint64) % np.uint64(300), rng.integers(0, 3, 5000).astype(np.uint8))
     customers = np.bincount(context, n, pitman_yor.CLASSES + 1)
-    base = {"n": customers, "N": 5000, "V": len(value), "known": (1 - pitman_yor.UNKNOWN) / len(value), "discount": 0.5, "root_discount": 0.5}
+    base = {"n": customers, "N": 5000, "V": len(value), "known": 1 / (len(value) + 1), "discount": 0.5, "root_discount": 0.5}
     seats = pitman_yor.Bucket(at, context, n, len(value), pitman_yor.learned(base, np.concatenate([customers / 2, [2500, 300]])), 1)
     seats.sweep()
     assert (seats.tables >= 1).all() and (seats.tables <= n).all()
@@ -180,6 +218,27 @@ def test_pitman_yor_is_a_distribution():
         assert pitman_yor.probabilities(seats.totals, sample, word, pair, np.full(len(word), c)).sum() == pytest.approx(1)
 
 
+def test_toxicity_quotes_by_plain_search():
+    """Hits between quotation marks as a search over the decoded surroundings of each finds them."""
+    rng = random.Random(6)
+    window = toxicity.WINDOW
+    for _ in range(60):
+        said = "".join(rng.choice(['"', "«", "»", "“", "”", "„", " ", " ", " ", "é", "ab", "x" * 5, " w w w w w w "]) for _ in range(rng.randrange(1, 120)))
+        texts = flat(pa.array(["before \" text", said]))
+        w = toxicity.words(texts)
+        own = np.arange(w.bounds[1], w.bounds[2])
+        if not len(own):
+            continue
+        raw, begin, want = texts.text(1), texts.offsets[1], []
+        for x in own.tolist():
+            low, high = max(w.bounds[1], x - window), min(w.bounds[2], x + window + 1)
+            head = raw[w.start[low] - begin:w.start[x] - begin + 1].decode(errors="ignore")
+            tail = raw[w.start[x] - begin:w.end[high - 1] - begin].decode(errors="ignore")
+            odd = raw[:w.start[x] - begin + 1].decode(errors="ignore").count('"') % 2 == 1
+            want.append(odd and ('"' in head or '"' in tail) or any(head.rfind(a) > head.rfind(b) and b in tail for a, b in ("«»", "“”", "„“")))
+        assert toxicity.Scorer.quoted(texts, w, 1, own).tolist() == want
+
+
 def test_block_files_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 5000):

@@ -27,13 +27,12 @@ from pyspark.sql import functions as F
 from .frames import keyed, out_id, parts, ready, text_bytes
 from .words import Flat, distinct, flat, hashes, mix, slices, words
 
-CLASSES = 32
+CLASSES = 255
 START = CLASSES
 UNIT_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 EXACT = 96
 ROUNDS, BURN, KEPT, STEPS = 2, 2, 3, 3
 STRENGTH = 1.0
-UNKNOWN = 0.9
 END = np.uint64(0x656E64206F662074)
 
 
@@ -98,7 +97,8 @@ def gibbs(rng, c: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float
     some = np.flatnonzero((c > 1) & (c <= EXACT))
     own, now, log_weight = c[some], t[some], np.log(weight[some])
     for _ in range(STEPS):
-        left = now - ((rng.random(len(own)) * own < now) & (now > 1))
+        # Who opened the only table leaves none behind, and so opens it again: S[c, 0] = 0.
+        left = now - (rng.random(len(own)) * own < now)
         new = log_weight + table[own, left + 1] + np.log(left + 1)
         old = table[own, left] + np.log(own - left)
         chance = 1 / (1 + np.exp(np.clip(old - new, -50, 50)))
@@ -141,7 +141,7 @@ def probabilities(t: dict, samples: list, word: np.ndarray, pair: np.ndarray, co
     """Averaged predictive probability of requests; ``word`` and ``pair`` are indexes, -1 where unknown."""
     total = np.zeros(len(word))
     for tables, root, n in samples:
-        base = np.where(word >= 0, root[word] if len(root) else 0, t["root_new"] * UNKNOWN / t["root_n"])
+        base = np.where(word >= 0, root[word] if len(root) else 0, t["root_new"] * t["known"] / t["root_n"])
         seated = np.where(pair >= 0, np.maximum(n[pair] - t["discount"] * tables[pair], 0) if len(n) else 0, 0)
         total += (seated + t["new"][context] * base) / (t["n"][context] + STRENGTH)
     return total / len(samples)
@@ -207,7 +207,7 @@ def first_totals(model: DataFrame) -> dict:
     got = dict(model.mapInArrow(tally, "k long, x double").groupBy("k").agg(F.sum("x")).collect())  # CLASSES + 6 numbers
     n = np.array([got.get(k, 0.0) for k in range(CLASSES + 1)])
     v, one, two, word_one, word_two = (got.get(CLASSES + 1 + k, 0.0) for k in range(5))
-    totals = {"n": n, "N": int(n.sum()), "V": int(v), "known": (1 - UNKNOWN) / max(v, 1),
+    totals = {"n": n, "N": int(n.sum()), "V": int(v), "known": 1 / (v + 1),
               "discount": float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95)),
               "root_discount": float(np.clip(word_one / max(word_one + 2 * word_two, 1), 0.05, 0.95))}
     return learned(totals, np.concatenate([n * 0.5, [n.sum() * 0.5, v]]))
