@@ -42,17 +42,19 @@ def repeated_bytes(rows, n=100):
     return out
 
 
-def lines(rows, m):
+def lines(rows, m, min_words=50):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         all_lines = (t or "").split("\n")
         at = [k for k in range(len(all_lines)) if all_lines[k].encode().split()]
         gone = set()
-        for a in range(len(at) - m + 1):
-            key = tuple(all_lines[k] for k in at[a:a + m])
-            if key in seen:
-                gone.update(at[a:a + m])
-            seen.add(key)
+        for a in range(len(at)):
+            for size in {1, m}:
+                key = tuple(all_lines[k] for k in at[a:a + size])
+                if len(key) == size and (size == m or len(key[0].encode().split()) >= min_words):
+                    if key in seen:
+                        gone.update(at[a:a + size])
+                    seen.add(key)
         out[i] = (len(at), len(gone), "\n".join(x for k, x in enumerate(all_lines) if k not in gone))
     return out
 

@@ -106,6 +106,18 @@ def test_lines(odd, empty):
     assert lines.remove_repeated_lines(empty).count() == 0
 
 
+def test_one_long_line_is_a_run(spark):
+    """Copies of a line of 50 words go, those of 49 words stay; columns named as the measures pass through."""
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
+    rows = [(1, long), (2, long), (3, f"own start\n{long}\nown end"), (4, short), (5, short), (6, f"{long}  "), (7, f"{short}\n{long}"), (8, f"{long}\n{long}")]
+    docs = spark.createDataFrame([(*r, "a", "b", 7) for r in rows], "doc_id long, text string, _n_lines string, _n_removed string, _n_runs int")
+    got = lines.remove_repeated_lines(docs)
+    assert got.columns == [*docs.columns, "__n_lines", "__n_removed", "__n_runs"]
+    want = brute.lines(rows, 2)
+    assert {r[0]: (r[5], r[6], r[1]) for r in got.collect()} == want
+    assert [want[i][1] for i in range(1, 9)] == [0, 1, 1, 0, 0, 0, 1, 2]
+
+
 def test_quality(odd, empty):
     got = result(quality.ledger(odd), "row.doc_id", "n_words", "n_lines", "n_repeat_words")
     assert len(got) == len(ROWS) and (3, 0, 0, 0) in got and (5, 0, 0, 0) in got and (8, 30_000, 1, 0) in got
