@@ -15,6 +15,7 @@ one half of them makes the lexicon, the other fits the regression. Scoring reads
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -158,21 +159,33 @@ class Scorer:
 
     @staticmethod
     def quoted(texts: Flat, w: Words, d: int, own: np.ndarray) -> np.ndarray:
-        """Whether each hit stands between quotation marks, with one of them at most WINDOW words away."""
-        raw = texts.text(d)
-        if not any(mark in raw for mark in (b'"', "«".encode(), "“".encode(), "„".encode())):
+        """Whether each hit stands between quotation marks, with one of them at most WINDOW words away.
+
+        The marks of the text are found once; each hit looks its neighbours up among them.
+        """
+        raw, begin = texts.text(d), texts.offsets[d]
+        at = {mark: np.array([m.start() for m in re.finditer(re.escape(mark.encode()), raw)], np.int64) for mark in '"«»“”„'}
+        if not sum(map(len, at.values())):
             return np.zeros(len(own), bool)
-        out = []
-        for x in own.tolist():
-            low, high = max(w.bounds[d], x - WINDOW), min(w.bounds[d + 1], x + WINDOW + 1)
-            begin = texts.offsets[d]
-            before = raw[w.start[low] - begin:w.start[x] - begin + 1].decode(errors="ignore")
-            after = raw[w.start[x] - begin:w.end[high - 1] - begin].decode(errors="ignore")
-            whole = raw[:w.start[x] - begin + 1].decode(errors="ignore")
-            straight = whole.count('"') % 2 == 1 and ('"' in before or '"' in after)
-            turned = any(before.rfind(a) > before.rfind(b) and b in after for a, b in ("«»", "“”", "„“"))
-            out.append(straight or turned)
-        return np.array(out)
+        here = w.start[own] - begin
+        low = w.start[np.maximum(w.bounds[d], own - WINDOW)] - begin
+        high = w.end[np.minimum(w.bounds[d + 1], own + WINDOW + 1) - 1] - begin
+
+        def last(mark):
+            """Where the mark stands last in the window up to the first byte of the hit, -1 if nowhere."""
+            known = np.append(at[mark], -1)
+            k = np.searchsorted(at[mark], here + 1 - len(mark.encode()), "right") - 1
+            return np.where(known[k] >= low, known[k], -1)
+
+        def follows(mark):
+            known = np.append(at[mark], len(raw) + WINDOW)
+            return known[np.searchsorted(at[mark], here)] + len(mark.encode()) <= high
+
+        odd = np.searchsorted(at['"'], here, "right") % 2 == 1
+        out = odd & ((last('"') >= 0) | follows('"'))
+        for a, b in ("«»", "“”", "„“"):
+            out |= (last(a) > last(b)) & follows(b)
+        return out
 
 
 def held_out(identity: Column) -> Column:
