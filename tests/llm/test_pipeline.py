@@ -40,3 +40,22 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty, repeated and one-line texts, columns named as inner ones, and no rows at all."""
+    said = " ".join(f"some{k} words" for k in range(60))
+    rows = [(1, said), (2, said), (2, said), (3, None), (4, ""), (None, said + " more"), (5, "a b\nc d\na b\nc d"), (6, "one")]
+    docs = spark.createDataFrame([(i, t, "en", 1, 2, 3, "x") for i, t in rows], "doc_id long, text string, lang string, _n_lines int, _n_removed int, _n_runs int, _id string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        ids = [r.doc_id for r in got.collect()]
+        if name == "line_dedup":
+            # The copies of the one long line are gone but for the first, whose id is not null.
+            assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6] and ids.count(None) == 1
+        if name == "near_duplicates":
+            assert ids.count(2) + ids.count(1) <= 1 and {3, 4, 5, 6} <= set(ids)
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == 7 and corpus_pipeline.packing(spark, docs.where("false"), SF).count() == 0
