@@ -97,6 +97,8 @@ def build_index(keys: DataFrame, folder: str, capacity: int = CAPACITY) -> Direc
         return {r.bucket: r.n for r in got}
 
     load = loads()
+    # Buckets are the owners' shares of work: some for each owner, however few keys there are.
+    capacity = max(1, min(capacity, sum(load.values()) // (8 * parts(spark))))
     while directory.grow(load, capacity):
         load = loads()
     sent = spark.sparkContext.broadcast((directory.depth, directory.owners(load, 4 * parts(spark))))
