@@ -90,9 +90,11 @@ def test_suffixes_overlapping(spark, monkeypatch, pairwise):
     assert got == brute.repeated_bytes(made)
 
 
-def test_suffixes_of_a_passage_in_very_many_texts(spark, monkeypatch):
+@pytest.mark.parametrize("most", [suffixes.MOST_CELLS, 2])
+def test_suffixes_of_a_passage_in_very_many_texts(spark, monkeypatch, most):
     """Its edges, with other text around them in each document, make no group of all documents."""
     monkeypatch.setattr(suffixes, "HOT", 100)
+    monkeypatch.setattr(suffixes, "MOST_CELLS", most)
     rng = random.Random(3)
     other = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     passage = other(400)
@@ -317,6 +319,15 @@ def test_automaton():
     assert {w: lexicon.match(w) for w in words} == words
 
 
+def test_a_sketch_too_wide_for_a_task_sends_no_more_suffixes(spark, docs, rows, monkeypatch):
+    sent = lambda: suffixes.suffix_runs(suffixes.keyed(docs)).agg(F.sum(F.length("length"))).first()[0]
+    whole = sent()
+    monkeypatch.setattr(suffixes, "MOST_CELLS", 2)
+    assert sent() <= whole * 1.01
+    got = {r[0]: tuple(r[1:]) for r in suffixes.op2_suffix_dedup(spark, SF).collect()}
+    assert got == brute.repeated_bytes(rows)
+
+
 def test_windows_of_texts_with_very_many_hits():
     scorer = toxicity.Scorer([("scum", False, 1.5)])
     for n in (10, 1999, 2000, 2500):
@@ -330,6 +341,27 @@ def test_substring(spark, docs, rows):
         assert got == brute.substring(rows, n)
 
 
+def test_substring_sketch_overestimates_and_keeps_its_load(spark, docs):
+    """Every repeated minimizer comes back; few others do, whatever the number of places."""
+    own = substring.keyed(docs)
+    for n, copies in ((50, 1), (10, 1), (10, 3)):
+        more = own
+        for k in range(1, copies):
+            more = more.unionByName(own.withColumns({"_id": F.col("_id") + 10**6 * k, "text": F.expr(f"translate(text, 'aeiou', '{'eiouaeiou'[k:k + 5]}')")}))
+        table_ = more.select("_id", "_fp", "text").toArrow().combine_chunks()
+        value, doc = substring.run_values(n)(flat(table_.column("text").chunk(0)))
+        width = substring.sketch_width(len(value))
+        back = {r._id: r.cells for r in substring.with_repeated_cells(more, substring.run_values(n), width).where("cells is not null").select("_id", "cells").collect()}
+        times, found = Counter(value.tolist()), 0
+        ids = table_.column("_id").to_pylist()
+        cell = substring.cells(value, 0, width).tolist()
+        for v, d, c in zip(value.tolist(), doc.tolist(), cell, strict=True):
+            inside = c in back.get(ids[d], ())
+            assert inside or times[v] == 1
+            found += inside and times[v] == 1
+        assert found <= 0.05 * len(value)
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 

@@ -6,9 +6,9 @@ underestimates in how many places a window of that minimizer starts. Pass 2 grou
 hash of the words, only windows that the merged sketch puts at two or more, and loses none.
 A window is then repeated when a document with a smaller id has it too.
 
-The sketch has ``2 * width`` cells; the width follows the input up to ``MOST_CELLS``, so that the
-merged bitmap (one bit a cell) that goes to executors never passes 32 MB. Beyond that size the
-sketch only lets more windows through to the exact pass.
+The width of the sketch follows the input without a bound, so its load is the same at any size.
+No task holds it whole: partition sketches are sparse rows ``(cell, count)``, dealt by cell and
+added up, and the cells that count two or more go back to the documents they came from.
 """
 
 from __future__ import annotations
@@ -56,26 +56,58 @@ def cells(value: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def run_values(n: int):
-    """The minimizers of a slice's windows, once for each run of windows of one text that share it."""
+    """The minimizers of a slice's windows and their texts, once for each run of windows of one text that share it."""
 
-    def values(texts: Flat) -> np.ndarray:
+    def values(texts: Flat) -> tuple[np.ndarray, np.ndarray]:
         w = words(texts)
         value, first = window_minimizers(hashes(w), w.bounds, n)
-        if not len(value):
-            return value
         doc = w.doc()[first]
-        return value[np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]]
+        new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])][:len(value)]
+        return value[new], doc[new]
 
     return values
 
 
-def repeated_cells(docs: DataFrame, values, width: int) -> list[np.ndarray]:
-    """Bitmaps of the cells that count two or more of ``values(texts)``, one for each row of the sketch."""
-    return repeated_and_hot(docs, values, width, 0, 1)[0]
+def sketch_width(places: int) -> int:
+    """Cells of a dealt sketch for so many places: 64 or more a place."""
+    return 1 << min(max(64 * places, LEAST_CELLS).bit_length(), 62)
+
+
+def with_repeated_cells(docs: DataFrame, values, width: int, hot: int | None = None) -> DataFrame:
+    """``docs`` with ``cells``: of each text, the cells that count two or more of ``values(texts)`` over all texts.
+
+    ``values`` gives values and the texts they stand in. With ``hot``, a column ``hot`` holds those of the cells that
+    count more than that. A cell is one row a text, and one row a task once counts are combined; a cell of very many
+    texts is dealt anew by the join's skew handling. Texts without such cells have null.
+    """
+    def sketch(batches):
+        for batch in batches:
+            for part in slices(batch):
+                value, doc = values(flat(part.column("text")))
+                if not len(value):
+                    continue
+                cell = cells(value, 0, width)
+                by = np.lexsort((cell, doc))
+                cell, doc = cell[by], doc[by]
+                new = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(doc) != 0)])
+                ids, fps = (part.column(c).to_numpy(zero_copy_only=False)[doc[new]] for c in ("_id", "_fp"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, fps, cell[new], np.diff(np.append(new, len(cell))))], ["_id", "_fp", "cell", "times"])
+
+    places = docs.select("_id", "_fp", "text").mapInArrow(sketch, "_id long, _fp long, cell long, times long").checkpoint()
+    merged = places.groupBy("cell").agg(F.sum("times").alias("n")).where("n > 1")
+    found = [F.collect_list("cell").alias("cells")]
+    if hot is not None:
+        found.append(F.collect_list(F.when(F.col("n") > hot, F.col("cell"))).alias("hot"))
+    return docs.join(places.join(merged, "cell").groupBy("_id", "_fp").agg(*found), ["_id", "_fp"], "left")
+
+
+def among(value: np.ndarray, width: int, listed: pa.Array) -> np.ndarray:
+    """Which values are in the cells listed for the texts of a slice."""
+    return np.isin(cells(value, 0, width), listed.flatten().to_numpy())
 
 
 def repeated_and_hot(docs: DataFrame, values, width: int, hot: int, share: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """The bitmaps, and sorted the values that stand in more than ``hot`` places (none if ``hot`` is 0).
+    """Bitmaps of the cells that count two or more of ``values(texts)``, a row of the sketch each, and sorted the values that stand in more than ``hot`` places (none if ``hot`` is 0).
 
     Each slice counts the values that make up ``share`` of it, two at least; so a value with twice ``hot`` places is
     never missed if ``share`` is at most ``hot`` of all places.
@@ -86,7 +118,7 @@ def repeated_and_hot(docs: DataFrame, values, width: int, hot: int, share: float
         count = np.zeros((DEPTH, width), np.uint8)
         for batch in batches:
             for part in slices(batch):
-                value = values(flat(part.column("text")))
+                value, _ = values(flat(part.column("text")))
                 if hot and len(value):
                     own, times = np.unique(value, return_counts=True)
                     often = times >= max(2, share * len(value))
@@ -159,18 +191,13 @@ def candidate_windows(docs: DataFrame, n: int, width: int) -> DataFrame:
     ``sure``, come as runs of ``run`` windows, and have keys of their own, so a passage of a third
     of all documents sends one row a slice to its group and not one a document.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, run_values(n), width))
-
     def find(batches):
-        bits = sent.value
         for batch in batches:
             for part in slices(batch):
                 w = words(flat(part.column("text")))
                 h = hashes(w)
                 value, first = window_minimizers(h, w.bounds, n)
-                maybe = np.ones(len(value), bool)
-                for row in range(DEPTH):
-                    maybe &= has(bits[row], cells(value, row, width))
+                maybe = among(value, width, part.column("cells"))
                 if not maybe.any():
                     continue
                 h1, at = windows(h, w.bounds, n, seed=21)
@@ -193,7 +220,8 @@ def candidate_windows(docs: DataFrame, n: int, width: int) -> DataFrame:
                         mix(at[rows].astype(np.uint64) + fps[d].view(np.uint64)).view(np.int64) if known else h1[rows], h2[rows],
                         ids[d], fps[d], pos[rows], run, np.full(len(rows), known))], ["h1", "h2", "_id", "_fp", "pos", "run", "sure"])
 
-    return docs.mapInArrow(find, "h1 long, h2 long, _id long, _fp long, pos int, run int, sure boolean")
+    return (with_repeated_cells(docs, run_values(n), width).where("cells is not null")
+            .mapInArrow(find, "h1 long, h2 long, _id long, _fp long, pos int, run int, sure boolean"))
 
 
 def remove_repeated_windows(docs: DataFrame, n: int = 50) -> DataFrame:
@@ -207,8 +235,7 @@ def remove_repeated_windows(docs: DataFrame, n: int = 50) -> DataFrame:
     spark = ready(docs.sparkSession)
     own = keyed(docs)
     anchors = text_bytes(own) // 6 * 2 // (max(n - GRAM, 1) + 2)
-    width = min(max(1 << int(6 * anchors + 1).bit_length(), LEAST_CELLS), MOST_CELLS)
-    found = candidate_windows(own, n, width)
+    found = candidate_windows(own, n, sketch_width(anchors))
     same = Window.partitionBy("h1", "h2", "sure")
     marks = (found.withColumn("first", F.min("_id").over(same)).where("sure or _id > first")
              .groupBy("_id", "_fp").agg(F.collect_list(F.struct("pos", "run")).alias("marks")))
