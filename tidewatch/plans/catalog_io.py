@@ -67,6 +67,29 @@ def agg6_merged_first_wins(spark, sf_dir):
     return d.select("source_rank", "row_no", "clean_text")
 
 
+# --- SRC1, broken rows -------------------------------------------------------------------
+@register("src1_rejected_rows", r"""
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_no, doc_id % 7 > 1 AS kept,
+  CASE doc_id % 7 WHEN 0 THEN line || ',beyond' WHEN 1 THEN q ELSE t END AS value
+FROM (SELECT doc_id, t, '"' || t || '"' AS q, '"' || t || '",' || source AS line FROM
+  (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '["\\\r\n]+', ' ', 'g') || '.' AS t FROM documents))""")
+def src1_rejected_rows(spark, sf_dir):
+    """Documents as CSV lines, a seventh with a field too many and a seventh with one missing: what is kept, and what is rejected."""
+    from tidewatch.sources.text_sources import merge_with_rejects
+    t = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\\r\n]+', " "), F.lit("."))
+    quoted = F.concat(F.lit('"'), t, F.lit('"'))
+    line = F.concat(quoted, F.lit(","), F.col("source"))
+    kind = F.col("doc_id") % 7
+    lines = load_table(spark, sf_dir, "documents").orderBy("doc_id").select(
+        F.when(kind == 0, F.concat(line, F.lit(",beyond"))).when(kind == 1, quoted).otherwise(line).alias("text,source"))
+    path = _folder(spark, "broken-rows")
+    # one field a line, without quoting: the lines stand in the files as they are
+    lines.write.options(header=True, sep="\u0001", quote="\u0000", escape="\u0000", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    merged, rejects = merge_with_rejects([path], [], spark)
+    return (merged.select("row_no", F.lit(True).alias("kept"), F.col("text").alias("value"))
+            .unionByName(rejects.select("row_no", F.lit(False).alias("kept"), F.col("record").alias("value"))))
+
+
 # --- SRC5, ADV10 from a loaded file, a dictionary of all parts ------------------------------
 def _part_dictionary(spark, sf_dir):
     from tidewatch.operators.techniques import load_technique_dictionary
