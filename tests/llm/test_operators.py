@@ -205,19 +205,19 @@ def test_pitman_yor_seating_follows_the_posterior(c, weight, discount):
 def test_pitman_yor_is_a_distribution():
     """Probabilities of all words and the unknown one add up to 1 for each context, with totals of the same seating."""
     rng = np.random.default_rng(0)
-    value, at, context, n, _ = pitman_yor.pair_table(rng.zipf(1.5, 5000).astype(np.uint64) % np.uint64(300), rng.integers(0, 3, 5000).astype(np.uint8))
+    value, at, context, n, _ = pitman_yor.pair_table(rng.zipf(1.5, 5000).astype(np.uint64) % np.uint64(300), rng.integers(0, 3, 5000).astype(np.uint16))
     customers = np.bincount(context, n, pitman_yor.CLASSES + 1)
     base = {"n": customers, "N": 5000, "V": len(value), "known": 1 / (len(value) + 1), "discount": 0.5, "root_discount": 0.5}
     seats = pitman_yor.Bucket(at, context, n, len(value), pitman_yor.learned(base, np.concatenate([customers / 2, [2500, 300]])), 1)
     seats.sweep()
     assert (seats.tables >= 1).all() and (seats.tables <= n).all()
     seats.totals = pitman_yor.learned(base, seats.sums())
-    sample = [(seats.tables, seats.root(), n)]
+    sample = [(seats.totals, seats.tables, seats.root(seats.totals), n)]
     code = {(a, c): k for k, (a, c) in enumerate(zip(at.tolist(), context.tolist(), strict=True))}
     for c in range(3):
         word = np.append(np.arange(len(value)), -1)
         pair = np.array([code.get((w, c), -1) for w in word.tolist()])
-        assert pitman_yor.probabilities(seats.totals, sample, word, pair, np.full(len(word), c)).sum() == pytest.approx(1)
+        assert pitman_yor.probabilities(sample, word, pair, np.full(len(word), c)).sum() == pytest.approx(1)
 
 
 def test_toxicity_quotes_by_plain_search():

@@ -1,9 +1,10 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Two levels of Chinese restaurants: a root over words, and under it one restaurant for each context
-class, all sharing the root as their parent. The class of a context is a hash of the last letters
-of the word before (one class is the start of a text), so their number is CLASSES at any input
-size, while the dishes, their counts and their tables grow with the corpus.
+Two levels of Chinese restaurants: a root over words, and under it the restaurants of the contexts,
+all sharing the root as their parent. A context is the whole word before, and its restaurant one of
+CLASSES by the word's hash (one more is the start of a text): words that follow like words share none
+but by chance, the restaurants' totals stay a vector of bounded size, and the dishes, their counts
+and their tables grow with the corpus.
 
 Words are dealt to buckets by hash; a bucket holds all counts of its words. Seatings are sampled
 there by Gibbs: a customer drawn at random leaves, and sits down again at a new table or an old
@@ -11,7 +12,9 @@ one in proportion to what the model gives each (table indicators: only customers
 kept, weighed by generalized Stirling numbers). Dishes of more than EXACT customers are seated
 again in growing blocks. Table counts of the root are what the contexts' restaurants send up.
 Restaurant totals, CLASSES numbers, are shared between buckets after each round and held fixed
-within one. Predictive probabilities are averaged over the kept samples.
+within one. In the last round each kept sample gets the totals of its own seating; seeds are fixed, so
+the same seatings come back when scores are asked for, and each sample's probabilities add up to 1 in
+every context. Predictive probabilities are averaged over the kept samples.
 
 Scores travel without the words: a unit of documents asks each bucket for its distinct (word,
 context) pairs in sorted order and gets numbers back in the same order.
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 from .frames import keyed, out_id, parts, ready, text_bytes
 from .words import Flat, distinct, flat, hashes, mix, slices, words
 
-CLASSES = 255
+CLASSES = 65_535
 START = CLASSES
 UNIT_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 EXACT = 96
-ROUNDS, BURN, KEPT, STEPS = 2, 2, 3, 3
+ROUNDS, BURN, KEPT, STEPS = 1, 2, 3, 3
 STRENGTH = 1.0
 END = np.uint64(0x656E64206F662074)
 
@@ -40,14 +43,13 @@ def tokens(texts: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(token hash, context class, first token of each text)``; every text ends with the end token."""
     w = words(texts, lower=True)
     h = hashes(w)
-    last = w.data[w.end - 1].astype(np.uint64) + (w.data[np.maximum(w.end - 2, w.start)].astype(np.uint64) << np.uint64(8))
-    classes = (mix(last + np.uint64(99)) % np.uint64(CLASSES)).astype(np.uint8)
+    classes = (mix(h + np.uint64(99)) % np.uint64(CLASSES)).astype(np.uint16)
     n = w.counts()
     first = np.append(0, np.cumsum(n + 1))
     at = np.arange(len(h)) + w.doc()
     token = np.full(first[-1], END, np.uint64)
     token[at] = h
-    context = np.full(first[-1], START, np.uint8)
+    context = np.full(first[-1], START, np.uint16)
     context[at + 1] = classes
     return token, context, first
 
@@ -58,7 +60,7 @@ def pair_table(token: np.ndarray, context: np.ndarray, n: np.ndarray | None = No
     code = back * (CLASSES + 1) + context
     pair, _, where = distinct(code)
     count = np.bincount(where, None if n is None else n, len(pair)).astype(np.int64)
-    return value, pair // (CLASSES + 1), (pair % (CLASSES + 1)).astype(np.uint8), count, where
+    return value, pair // (CLASSES + 1), (pair % (CLASSES + 1)).astype(np.uint16), count, where
 
 
 def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
@@ -120,13 +122,12 @@ class Bucket:
     def customers(self) -> np.ndarray:
         return np.bincount(self.at, self.tables, self.n_words).astype(np.int64)
 
-    def root(self) -> np.ndarray:
-        t = self.totals
+    def root(self, t: dict) -> np.ndarray:
         return (self.customers() - t["root_discount"] * self.root_tables + t["root_new"] * t["known"]) / t["root_n"]
 
     def sweep(self) -> None:
         t = self.totals
-        weight = t["new"][self.context] * self.root()[self.at]
+        weight = t["new"][self.context] * self.root(t)[self.at]
         self.tables = gibbs(self.rng, self.n, self.tables, weight, t["discount"], self.stirling[0])
         sent = self.customers()
         self.root_tables = gibbs(self.rng, sent, np.minimum(self.root_tables, sent), np.full(self.n_words, t["root_new"] * t["known"]),
@@ -136,11 +137,21 @@ class Bucket:
         """Tables of each context's restaurant, then customers and tables of the root."""
         return np.append(np.bincount(self.context, self.tables, CLASSES + 1), [self.customers().sum(), self.root_tables.sum()])
 
+    def kept(self):
+        """The place of each kept sample, while the bucket's seating is that sample."""
+        for k in range(BURN + KEPT):
+            self.sweep()
+            if k >= BURN:
+                yield k - BURN
+
+
+def probabilities(samples: list, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Averaged predictive probability of requests; ``word`` and ``pair`` are indexes, -1 where unknown.
 
-def probabilities(t: dict, samples: list, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Averaged predictive probability of requests; ``word`` and ``pair`` are indexes, -1 where unknown."""
+    A sample: its totals, the tables of the pairs, the root's probabilities of the words, and the counts of the pairs.
+    """
     total = np.zeros(len(word))
-    for tables, root, n in samples:
+    for t, tables, root, n in samples:
         base = np.where(word >= 0, root[word] if len(root) else 0, t["root_new"] * t["known"] / t["root_n"])
         seated = np.where(pair >= 0, np.maximum(n[pair] - t["discount"] * tables[pair], 0) if len(n) else 0, 0)
         total += (seated + t["new"][context] * base) / (t["n"][context] + STRENGTH)
@@ -158,7 +169,12 @@ def training(identity: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(identity.cast("string").cast("binary")), F.lit(7)) != 2, F.lit(True))
 
 
-MODEL = "bucket long, words binary, at binary, context binary, n binary"
+MODEL = "bucket long, words binary, pairs binary, context binary, n binary"
+
+
+def pairs_of(at: np.ndarray, n_words: int) -> np.ndarray:
+    """How many pairs each word has: pairs come in the order of their words, so that tells the word of each."""
+    return np.bincount(at, minlength=n_words).astype(np.uint32)
 
 
 def counts(own: DataFrame, buckets: int) -> DataFrame:
@@ -166,7 +182,7 @@ def counts(own: DataFrame, buckets: int) -> DataFrame:
 
     def rows(bucket: int, value, at, context, n):
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in (
-            value, at.astype(np.uint32), context, n.astype(np.uint32))], ["bucket", "words", "at", "context", "n"])
+            value, pairs_of(at, len(value)), context, n.astype(np.uint32))], ["bucket", "words", "pairs", "context", "n"])
 
     def count(batches):
         for batch in batches:
@@ -180,8 +196,8 @@ def counts(own: DataFrame, buckets: int) -> DataFrame:
                     yield rows(b, value[own], (np.cumsum(own) - 1)[at[keep]], context[keep], n[keep])
 
     def merge(table: pa.Table) -> pa.Table:
-        got = [[np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in (("words", np.uint64), ("at", np.uint32), ("context", np.uint8), ("n", np.uint32))]
-        token = np.concatenate([w[a] for w, a in zip(got[0], got[1], strict=True)])
+        got = [[np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in (("words", np.uint64), ("pairs", np.uint32), ("context", np.uint16), ("n", np.uint32))]
+        token = np.concatenate([np.repeat(w, k) for w, k in zip(got[0], got[1], strict=True)])
         value, at, context, n, _ = pair_table(token, np.concatenate(got[2]), np.concatenate(got[3]))
         return pa.Table.from_batches([rows(table.column("bucket")[0].as_py(), value, at, context, n)])
 
@@ -189,8 +205,22 @@ def counts(own: DataFrame, buckets: int) -> DataFrame:
 
 
 def _model(table: pa.Table) -> tuple:
-    return tuple(np.frombuffer(table.column(c)[0].as_buffer(), t) if table.num_rows else np.zeros(0, t)
-                 for c, t in (("words", np.uint64), ("at", np.uint32), ("context", np.uint8), ("n", np.uint32)))
+    value, pairs, context, n = (np.frombuffer(table.column(c)[0].as_buffer(), t) if table.num_rows else np.zeros(0, t)
+                                for c, t in (("words", np.uint64), ("pairs", np.uint32), ("context", np.uint16), ("n", np.uint32)))
+    return value, np.repeat(np.arange(len(value)), pairs), context, n
+
+
+def added(numbers: DataFrame, n: int) -> np.ndarray:
+    """The sums of ``x`` by place ``k`` as a vector of ``n`` numbers, which is fixed by CLASSES."""
+    got = numbers.groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(n)
+    out[got.column("k").to_numpy()] = got.column("x").to_numpy()
+    return out
+
+
+def _numbers(out: np.ndarray) -> pa.RecordBatch:
+    k = np.flatnonzero(out)
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(out[k].astype(float))], ["k", "x"])
 
 
 def first_totals(model: DataFrame) -> dict:
@@ -202,11 +232,10 @@ def first_totals(model: DataFrame) -> dict:
                 value, at, context, n = _model(pa.Table.from_batches([batch.slice(k, 1)]))
                 word = np.bincount(at, n, len(value))
                 out = np.concatenate([np.bincount(context, n, CLASSES + 1), [len(value), (n == 1).sum(), (n == 2).sum(), (word == 1).sum(), (word == 2).sum()]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["k", "x"])
+                yield _numbers(out)
 
-    got = dict(model.mapInArrow(tally, "k long, x double").groupBy("k").agg(F.sum("x")).collect())  # CLASSES + 6 numbers
-    n = np.array([got.get(k, 0.0) for k in range(CLASSES + 1)])
-    v, one, two, word_one, word_two = (got.get(CLASSES + 1 + k, 0.0) for k in range(5))
+    got = added(model.mapInArrow(tally, "k long, x double"), CLASSES + 6)
+    n, (v, one, two, word_one, word_two) = got[:CLASSES + 1], got[CLASSES + 1:].tolist()
     totals = {"n": n, "N": int(n.sum()), "V": int(v), "known": 1 / (v + 1),
               "discount": float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95)),
               "root_discount": float(np.clip(word_one / max(word_one + 2 * word_two, 1), 0.05, 0.95))}
@@ -224,10 +253,23 @@ def next_totals(model: DataFrame, totals: dict) -> dict:
                 for _ in range(BURN):
                     seats.sweep()
                 out = seats.sums()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["k", "x"])
+                yield _numbers(out)
+
+    return learned(totals, added(model.mapInArrow(sweep, "k long, x double"), CLASSES + 3))
+
+
+def kept_totals(model: DataFrame, totals: dict) -> list[dict]:
+    """Totals of each kept sample, of the seatings that every bucket has in it under ``totals``."""
+
+    def sweep(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                value, at, context, n = _model(pa.Table.from_batches([batch.slice(k, 1)]))
+                seats = Bucket(at, context, n.astype(np.int64), len(value), totals, batch.column("bucket")[k].as_py())
+                yield _numbers(np.concatenate([seats.sums() for _ in seats.kept()]))
 
-    got = dict(model.mapInArrow(sweep, "k long, x double").groupBy("k").agg(F.sum("x")).collect())  # CLASSES + 3 numbers
-    return learned(totals, np.array([got.get(k, 0.0) for k in range(CLASSES + 3)]))
+    got = added(model.mapInArrow(sweep, "k long, x double"), KEPT * (CLASSES + 3))
+    return [learned(totals, x) for x in got.reshape(KEPT, -1)]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -246,6 +288,7 @@ def score(docs: DataFrame) -> DataFrame:
     totals = first_totals(model)
     for _ in range(ROUNDS):
         totals = next_totals(model, totals)
+    kept = kept_totals(model, totals)
 
     def ask(batches_of_unit: pa.Table) -> pa.Table:
         token, context, _ = tokens(flat(batches_of_unit.column("text")))
@@ -254,12 +297,11 @@ def score(docs: DataFrame) -> DataFrame:
         out = []
         for b in np.unique(bucket).tolist():
             mine = bucket == b
-            keep = mine[at]
-            out.append((b, value[mine].tobytes(), (np.cumsum(mine) - 1)[at[keep]].astype(np.uint32).tobytes(), context[keep].tobytes()))
+            out.append((b, value[mine].tobytes(), pairs_of(at, len(value))[mine].tobytes(), context[mine[at]].tobytes()))
         unit = batches_of_unit.column("unit")[0].as_py()
         columns = list(zip(*out, strict=True))
         return pa.table({"bucket": pa.array(columns[0], pa.int64()), "unit": pa.array([unit] * len(out), pa.int64()), "words": pa.array(columns[1], pa.binary()),
-                         "at": pa.array(columns[2], pa.binary()), "context": pa.array(columns[3], pa.binary())})
+                         "pairs": pa.array(columns[2], pa.binary()), "context": pa.array(columns[3], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         empty = pa.table({"unit": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "c": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
@@ -269,21 +311,18 @@ def score(docs: DataFrame) -> DataFrame:
         n, code = n.astype(np.int64), at.astype(np.int64) * (CLASSES + 1) + context
         word_count = np.bincount(at, n, len(value)).astype(np.int64)
         seats = Bucket(at, context, n, len(value), totals, asked.column("bucket")[0].as_py())
-        samples = []
-        for k in range(BURN + KEPT):
-            seats.sweep()
-            if k >= BURN:
-                samples.append((seats.tables, seats.root(), n))
+        samples = [(kept[k], seats.tables, seats.root(kept[k]), n) for k in seats.kept()]
         out = []
         for k in range(asked.num_rows):
-            word, where, ctx = (np.frombuffer(asked.column(c)[k].as_buffer(), t) for c, t in (("words", np.uint64), ("at", np.uint32), ("context", np.uint8)))
+            word, pairs, ctx = (np.frombuffer(asked.column(c)[k].as_buffer(), t) for c, t in (("words", np.uint64), ("pairs", np.uint32), ("context", np.uint16)))
+            where = np.repeat(np.arange(len(word)), pairs)
             place = np.minimum(np.searchsorted(value, word), max(len(value) - 1, 0))
             place = np.where(value[place] == word, place, -1) if len(value) else np.full(len(word), -1)
             own_code = place[where] * (CLASSES + 1) + ctx
             pair = np.minimum(np.searchsorted(code, own_code), max(len(code) - 1, 0))
             pair = np.where((place[where] >= 0) & (code[pair] == own_code), pair, -1) if len(code) else np.full(len(where), -1)
             c = np.where(place >= 0, word_count[place] if len(value) else 0, 0)
-            p = probabilities(totals, samples, place[where], pair, ctx.astype(np.int64))
+            p = probabilities(samples, place[where], pair, ctx.astype(np.int64))
             out.append((c.astype(np.uint32).tobytes(), np.log10(p).astype(np.float32).tobytes()))
         return pa.table({"unit": asked.column("unit"), "bucket": asked.column("bucket"), "c": pa.array([x for x, _ in out], pa.binary()), "p": pa.array([x for _, x in out], pa.binary())})
 
@@ -308,7 +347,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     # The same exchange of the texts serves the questions and, with the answers, the scores.
     placed = own.withColumn("unit", F.pmod(F.xxhash64("_id", "_fp"), F.lit(units))).repartition(parts(spark), "unit")
-    asked = placed.groupBy("unit").applyInArrow(ask, "bucket long, unit long, words binary, at binary, context binary")
+    asked = placed.groupBy("unit").applyInArrow(ask, "bucket long, unit long, words binary, pairs binary, context binary")
     answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, "unit long, bucket long, c binary, p binary")
     got = placed.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
         rate, "_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
