@@ -206,18 +206,22 @@ def test_pitman_yor_is_a_distribution():
     """Probabilities of all words and the unknown one add up to 1 for each context, with totals of the same seating."""
     rng = np.random.default_rng(0)
     value, at, context, n, _ = pitman_yor.pair_table(rng.zipf(1.5, 5000).astype(np.uint64) % np.uint64(300), rng.integers(0, 3, 5000).astype(np.uint16))
-    customers = np.bincount(context, n, pitman_yor.CLASSES + 1)
-    base = {"n": customers, "N": 5000, "V": len(value), "known": 1 / (len(value) + 1), "discount": 0.5, "root_discount": 0.5}
-    seats = pitman_yor.Bucket(at, context, n, len(value), pitman_yor.learned(base, np.concatenate([customers / 2, [2500, 300]])), 1)
+    context = context * 200  # restaurants of two classes
+    customers = np.bincount(context, n, pitman_yor.CONTEXTS)
+    base = {"n": customers, "N": 5000, "V": len(value), "known": 1 / (len(value) + 1), "discount": 0.5, "class_discount": 0.4, "root_discount": 0.5}
+    above = [customers.reshape(pitman_yor.PARENTS, -1).sum(axis=1) / k for k in (2, 4)]
+    seats = pitman_yor.Bucket(at, context, n, len(value), pitman_yor.learned(base, np.concatenate([customers / 2, *above, [1250, 300]])), 1)
     seats.sweep()
     assert (seats.tables >= 1).all() and (seats.tables <= n).all()
-    seats.totals = pitman_yor.learned(base, seats.sums())
-    sample = [(seats.totals, seats.tables, seats.root(seats.totals), n)]
+    seats.totals = t = pitman_yor.learned(base, seats.sums())
+    sample = [(t, seats.tables, seats.root(t), seats.middle(t), n)]
     code = {(a, c): k for k, (a, c) in enumerate(zip(at.tolist(), context.tolist(), strict=True))}
-    for c in range(3):
+    dishes = {c: k for k, c in enumerate(seats.dish_code.tolist())}
+    for c in (0, 200, 400, 7, 300, 60000):  # the last three have no customers, and the last one's class has none either
         word = np.append(np.arange(len(value)), -1)
         pair = np.array([code.get((w, c), -1) for w in word.tolist()])
-        assert pitman_yor.probabilities(sample, word, pair, np.full(len(word), c)).sum() == pytest.approx(1)
+        dish = np.array([dishes.get(w * pitman_yor.PARENTS + c // pitman_yor.SLOTS, -1) if w >= 0 else -1 for w in word.tolist()])
+        assert pitman_yor.probabilities(sample, word, dish, pair, np.full(len(word), c)).sum() == pytest.approx(1)
 
 
 def test_toxicity_quotes_by_plain_search():

@@ -1,17 +1,17 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Two levels of Chinese restaurants: a root over words, and under it the restaurants of the contexts,
-all sharing the root as their parent. A context is the whole word before, and its restaurant one of
-CLASSES by the word's hash (one more is the start of a text): words that follow like words share none
-but by chance, the restaurants' totals stay a vector of bounded size, and the dishes, their counts
-and their tables grow with the corpus.
+Three levels of Chinese restaurants: a root over words; under it a restaurant for each of CLASSES
+hashes of a word's last two letters (one more is the start of a text); under each class SLOTS
+restaurants, one by the hash of the whole word before, that share the class as their parent. So a word
+never seen before still has a context, the restaurants' totals stay a vector of bounded size, and the
+dishes, their counts and their tables grow with the corpus.
 
 Words are dealt to buckets by hash; a bucket holds all counts of its words. Seatings are sampled
 there by Gibbs: a customer drawn at random leaves, and sits down again at a new table or an old
 one in proportion to what the model gives each (table indicators: only customers and tables are
 kept, weighed by generalized Stirling numbers). Dishes of more than EXACT customers are seated
-again in growing blocks. Table counts of the root are what the contexts' restaurants send up.
-Restaurant totals, CLASSES numbers, are shared between buckets after each round and held fixed
+again in growing blocks. Tables of a restaurant are customers of its parent.
+Restaurant totals, CONTEXTS numbers and some more, are shared between buckets after each round and held fixed
 within one. In the last round each kept sample gets the totals of its own seating; seeds are fixed, so
 the same seatings come back when scores are asked for, and each sample's probabilities add up to 1 in
 every context. Predictive probabilities are averaged over the kept samples.
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .frames import keyed, out_id, parts, ready, text_bytes
 from .words import Flat, distinct, flat, hashes, mix, slices, words
 
-CLASSES = 65_535
-START = CLASSES
+CLASSES, SLOTS = 255, 256
+PARENTS, CONTEXTS = CLASSES + 1, (CLASSES + 1) * SLOTS
+START = CLASSES * SLOTS
 UNIT_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 EXACT = 96
 ROUNDS, BURN, KEPT, STEPS = 1, 2, 3, 3
@@ -40,27 +41,28 @@ END = np.uint64(0x656E64206F662074)
 
 
 def tokens(texts: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(token hash, context class, first token of each text)``; every text ends with the end token."""
+    """``(token hash, context, first token of each text)``; every text ends with the end token."""
     w = words(texts, lower=True)
     h = hashes(w)
-    classes = (mix(h + np.uint64(99)) % np.uint64(CLASSES)).astype(np.uint16)
+    last = w.data[w.end - 1].astype(np.uint64) + (w.data[np.maximum(w.end - 2, w.start)].astype(np.uint64) << np.uint64(8))
+    own = mix(last + np.uint64(99)) % np.uint64(CLASSES) * np.uint64(SLOTS) + mix(h + np.uint64(98)) % np.uint64(SLOTS)
     n = w.counts()
     first = np.append(0, np.cumsum(n + 1))
     at = np.arange(len(h)) + w.doc()
     token = np.full(first[-1], END, np.uint64)
     token[at] = h
     context = np.full(first[-1], START, np.uint16)
-    context[at + 1] = classes
+    context[at + 1] = own.astype(np.uint16)
     return token, context, first
 
 
 def pair_table(token: np.ndarray, context: np.ndarray, n: np.ndarray | None = None):
     """Distinct words, and the distinct (word, context) pairs: word index, context, count, and each token's pair."""
     value, _, back = distinct(token)
-    code = back * (CLASSES + 1) + context
+    code = back * CONTEXTS + context
     pair, _, where = distinct(code)
     count = np.bincount(where, None if n is None else n, len(pair)).astype(np.int64)
-    return value, pair // (CLASSES + 1), (pair % (CLASSES + 1)).astype(np.uint16), count, where
+    return value, pair // CONTEXTS, (pair % CONTEXTS).astype(np.uint16), count, where
 
 
 def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
@@ -116,26 +118,46 @@ class Bucket:
         self.at, self.context, self.n, self.n_words, self.totals = at, context.astype(np.int64), n, n_words, totals
         self.rng = np.random.default_rng([seed, 17])
         self.tables = np.minimum(n, 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64))
-        self.stirling = stirling(totals["discount"]), stirling(totals["root_discount"])
+        self.stirling = [stirling(totals[x]) for x in ("discount", "class_discount", "root_discount")]
+        # Pairs come by word and context, so those of one word and class stand together: a dish of the class.
+        code = at * PARENTS + self.context // SLOTS
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        self.dish = np.cumsum(new) - 1
+        self.dish_code = code[new]
+        self.dish_at, self.parent = self.dish_code // PARENTS, self.dish_code % PARENTS
+        self.class_tables = np.ones(len(self.dish_code), np.int64)
         self.root_tables = np.ones(n_words, np.int64)
 
-    def customers(self) -> np.ndarray:
-        return np.bincount(self.at, self.tables, self.n_words).astype(np.int64)
+    def class_customers(self) -> np.ndarray:
+        return np.bincount(self.dish, self.tables, len(self.dish_code)).astype(np.int64)
+
+    def root_customers(self) -> np.ndarray:
+        return np.bincount(self.dish_at, self.class_tables, self.n_words).astype(np.int64)
 
     def root(self, t: dict) -> np.ndarray:
-        return (self.customers() - t["root_discount"] * self.root_tables + t["root_new"] * t["known"]) / t["root_n"]
+        """The root's probability of each word."""
+        return (self.root_customers() - t["root_discount"] * self.root_tables + t["root_new"] * t["known"]) / t["root_n"]
+
+    def middle(self, t: dict) -> np.ndarray:
+        """The classes' probability of each of their dishes."""
+        seated = self.class_customers() - t["class_discount"] * self.class_tables
+        return (seated + t["class_new"][self.parent] * self.root(t)[self.dish_at]) / t["class_n"][self.parent]
 
     def sweep(self) -> None:
         t = self.totals
-        weight = t["new"][self.context] * self.root(t)[self.at]
-        self.tables = gibbs(self.rng, self.n, self.tables, weight, t["discount"], self.stirling[0])
-        sent = self.customers()
+        self.tables = gibbs(self.rng, self.n, self.tables, t["new"][self.context] * self.middle(t)[self.dish], t["discount"], self.stirling[0])
+        sent = self.class_customers()
+        self.class_tables = gibbs(self.rng, sent, np.minimum(self.class_tables, sent), t["class_new"][self.parent] * self.root(t)[self.dish_at],
+                                  t["class_discount"], self.stirling[1])
+        sent = self.root_customers()
         self.root_tables = gibbs(self.rng, sent, np.minimum(self.root_tables, sent), np.full(self.n_words, t["root_new"] * t["known"]),
-                                 t["root_discount"], self.stirling[1])
+                                 t["root_discount"], self.stirling[2])
 
     def sums(self) -> np.ndarray:
-        """Tables of each context's restaurant, then customers and tables of the root."""
-        return np.append(np.bincount(self.context, self.tables, CLASSES + 1), [self.customers().sum(), self.root_tables.sum()])
+        """Tables of each context's restaurant, customers and tables of each class, customers and tables of the root."""
+        return np.concatenate([np.bincount(self.context, self.tables, CONTEXTS), np.bincount(self.parent, self.class_customers(), PARENTS),
+                               np.bincount(self.parent, self.class_tables, PARENTS), [self.class_tables.sum(), self.root_tables.sum()]])
 
     def kept(self):
         """The place of each kept sample, while the bucket's seating is that sample."""
@@ -145,23 +167,39 @@ class Bucket:
                 yield k - BURN
 
 
-def probabilities(samples: list, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Averaged predictive probability of requests; ``word`` and ``pair`` are indexes, -1 where unknown.
+def probabilities(samples: list, word: np.ndarray, dish: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Averaged predictive probability of requests; ``word``, ``dish`` and ``pair`` are indexes, -1 where unknown.
 
-    A sample: its totals, the tables of the pairs, the root's probabilities of the words, and the counts of the pairs.
+    A sample: its totals, the tables of the pairs, the probabilities of words at the root and of dishes in their
+    classes, and the counts of the pairs.
     """
-    total = np.zeros(len(word))
-    for t, tables, root, n in samples:
+    total, parent = np.zeros(len(word)), context // SLOTS
+    for t, tables, root, middle, n in samples:
         base = np.where(word >= 0, root[word] if len(root) else 0, t["root_new"] * t["known"] / t["root_n"])
+        above = np.where(dish >= 0, middle[dish] if len(middle) else 0, t["class_new"][parent] * base / t["class_n"][parent])
         seated = np.where(pair >= 0, np.maximum(n[pair] - t["discount"] * tables[pair], 0) if len(n) else 0, 0)
-        total += (seated + t["new"][context] * base) / (t["n"][context] + STRENGTH)
+        total += (seated + t["new"][context] * above) / (t["n"][context] + STRENGTH)
     return total / len(samples)
 
 
+def found(codes: np.ndarray, word: np.ndarray, width: int, own: np.ndarray) -> np.ndarray:
+    """Where ``word * width + own`` stands among sorted codes, -1 where it does not or the word is unknown."""
+    if not len(codes):
+        return np.full(len(word), -1)
+    wanted = word * width + own
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return np.where((word >= 0) & (codes[at] == wanted), at, -1)
+
+
+SUMS = CONTEXTS + 2 * PARENTS + 2
+
+
 def learned(totals: dict, sums: np.ndarray) -> dict:
-    """The restaurants' totals that follow from their table counts."""
-    return totals | {"new": STRENGTH + totals["discount"] * sums[:CLASSES + 1], "root_n": STRENGTH + sums[-2],
-                     "root_new": STRENGTH + totals["root_discount"] * sums[-1]}
+    """The restaurants' totals that follow from their table counts (``Bucket.sums``)."""
+    tables, class_n, class_tables, (root_n, root_tables) = np.split(sums, [CONTEXTS, CONTEXTS + PARENTS, CONTEXTS + 2 * PARENTS])
+    return totals | {"new": STRENGTH + totals["discount"] * tables, "class_n": STRENGTH + class_n,
+                     "class_new": STRENGTH + totals["class_discount"] * class_tables, "root_n": STRENGTH + root_n,
+                     "root_new": STRENGTH + totals["root_discount"] * root_tables}
 
 
 def training(identity: Column) -> Column:
@@ -211,7 +249,7 @@ def _model(table: pa.Table) -> tuple:
 
 
 def added(numbers: DataFrame, n: int) -> np.ndarray:
-    """The sums of ``x`` by place ``k`` as a vector of ``n`` numbers, which is fixed by CLASSES."""
+    """The sums of ``x`` by place ``k`` as a vector of ``n`` numbers, a number fixed by CONTEXTS."""
     got = numbers.groupBy("k").agg(F.sum("x").alias("x")).toArrow()
     out = np.zeros(n)
     out[got.column("k").to_numpy()] = got.column("x").to_numpy()
@@ -231,15 +269,18 @@ def first_totals(model: DataFrame) -> dict:
             for k in range(batch.num_rows):
                 value, at, context, n = _model(pa.Table.from_batches([batch.slice(k, 1)]))
                 word = np.bincount(at, n, len(value))
-                out = np.concatenate([np.bincount(context, n, CLASSES + 1), [len(value), (n == 1).sum(), (n == 2).sum(), (word == 1).sum(), (word == 2).sum()]])
+                code = at * PARENTS + context // SLOTS
+                dish = np.diff(np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])) if len(code) else code
+                out = np.concatenate([np.bincount(context, n, CONTEXTS), [len(value)], *([(x == 1).sum(), (x == 2).sum()] for x in (n, dish, word))])
                 yield _numbers(out)
 
-    got = added(model.mapInArrow(tally, "k long, x double"), CLASSES + 6)
-    n, (v, one, two, word_one, word_two) = got[:CLASSES + 1], got[CLASSES + 1:].tolist()
+    got = added(model.mapInArrow(tally, "k long, x double"), CONTEXTS + 7)
+    n, v = got[:CONTEXTS], got[CONTEXTS]
+    discounts = [float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95)) for one, two in got[CONTEXTS + 1:].reshape(3, 2)]
     totals = {"n": n, "N": int(n.sum()), "V": int(v), "known": 1 / (v + 1),
-              "discount": float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95)),
-              "root_discount": float(np.clip(word_one / max(word_one + 2 * word_two, 1), 0.05, 0.95))}
-    return learned(totals, np.concatenate([n * 0.5, [n.sum() * 0.5, v]]))
+              **dict(zip(("discount", "class_discount", "root_discount"), discounts, strict=True))}
+    in_class = n.reshape(PARENTS, SLOTS).sum(axis=1)
+    return learned(totals, np.concatenate([n * 0.5, in_class * 0.5, in_class * 0.25, [n.sum() * 0.25, v]]))
 
 
 def next_totals(model: DataFrame, totals: dict) -> dict:
@@ -255,7 +296,7 @@ def next_totals(model: DataFrame, totals: dict) -> dict:
                 out = seats.sums()
                 yield _numbers(out)
 
-    return learned(totals, added(model.mapInArrow(sweep, "k long, x double"), CLASSES + 3))
+    return learned(totals, added(model.mapInArrow(sweep, "k long, x double"), SUMS))
 
 
 def kept_totals(model: DataFrame, totals: dict) -> list[dict]:
@@ -268,7 +309,7 @@ def kept_totals(model: DataFrame, totals: dict) -> list[dict]:
                 seats = Bucket(at, context, n.astype(np.int64), len(value), totals, batch.column("bucket")[k].as_py())
                 yield _numbers(np.concatenate([seats.sums() for _ in seats.kept()]))
 
-    got = added(model.mapInArrow(sweep, "k long, x double"), KEPT * (CLASSES + 3))
+    got = added(model.mapInArrow(sweep, "k long, x double"), KEPT * SUMS)
     return [learned(totals, x) for x in got.reshape(KEPT, -1)]
 
 
@@ -308,21 +349,21 @@ def score(docs: DataFrame) -> DataFrame:
         if not asked.num_rows:
             return empty
         value, at, context, n = _model(known)
-        n, code = n.astype(np.int64), at.astype(np.int64) * (CLASSES + 1) + context
+        n, code = n.astype(np.int64), at * CONTEXTS + context
         word_count = np.bincount(at, n, len(value)).astype(np.int64)
         seats = Bucket(at, context, n, len(value), totals, asked.column("bucket")[0].as_py())
-        samples = [(kept[k], seats.tables, seats.root(kept[k]), n) for k in seats.kept()]
+        samples = [(kept[k], seats.tables, seats.root(kept[k]), seats.middle(kept[k]), n) for k in seats.kept()]
         out = []
         for k in range(asked.num_rows):
             word, pairs, ctx = (np.frombuffer(asked.column(c)[k].as_buffer(), t) for c, t in (("words", np.uint64), ("pairs", np.uint32), ("context", np.uint16)))
             where = np.repeat(np.arange(len(word)), pairs)
             place = np.minimum(np.searchsorted(value, word), max(len(value) - 1, 0))
             place = np.where(value[place] == word, place, -1) if len(value) else np.full(len(word), -1)
-            own_code = place[where] * (CLASSES + 1) + ctx
-            pair = np.minimum(np.searchsorted(code, own_code), max(len(code) - 1, 0))
-            pair = np.where((place[where] >= 0) & (code[pair] == own_code), pair, -1) if len(code) else np.full(len(where), -1)
+            ctx = ctx.astype(np.int64)
+            dish = found(seats.dish_code, place[where], PARENTS, ctx // SLOTS)
+            pair = found(code, place[where], CONTEXTS, ctx)
             c = np.where(place >= 0, word_count[place] if len(value) else 0, 0)
-            p = probabilities(samples, place[where], pair, ctx.astype(np.int64))
+            p = probabilities(samples, place[where], dish, pair, ctx)
             out.append((c.astype(np.uint32).tobytes(), np.log10(p).astype(np.float32).tobytes()))
         return pa.table({"unit": asked.column("unit"), "bucket": asked.column("bucket"), "c": pa.array([x for x, _ in out], pa.binary()), "p": pa.array([x for _, x in out], pa.binary())})
 
