@@ -419,3 +419,39 @@ def test_local_search_ends_without_a_raising_step():
         assert not any((other & (s <= taken) & (taken < s + room[a]) & (length < s)).any() for s in sums)
         free = np.delete(room, a)
         assert not any(((s <= free) & (free < s + room[a])).any() for s in own)
+
+
+def fewest_bins(lengths: list[int], capacity: int) -> int:
+    """The fewest bins that hold all pieces, by trying every placing; equal rooms are tried once."""
+    best = len(lengths)
+
+    def place(k: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= lengths[k]}):
+            at = rooms.index(room)
+            place(k + 1, rooms[:at] + [room - lengths[k]] + rooms[at + 1:])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_packing_of_few_pieces_against_all_placings():
+    """Up to ten pieces: never fewer bins than possible, never more than one above, and the fewest in nearly all cases."""
+    rng = np.random.default_rng(3)
+    fewest = 0
+    for k in range(200):
+        low, high = [(1, 2049), (300, 1100), (600, 800), (40, 1500)][k % 4]
+        lengths = rng.integers(low, high, rng.integers(1, 11))
+        bins = packing.pack(lengths)
+        assert len(bins) == len(lengths) and np.bincount(bins, lengths).max() <= packing.CAPACITY
+        used, least = len(set(bins.tolist())), fewest_bins(lengths.tolist(), packing.CAPACITY)
+        assert least <= used <= least + 1
+        fewest += used == least
+    assert fewest >= 190
