@@ -74,3 +74,11 @@ def test_naive_bayes_without_broadcast(spark, monkeypatch):
 def test_vocabularies(spark):
     docs = spark.createDataFrame([(["b", "a", "c", "a"], ["x y"]), (["c", "b"], [])], "u ARRAY<STRING>, v ARRAY<STRING>")
     assert M.vocabularies(docs, ["u", "v"], 2) == [["a", "b"], ["x y"]]
+
+
+def test_fit_with_counted_vocabulary(spark):
+    """Where no tie is cut, the model is that of the estimators."""
+    df = spark.createDataFrame([(i, f"alpha w{i % 3} beta w{i % 4} {'red' if i % 2 else 'blue'} gamma", float(i % 2), 1.0) for i in range(24)],
+                               "doc_id INT, clean_text STRING, label DOUBLE, weight DOUBLE")
+    probs = [{r["doc_id"]: r["prob"] for r in M.score_documents(df, M.text_pipeline(max_iter=20, train=t).fit(df)).collect()} for t in (None, df)]
+    assert all(abs(probs[0][k] - probs[1][k]) < 1e-6 for k in probs[0])
