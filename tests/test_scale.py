@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions import patterns as P
+from tidewatch.functions import text as T
 from tidewatch.operators import models as M
 from tidewatch.operators import prepare as Pp
 from tidewatch.operators import sampling as S
@@ -82,3 +84,40 @@ def test_fit_with_counted_vocabulary(spark):
                                "doc_id INT, clean_text STRING, label DOUBLE, weight DOUBLE")
     probs = [{r["doc_id"]: r["prob"] for r in M.score_documents(df, M.text_pipeline(max_iter=20, train=t).fit(df)).collect()} for t in (None, df)]
     assert all(abs(probs[0][k] - probs[1][k]) < 1e-6 for k in probs[0])
+
+
+def test_java_forms_of_the_patterns(spark):
+    import random
+    rng = random.Random(5)
+    parts = ["http", "www", "h", "w", "ww", " ", "  ", "\t", "\u00a0", "\u2003", "\U0001F600", "é", "#", "@", ".", "-", "_", "'", "/", ",", "[", "com", "co", "io",
+             "a.b", "10.0.2.6", "1", "CVE-2024-1234", "cve-", "Evil.com", "ips", "IDS", "red team", "\u212a", "\n", "é10.1.1.1", "f" * 33]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)] + [None, ""]
+    d = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    c = F.coalesce("text", F.lit(""))
+    assert d.filter(F.regexp_replace(c, P.URL_PATTERN, " ") != F.regexp_replace(c, P.URL_PATTERN_JAVA, " ")).count() == 0
+    assert d.filter(F.regexp_replace(c, P.SCRUB_PATTERN_RANGES, " ") != F.regexp_replace(c, P.SCRUB_RUNS_JAVA, " ")).count() == 0
+    for kind, found in T.extract_iocs("text").items():
+        assert d.filter(found != F.regexp_extract_all(c, F.lit(P.IOC_PATTERNS[kind]), F.lit(0))).count() == 0
+    words = P.keyword_alternation(P.CYBER_KEYWORDS)
+    assert "(?=" in words
+    plain = words.replace(words[words.index("(?="):words.index(")", 4) + 1], "", 1)
+    assert d.filter(T.keyword_hits("text") != F.transform(F.regexp_extract_all(c, F.lit(plain), F.lit(0)), F.lower)).count() == 0
+
+
+def test_fit_makes_its_vectors_once(spark):
+    """Estimators read stored vectors: their steps do not hold the vocabularies, and the stored model is whole."""
+    rows = [(i, f"alpha w{i % 3} beta w{i % 4} {'red' if i % 2 else 'blue'} gamma", i % 2, float(i % 5), "test" if i % 6 == 0 else "train") for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id INT, clean_text STRING, label INT, n DOUBLE, split STRING")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    model, metrics = M.fit_text_classifier(df.mapInArrow(seen, df.schema), extra_numeric=["n"], scale=True)
+    assert calls.value == 48 and metrics.first()["accuracy"] == 1.0
+    whole = M.text_pipeline(extra_numeric=["n"], scale=True, train=df).fit(df.filter("split = 'train'").withColumn("weight", F.lit(1.0)).withColumn("label", F.col("label").cast("double")))
+    assert [type(s) for s in whole.stages] == [type(s) for s in model.stages]
+    probs = [{r["doc_id"]: r["prob"] for r in M.score_documents(df, m).collect()} for m in (model, whole)]
+    assert all(abs(probs[0][k] - probs[1][k]) < 1e-2 for k in probs[0])
