@@ -121,3 +121,13 @@ def test_fit_makes_its_vectors_once(spark):
     assert [type(s) for s in whole.stages] == [type(s) for s in model.stages]
     probs = [{r["doc_id"]: r["prob"] for r in M.score_documents(df, m).collect()} for m in (model, whole)]
     assert all(abs(probs[0][k] - probs[1][k]) < 1e-2 for k in probs[0])
+
+
+def test_entities_take_tokens_once(spark):
+    from tidewatch.operators.entities import extract_entities
+    gaz = spark.createDataFrame([("a", "ORG"), ("a b", "ORG"), ("b c d", "LOC"), ("d  e", "GPE"), ("x y", "MISC")], "phrase STRING, label STRING")
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a"), (3, "d  e a x y"), (4, ""), (5, None), (None, "b c d")], "doc_id INT, clean_text STRING")
+    got = extract_entities(docs, gaz)
+    assert {tuple(r) for r in got.collect()} == {(1, 0, "a b", "ORG"), (1, 1, "b c d", "LOC"), (2, 0, "a", "ORG"), (3, 0, "d  e", "GPE"), (3, 3, "a", "ORG"),
+                                                 (None, 0, "b c d", "LOC")}
+    assert _plan(got).count("posexplode") == 1
