@@ -73,6 +73,34 @@ def test_naive_bayes_without_broadcast(spark, monkeypatch):
     assert set(small) == set(large) and all(abs(small[k] - large[k]) < 1e-9 for k in small)
 
 
+def test_frequent_terms_of_few_buckets(spark, monkeypatch):
+    """However few and full the buckets are, the terms are those of a full count, and ties go by term."""
+    import random
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(5000)]
+    counts = {w: words.count(w) for w in set(words)}
+    g = spark.createDataFrame([(w,) for w in words], "term STRING")
+    for buckets, per_term, n in ((1 << 21, 8, 20), (64, 1, 20), (64, 1, 40), (3, 1, 2), (64, 1, 1000), (1 << 21, 1, 1)):
+        monkeypatch.setattr(M, "BUCKETS", buckets)
+        monkeypatch.setattr(M, "BUCKETS_PER_TERM", per_term)
+        got = {r["term"]: r["cf"] for r in M.frequent_terms(g, n).collect()}
+        assert got == dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n])
+    assert M.frequent_terms(g.limit(0), 5).count() == 0
+
+
+def test_tfidf_deals_texts_by_size(spark, monkeypatch):
+    """Parts of the long table follow the bytes of text, and no term is sorted for the norms."""
+    rows = [(i % 40 if i % 7 else None, f"alpha beta w{i % 5} alpha x{i}") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (1, None), (2, "")], "doc_id INT, clean_text STRING")
+    whole = {(r["doc_id"], r["term"]): (r["tf"], round(r["tfidf"], 9)) for r in M.tfidf_long(docs, max_features=30).collect()}
+    monkeypatch.setattr(M, "TEXT_BYTES", 100)
+    d = M.tfidf_long(docs, max_features=30)
+    assert {(r["doc_id"], r["term"]): (r["tf"], round(r["tfidf"], 9)) for r in d.collect()} == whole
+    assert d.rdd.getNumPartitions() >= 10
+    window = _plan(d)[_plan(d).index("Window "):].splitlines()[1]
+    assert "term" not in window
+
+
 def test_vocabularies(spark):
     docs = spark.createDataFrame([(["b", "a", "c", "a"], ["x y"]), (["c", "b"], [])], "u ARRAY<STRING>, v ARRAY<STRING>")
     assert M.vocabularies(docs, ["u", "v"], 2) == [["a", "b"], ["x y"]]
