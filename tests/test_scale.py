@@ -101,6 +101,28 @@ def test_tfidf_deals_texts_by_size(spark, monkeypatch):
     assert "term" not in window
 
 
+def test_weights_too_large_for_one_table(spark, monkeypatch):
+    """The frequent terms' weights go to every task; only other occurrences are joined by key."""
+    docs = spark.createDataFrame([(i, f"alpha beta beta w{i % 20} only{i}", i % 2, i % 3) for i in range(60)],
+                                 "doc_id INT, clean_text STRING, label INT, fold INT")
+    one = {r["doc_id"]: r["score"] for r in M.naive_bayes_scores(docs, docs).collect()}
+    folds = {r["doc_id"]: r["score"] for r in M.naive_bayes_by_fold(docs).collect()}
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 400)
+    g = docs.select("doc_id", F.explode(F.split("clean_text", " ")).alias("term"))
+    weight = g.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("w"))
+    assert {r["term"] for r in weight.filter(M._frequent(weight)).collect()} == {"alpha", "beta"}
+    for want, got in ((one, M.naive_bayes_scores(docs, docs)), (folds, M.naive_bayes_by_fold(docs))):
+        got = {r["doc_id"]: r["score"] for r in got.collect()}
+        assert set(got) == set(want) and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_ranks_shuffle_rows_once(spark):
+    d = spark.createDataFrame([(i, "t", None if i % 5 == 0 else i % 2) for i in range(50)], "doc_id INT, text STRING, label INT")
+    got = S.rank_within_group(d, ["label"], 42)
+    assert _plan(got).count("strategy=broadcast") == 1
+    assert sorted((r["label"] or 0, r["label"] is None, r["_rank"]) for r in got.collect()) == sorted((l or 0, l is None, k) for l in (None, 0, 1) for k in range({None: 10}.get(l, 20)))
+
+
 def test_vocabularies(spark):
     docs = spark.createDataFrame([(["b", "a", "c", "a"], ["x y"]), (["c", "b"], [])], "u ARRAY<STRING>, v ARRAY<STRING>")
     assert M.vocabularies(docs, ["u", "v"], 2) == [["a", "b"], ["x y"]]
