@@ -97,3 +97,40 @@ def test_dictionary_that_breaks_half_way(spark, tmp_path):
     p = tmp_path / "cut.csv.gz"
     p.write_bytes(whole[:len(whole) // 2])
     assert Tq.load_technique_dictionary(spark, str(p)).count() == 0
+
+
+def test_only_a_missing_or_broken_file_is_an_empty_dictionary(spark, tmp_path, monkeypatch):
+    """A full disk or a lost executor is no dictionary without rows; a required dictionary is never empty by failure."""
+    import gzip
+
+    import pytest
+    from pyspark.errors import PySparkException
+
+    p = tmp_path / "ok.csv"
+    p.write_text("technique_id,technique_name,keywords\nT1,x,rat\n")
+    bad, cut = tmp_path / "bad.csv", tmp_path / "cut.csv.gz"
+    bad.write_text("technique_id,name\nT1,x\n")
+    whole = gzip.compress(("technique_id,technique_name,keywords\n" + "".join(f"T{i},n {i},word{i * 7919}\n" for i in range(20_000))).encode())
+    cut.write_bytes(whole[:len(whole) // 2])
+    assert Tq.load_technique_dictionary(spark, str(p), required=True).count() == 1
+    for path in (tmp_path / "nope.csv", bad, cut):
+        assert Tq.load_technique_dictionary(spark, str(path)).count() == 0
+        with pytest.raises(Exception, match=path.name):
+            Tq.load_technique_dictionary(spark, str(path), required=True)
+
+    def full(self, eager=True):
+        raise PySparkException("java.io.IOException: No space left on device")
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", full)
+    with pytest.raises(PySparkException, match="No space left"):
+        Tq.load_technique_dictionary(spark, str(p))
+
+
+def test_dictionary_queries_fail_where_their_file_does(spark, monkeypatch):
+    import pytest
+    from tidewatch.plans import catalog_io
+
+    monkeypatch.setattr(catalog_io, "_to_csv", lambda df, spark, name: "/tmp/no-such-dictionary")
+    for query in (catalog_io.adv10_tactics_from_file, catalog_io.dic1_large_dictionary, catalog_io.src5_dictionary_file):
+        with pytest.raises(Exception, match="no-such-dictionary"):
+            query(spark, "/root/testdata/sf0.001")
