@@ -181,3 +181,50 @@ def test_entities_take_tokens_once(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 0, "a b", "ORG"), (1, 1, "b c d", "LOC"), (2, 0, "a", "ORG"), (3, 0, "d  e", "GPE"), (3, 3, "a", "ORG"),
                                                  (None, 0, "b c d", "LOC")}
     assert _plan(got).count("posexplode") == 1
+
+
+def test_naive_bayes_counts_are_made_once(spark):
+    """Metrics, scores and the store read the fit's counts and test scores; none makes the rows again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = [(i, f"alpha w{i % 3} {'red' if i % 2 else 'blue'}", i % 2, "test" if i % 6 < 2 else "train") for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id INT, clean_text STRING, label INT, split STRING")
+    (table, documents), metrics = M.fit_naive_bayes(df.mapInArrow(seen, df.schema))
+    made = calls.value
+    assert metrics.first()["accuracy"] == 1.0 and {r["term"]: (r["c0"], r["c1"]) for r in table.collect()}["alpha"] == (16, 16)
+    assert documents.first().asDict() == {"k0": 16, "k1": 16} and metrics.count() == 1 and calls.value == made
+
+
+def test_words_by_buffer(spark, monkeypatch):
+    """Words, pairs, vectors and sums from Arrow buffers are those of the tokenizer, however the texts are sliced."""
+    import random
+    import re
+
+    from pyspark.ml import PipelineModel
+    from tidewatch.operators import tokens as W
+    rng = random.Random(7)
+    parts = ["a", "ab", "AB", "b_", "9", " ", "  ", ".", "é", "\n", "ß", "\U0001F600", "xyz", "K", "alpha "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(300)] + [""]
+    words = [re.findall(r"[A-Za-z0-9_]{2,}", t.lower()) for t in texts]
+    df = spark.createDataFrame([(i, t, float(i % 2), [i], 1.0) for i, t in enumerate(texts)], "doc_id INT, clean_text STRING, label DOUBLE, more ARRAY<INT>, weight DOUBLE")
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(W, "SLICE_BYTES", most)
+        monkeypatch.setattr(W, "COUNT_BYTES", most)
+        want = {}
+        for ws in words:
+            for k, t in [*((0, w) for w in ws), *((1, f"{a} {b}") for a, b in zip(ws, ws[1:]))]:
+                want[k, t] = want.get((k, t), 0) + 1
+        assert {(r["k"], r["term"]): r["cf"] for r in W.term_counts(df, "clean_text").collect()} == want
+        model = M.text_pipeline(max_iter=5, vocab_size=20, train=df).fit(df)
+        got = M.score_documents(df, model)
+        assert "MapInArrow" in _plan(got) and got.columns == [*df.columns, "prob", "pred", "model"]
+        slow = {r["doc_id"]: r["probability"][1] for r in model.transform(df).collect()}
+        assert {r["doc_id"]: r["prob"] for r in got.collect()} == slow
+    stages = model.stages
+    stages[2].setBinary(True)   # other vectors than those of plain counts
+    assert "MapInArrow" not in _plan(M.score_documents(df, PipelineModel(stages)))
