@@ -219,7 +219,11 @@ def test_words_by_buffer(spark, monkeypatch):
         for ws in words:
             for k, t in [*((0, w) for w in ws), *((1, f"{a} {b}") for a, b in zip(ws, ws[1:]))]:
                 want[k, t] = want.get((k, t), 0) + 1
-        assert {(r["k"], r["term"]): r["cf"] for r in W.term_counts(df, "clean_text").collect()} == want
+        for buckets, per_term, n in ((1 << 20, 8, 5), (16, 1, 5), (3, 1, 2), (3, 1, 1000), (1 << 20, 8, 1000)):
+            monkeypatch.setattr(W, "PAIR_BUCKETS", buckets)
+            monkeypatch.setattr(M, "BUCKETS_PER_TERM", per_term)
+            tops = [[t for (k, t), _ in sorted(want.items(), key=lambda x: (-x[1], x[0][1])) if k == which][:n] for which in (0, 1)]
+            assert M.text_vocabularies(df, "clean_text", n) == tops
         model = M.text_pipeline(max_iter=5, vocab_size=20, train=df).fit(df)
         got = M.score_documents(df, model)
         assert "MapInArrow" in _plan(got) and got.columns == [*df.columns, "prob", "pred", "model"]
