@@ -134,3 +134,33 @@ def test_dictionary_queries_fail_where_their_file_does(spark, monkeypatch):
     for query in (catalog_io.adv10_tactics_from_file, catalog_io.dic1_large_dictionary, catalog_io.src5_dictionary_file):
         with pytest.raises(Exception, match="no-such-dictionary"):
             query(spark, "/root/testdata/sf0.001")
+
+
+def test_shards_write_no_tags_to_disk(spark):
+    """Several shards tag in place: no shuffle, no row a tag in a checkpoint; rows that go on in the next shard have one tag."""
+    rows = [(i // 2, f"T{i % 50}", "n", f"w{i % 9};v{i % 5};u{i}") for i in range(400)]
+    rows += [(250, "TL", "n", ";".join(f"k{j}" for j in range(60))), (250, None, "n", "w3")]
+    d = _dict(spark, rows)
+    texts = ["w3 k7 k59", "v1 u17", "k0 k30 k31", "none", None, "w3 k7 k59", "k1 k2 k3 k4 k58 u399"]
+    docs = spark.createDataFrame([(1 if i in (0, 3) else i, t) for i, t in enumerate(texts)], "doc_id INT, clean_text STRING")   # ids may repeat
+
+    def want(t):
+        own = {(p, i) for p, i, _, ks in rows if t and any(k in t for k in ks.split(";"))}
+        return [i for _, i in sorted(own, key=lambda x: (x[0], x[1] is not None, x[1] or ""))]
+
+    for shard in (Tq.SHARD_BYTES, 2000, 500):
+        got = Tq.tag_techniques(docs, d, strategy="automaton", shard_bytes=shard)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "MapInArrow" in plan
+        assert sorted((r["clean_text"] or "", r["doc_id"], r["mitre_matches"]) for r in got.collect()) == sorted((t or "", 1 if i in (0, 3) else i, want(t)) for i, t in enumerate(texts))
+
+
+def test_dictionary_order_of_several_files(spark, tmp_path):
+    """Files follow each other by name, however large they are; a column ``pos`` of the file is not its order."""
+    n = 0
+    for name, rows in (("part-0", 2), ("part-1", 500), ("part-2", 40)):
+        lines = [f"T{n + i},n,word{n + i},{-i}" for i in range(rows)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["technique_id,technique_name,keywords,pos", *lines]) + "\n")
+        n += rows
+    d = Tq.load_technique_dictionary(spark, str(tmp_path))
+    assert [(r["pos"], r["technique_id"]) for r in d.orderBy("pos").collect()] == [(i, f"T{i}") for i in range(n)]
